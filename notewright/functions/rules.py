@@ -27,10 +27,17 @@ DIABETES_RULES = tuple(Rule(*row) for row in fv.DIABETES_VOTING_RULES)
 CANCER_RULES = tuple(Rule(*row) for row in fv.CANCER_VOTING_RULES)
 
 
+def one_expression(patterns: Sequence[str]) -> str:
+    """All patterns as one alternation; word bounds they share are tested once, outside it."""
+    first = all(p.startswith(r"\b") for p in patterns)
+    last = all(p.endswith(r"\b") for p in patterns)
+    inner = "|".join(p[2 if first else 0:-2 if last else None] for p in patterns)
+    return (r"\b" if first else "") + f"(?:{inner})" + (r"\b" if last else "")
+
+
 def matches_any(text: Column, patterns: Sequence[str]) -> Column:
-    """True where any pattern occurs; the patterns fold into one alternation, read once."""
-    expression = _FLAGS + "(?:" + "|".join(patterns) + ")"
-    return F.coalesce(text.rlike(expression), F.lit(False))
+    """True where any pattern occurs; a text is read once for all of them."""
+    return F.coalesce(text.rlike(_FLAGS + one_expression(patterns)), F.lit(False))
 
 
 def diabetes_keyword(text: Column) -> Column:

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from notewright.plans import catalog_notes  # noqa: F401
+from notewright.plans import catalog_judge, catalog_notes, catalog_split  # noqa: F401
 from notewright.plans.registry import CATALOG
 
 __all__ = ["CATALOG"]

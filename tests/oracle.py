@@ -41,12 +41,16 @@ def _rows(columns: list[str], rows) -> list[tuple]:
     return sorted((tuple(_plain(row[i]) for i in order) for row in rows), key=repr)
 
 
-def difference(df, sql: str, connection) -> str | None:
+def difference(df, sql: str, connection, took: list | None = None) -> str | None:
     """What differs between a DataFrame and a query, or None."""
+    start = time.time()
+    collected = df.collect()
+    if took is not None:
+        took.append(time.time() - start)
+    actual = _rows(df.columns, collected)
     result = connection.execute(sql)
     names = [d[0] for d in result.description]
     expected = _rows(names, result.fetchall())
-    actual = _rows(df.columns, df.collect())
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} vs {sorted(names)}"
     if len(actual) != len(expected):
@@ -72,15 +76,16 @@ def main() -> int:
     failed = 0
     for name in options.names or CATALOG:
         query = CATALOG[name]
-        start = time.time()
+        start, took = time.time(), []
         try:
             df = query.run(spark, folder)
-            problem = difference(df, query.sql, connection) if query.sql else f"no SQL, {df.count()} rows"
+            took = [time.time() - start]
+            problem = difference(df, query.sql, connection, took) if query.sql else f"no SQL, {len(df.collect())} rows"
             bad = query.sql is not None and problem is not None
         except Exception as failure:
             problem, bad = f"{type(failure).__name__}: {str(failure)[:1500]}", True
         failed += bad
-        print(f"{'FAIL' if bad else 'ok  '} {name} {time.time() - start:.1f}s {problem or ''}", flush=True)
+        print(f"{'FAIL' if bad else 'ok  '} {name} spark {sum(took):.1f}s all {time.time() - start:.1f}s {problem or ''}", flush=True)
     print(f"{failed} failed")
     return failed
 
