@@ -121,7 +121,7 @@ def confidence_describe(aligned: DataFrame) -> DataFrame:
         F.min("confidence").alias("min"),
         F.max("confidence").alias("max"),
     )
-    median = exact_quantile(stacked, ["model"], "confidence").withColumnRenamed("quantile", "median")
+    median = exact_quantile(stacked, "model", (FIRST, SECOND), "confidence").withColumnRenamed("quantile", "median")
     return moments.join(F.broadcast(median), "model", "left")
 
 

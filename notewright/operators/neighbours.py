@@ -25,8 +25,11 @@ from notewright.functions.labels import clean_flag
 from notewright.functions.vectors import similarity_score
 from notewright.schema import EMBEDDING, ID, LABEL, SCHEME, TEXT, LabelScheme
 
-# A store up to this many bytes is broadcast; above it, blocks of this size meet pairwise.
-BLOCK_BYTES = 32 << 20
+# A store whose vectors take up to this many bytes is broadcast.
+BROADCAST_BYTES = 64 << 20
+# Beyond that, blocks of this size meet pairwise. Rows travel once per block of the
+# other side, so larger blocks mean less shuffle; two of them must fit a task.
+BLOCK_BYTES = 512 << 20
 # Cosines are compared at nine decimals, so ranks do not depend on the block layout.
 _SCALE = 1_000_000_000
 _PLACE_BITS = 30
@@ -88,6 +91,7 @@ def top_k_cosine(
     query_id: str = ID,
     store_id: str = ID,
     vector: str = EMBEDDING,
+    broadcast_bytes: int = BROADCAST_BYTES,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(query_id, neighbour_id, cosine, rank) of each query's k nearest store rows.
@@ -108,9 +112,7 @@ def top_k_cosine(
     if size.dim != size.low:
         raise ValueError(f"vectors differ in length: {size.low} to {size.dim}")
     dim = size.dim
-    block_rows = max(1, min(block_bytes // (8 * dim), (1 << _PLACE_BITS) - 1))
-
-    if size.n <= block_rows:
+    if size.n * dim * 8 <= broadcast_bytes:
         table = known.orderBy("neighbour_id").toArrow()
         shared = queries.sparkSession.sparkContext.broadcast(
             (table.column("neighbour_id").combine_chunks(), _unit_rows(table.column("v"), dim))
@@ -124,6 +126,7 @@ def top_k_cosine(
         # Each query has met the whole store here, so its ranks are final.
         return asked.mapInArrow(scan, schema)
 
+    block_rows = max(1, block_bytes // (8 * dim))
     found = _pairwise(asked, known, size.n, block_rows, dim, k, schema)
     by_score = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "neighbour_id")
     return found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
@@ -165,13 +168,12 @@ def similarity_search(
     query_id: str = ID,
     store_id: str = ID,
     vector: str = EMBEDDING,
-    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The k most similar stored cases of every query, best first, with their text and labels.
 
     Missing metadata takes its default. Scores lie in [0, 1].
     """
-    hits = top_k_cosine(queries, store, k, query_id, store_id, vector, block_bytes)
+    hits = top_k_cosine(queries, store, k, query_id, store_id, vector)
     cases = store.select(
         F.col(store_id).alias("neighbour_id"),
         F.col(TEXT),

@@ -11,26 +11,27 @@ _BUCKETS = 65536
 _ROUNDS = 2
 
 
-def exact_quantile(df: DataFrame, by: Sequence[str], value: str, p: float = 0.5) -> DataFrame:
-    """The linearly interpolated quantile of ``value`` per group, as column ``quantile``.
+def exact_quantile(df: DataFrame, by: str, groups: Sequence, value: str, p: float = 0.5) -> DataFrame:
+    """The linearly interpolated quantile of ``value`` per listed group, as column ``quantile``.
 
     The two order statistics around the quantile are bracketed by counting
     values per equal-width bucket between the group's bounds, twice; what is
-    left of a bracket is counted per distinct value. Each step ships counts, one
-    bracket row per group and statistic is broadcast, and the answer is exact
+    left of a bracket is counted per distinct value. Each step ships counts, two
+    bracket rows per listed group are broadcast, and the answer is exact
     whatever the distribution or the number of equal values.
     """
-    rows = df.select(*by, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    spread = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    known = F.col(by).isin(*groups) & F.col("_v").isNotNull()
+    rows = df.select(by, F.col(value).cast("double").alias("_v")).filter(known & ~F.isnan("_v"))
+    spread = rows.groupBy(by).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     position = (F.col("_n") - 1) * F.lit(float(p))
     brackets = spread.select(
-        *by, "_lo", "_hi",
+        by, "_lo", "_hi",
         F.lit(0).cast("long").alias("_below"),
         (position - F.floor(position)).alias("_weight"),
         F.explode(F.array_distinct(F.array(F.floor(position), F.ceil(position)))).alias("_rank"),
         F.floor(position).alias("_first"),
     )
-    keys = [*by, "_rank"]
+    keys = [by, "_rank"]
     for _ in range(_ROUNDS):
         width = (F.col("_hi") - F.col("_lo")) / _BUCKETS
         place = F.when(
@@ -61,12 +62,12 @@ def exact_quantile(df: DataFrame, by: Sequence[str], value: str, p: float = 0.5)
         .filter((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_c") <= F.col("_rank")))
     )
     lower = F.max(F.when(F.col("_rank") == F.col("_first"), F.col("_v")))
-    return values.groupBy(*by).agg(
+    return values.groupBy(by).agg(
         (lower + F.max("_weight") * (F.max("_v") - lower)).alias("quantile")
     )
 
 
-def _inside(rows: DataFrame, brackets: DataFrame, by: Sequence[str]) -> DataFrame:
+def _inside(rows: DataFrame, brackets: DataFrame, by: str) -> DataFrame:
     """Rows inside their group's brackets; a row in both brackets comes twice."""
-    joined = rows.join(F.broadcast(brackets), [*by])
+    joined = rows.join(F.broadcast(brackets), by)
     return joined.filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))

@@ -10,7 +10,7 @@ row per class, so it is never shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from notewright import fixed_values as fv
 from notewright.operators.select import is_labelled, is_official_test, union_phases
 from notewright.schema import ID, LABEL, SCHEME, LabelScheme
+from notewright.session import cut_lineage
 
 SPLIT = "split"
 TRAIN, VALIDATION, TEST, UNLABELLED = "train", "validation", "test", "unlabelled"
@@ -43,7 +44,8 @@ def _with_held_out(
     """Add ``flag``: true for the first ``quota`` rows of each class among ``within``.
 
     ``quotas`` turns a table (label, total) with one row per class into
-    (label, quota). A class without a quota gets a NULL flag.
+    (label, quota) for a fixed list of labels, which bounds what is broadcast.
+    A class without a quota gets a NULL flag.
     """
     keyed = df.filter(within).select(
         F.col(label_col).alias("label"), F.col(id_col).alias("id"), order_key(seed, id_col).alias("key")
@@ -90,8 +92,9 @@ def _fraction_quota(fractions: Mapping[str, float]) -> Callable[[DataFrame], Dat
     return quotas
 
 
-def _stratified_quota(fraction: float) -> Callable[[DataFrame], DataFrame]:
+def _stratified_quota(fraction: float, labels: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
     def quotas(totals: DataFrame) -> DataFrame:
+        totals = totals.filter(F.col("label").isin(*labels))
         # One row per class, so an unpartitioned window is small by construction.
         everything = Window.partitionBy(F.lit(1))
         by_remainder = everything.orderBy(F.desc("remainder"), "label")
@@ -142,11 +145,15 @@ def split_stratified_total(
     seed: int = fv.SEED,
     id_col: str = ID,
     label_col: str = LABEL,
+    labels: Sequence[str] = fv.LABELS,
 ) -> DataFrame:
-    """Add ``split``: ``ceil(n * fraction)`` rows held out, shared over classes by largest remainder."""
+    """Add ``split``: ``ceil(n * fraction)`` rows held out, shared over classes by largest remainder.
+
+    Rows outside ``within`` and classes outside ``labels`` have a NULL split.
+    """
     within = F.lit(True) if within is None else within
-    flagged = _with_held_out(df, within, _stratified_quota(fraction), seed, id_col, label_col, "_held")
-    part = F.when(F.col("_held"), names[1]).otherwise(names[0])
+    flagged = _with_held_out(df, within, _stratified_quota(fraction, labels), seed, id_col, label_col, "_held")
+    part = F.when(F.col("_held"), names[1]).when(~F.col("_held"), names[0])
     return flagged.withColumn(SPLIT, F.when(within, part)).drop("_held")
 
 
@@ -166,16 +173,20 @@ def ratio_split(
     seed: int = fv.SEED,
     id_col: str = ID,
     label_col: str = LABEL,
+    labels: Sequence[str] = fv.LABELS,
 ) -> DataFrame:
-    """Add ``split`` by three ratios: the test share is held out first, then validation."""
+    """Add ``split`` by three ratios: the test share is held out first, then validation.
+
+    Classes outside ``labels`` have a NULL split.
+    """
     rest = ratios[TRAIN] + ratios[VALIDATION]
     tested = _with_held_out(
-        df, F.lit(True), _stratified_quota(ratios[TEST]), seed, id_col, label_col, "_test"
+        df, F.lit(True), _stratified_quota(ratios[TEST], labels), seed, id_col, label_col, "_test"
     )
     both = _with_held_out(
-        tested, ~F.col("_test"), _stratified_quota(ratios[VALIDATION] / rest), seed, id_col, label_col, "_val"
+        tested, ~F.col("_test"), _stratified_quota(ratios[VALIDATION] / rest, labels), seed, id_col, label_col, "_val"
     )
-    part = F.when(F.col("_test"), TEST).when(F.col("_val"), VALIDATION).otherwise(TRAIN)
+    part = F.when(F.col("_test"), TEST).when(F.col("_val"), VALIDATION).when(~F.col("_val"), TRAIN)
     return both.withColumn(SPLIT, part).drop("_test", "_val")
 
 
@@ -202,24 +213,23 @@ def leaked_ids(df: DataFrame, id_col: str = ID) -> DataFrame:
 
 
 def with_case_number(df: DataFrame, id_col: str = ID) -> DataFrame:
-    """Number rows from 1 in id order without sorting them in one task.
+    """Number rows from 1 in id order without ranking them in one task.
 
-    Rows are numbered inside hash-free id ranges; offsets come from the counts
-    of the ranges before.
+    The sorted rows are written down, so that their partitions are the same when
+    they are counted and when they are numbered; a row's number is its place in
+    its partition plus the rows of all partitions before.
     """
-    width = 1 << 20
-    block = F.floor(F.col(id_col) / width)
-    blocks = df.groupBy(block.alias("_block")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(
-        F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0),
+    placed = cut_lineage(df.orderBy(id_col).withColumn("_place", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(
+        Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = blocks.select("_block", before.alias("_before"))
-    inside = Window.partitionBy("_block").orderBy(id_col)
+    # One row per partition of the sorted table.
+    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
     return (
-        df.withColumn("_block", block)
-        .withColumn("_rank", F.row_number().over(inside))
-        .join(offsets, "_block")
-        .withColumn("case_num", F.col("_before") + F.col("_rank"))
-        .drop("_block", "_rank", "_before")
+        placed.withColumn("_part", part)
+        .join(F.broadcast(offsets), "_part")
+        .withColumn("case_num", F.col("_before") + place + 1)
+        .drop("_part", "_place", "_before")
     )

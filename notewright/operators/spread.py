@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from notewright import fixed_values as fv
 from notewright.functions.labels import label_at
-from notewright.operators.neighbours import BLOCK_BYTES, top_k_cosine
+from notewright.operators.neighbours import top_k_cosine
 from notewright.schema import EMBEDDING, ID, LABEL, SCHEME, LabelScheme
 from notewright.session import cut_lineage
 
@@ -18,11 +18,10 @@ _WRITE_EVERY = 5
 
 
 def neighbour_edges(
-    df: DataFrame, k: int = fv.SPREADING["neighbours"], id_col: str = ID, vector: str = EMBEDDING,
-    block_bytes: int = BLOCK_BYTES,
+    df: DataFrame, k: int = fv.SPREADING["neighbours"], id_col: str = ID, vector: str = EMBEDDING
 ) -> DataFrame:
     """(query_id, neighbour_id) of each row's k nearest other rows."""
-    near = top_k_cosine(df, df, k + 1, id_col, id_col, vector, block_bytes)
+    near = top_k_cosine(df, df, k + 1, id_col, id_col, vector)
     others = near.filter(F.col("query_id") != F.col("neighbour_id"))
     by_rank = Window.partitionBy("query_id").orderBy("rank")
     return (
