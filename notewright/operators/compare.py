@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from notewright import fixed_values as fv
 from notewright.operators.quantiles import exact_quantile
+from notewright.session import cut_lineage
 
 FIRST, SECOND = "baseline", "llm"
 
@@ -113,8 +114,11 @@ def _by_model(aligned: DataFrame) -> DataFrame:
 
 
 def confidence_describe(aligned: DataFrame) -> DataFrame:
-    """Mean, exact median, sample deviation, minimum and maximum of each model's confidence."""
-    stacked = _by_model(aligned)
+    """Mean, exact median, sample deviation, minimum and maximum of each model's confidence.
+
+    The median takes several passes, so the confidences are written down first.
+    """
+    stacked = cut_lineage(_by_model(aligned).select("model", "confidence"))
     moments = stacked.groupBy("model").agg(
         F.avg("confidence").alias("mean"),
         F.stddev_samp("confidence").alias("std"),

@@ -35,12 +35,12 @@ def confusion_counts(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 def accuracy(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """Share of rows whose labels are equal, over rows with a truth."""
-    judged = F.col(truth).isNotNull()
-    same = F.coalesce(F.col(truth) == F.col(predicted), F.lit(False))
-    return df.agg(
-        F.count_if(judged).alias("n_judged"),
-        F.avg(F.when(judged, same.cast("double"))).alias("accuracy"),
-    )
+    return _accuracy(confusion_counts(df, truth, predicted))
+
+
+def _accuracy(counts: DataFrame) -> DataFrame:
+    hits = F.sum(F.when(F.col("true_label") == F.col("predicted_label"), F.col("n")).otherwise(F.lit(0)))
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_judged"), (hits / F.sum("n")).alias("accuracy"))
 
 
 def flag_accuracy(df: DataFrame, correct: str = "correct") -> DataFrame:
@@ -56,7 +56,10 @@ def per_class_scores(
     With ``labels`` exactly those are scored, present or not; with None the
     labels seen in truth or prediction are.
     """
-    counts = confusion_counts(df, truth, predicted)
+    return _scores(confusion_counts(df, truth, predicted), labels)
+
+
+def _scores(counts: DataFrame, labels: Sequence[str] | None) -> DataFrame:
     hit = F.when(F.col("true_label") == F.col("predicted_label"), F.col("n")).otherwise(F.lit(0))
     zero = F.lit(0).cast("long")
     sides = counts.select(F.inline(F.array(
@@ -69,7 +72,7 @@ def per_class_scores(
         F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("hits").alias("hits")
     )
     if labels is not None:
-        table = _label_table(df.sparkSession, labels)
+        table = _label_table(counts.sparkSession, labels)
         sums = table.join(sums, "label", "left").na.fill(0, ["support", "predicted", "hits"])
     precision = _share(F.col("hits"), F.col("predicted"))
     recall = _share(F.col("hits"), F.col("support"))
@@ -93,9 +96,11 @@ def compute_metrics(
     df: DataFrame, truth: str, predicted: str, labels: Sequence[str] = fv.LABELS
 ) -> DataFrame:
     """Accuracy, averages and per-class scores over a fixed label list, as (scope, metric, value)."""
-    scores = per_class_scores(df, truth, predicted, labels)
+    # All parts start from the same counts, whose shuffle is done once.
+    counts = confusion_counts(df, truth, predicted)
+    scores = _scores(counts, labels)
     names = [f"{kind}_{m}" for kind in ("macro", "weighted") for m in ("precision", "recall", "f1")]
-    overall = _long(accuracy(df, truth, predicted), F.lit("overall"), ["accuracy"])
+    overall = _long(_accuracy(counts), F.lit("overall"), ["accuracy"])
     averages = _long(_averages(scores), F.lit("overall"), names)
     per_class = _long(scores, F.col("label"), ["precision", "recall", "f1", "support"])
     return overall.unionByName(averages).unionByName(per_class)
@@ -105,11 +110,12 @@ def classification_report(
     df: DataFrame, truth: str, predicted: str, labels: Sequence[str] | None = None
 ) -> DataFrame:
     """Per-class lines, accuracy and both averages as (scope, metric, value); by default over the labels seen."""
-    scores = per_class_scores(df, truth, predicted, labels)
+    counts = confusion_counts(df, truth, predicted)
+    scores = _scores(counts, labels)
     averages = _averages(scores)
     parts = [
         _long(scores, F.col("label"), ["precision", "recall", "f1", "support"]),
-        _long(accuracy(df, truth, predicted), F.lit("accuracy"), ["accuracy"]),
+        _long(_accuracy(counts), F.lit("accuracy"), ["accuracy"]),
     ]
     for kind in ("macro", "weighted"):
         line = averages.select(

@@ -13,7 +13,7 @@ from notewright.functions.labels import label_at
 from notewright.functions.rules import CANCER_RULES, DIABETES_RULES, rule_votes
 from notewright.operators import expand, fuse, neighbours, profile, route, select, tfidf, train, weak
 from notewright.plans import runs
-from notewright.plans.driver_tables import clinical, notes, table
+from notewright.plans.driver_tables import clinical, documents, notes
 from notewright.plans.fixtures import QUESTIONS, SCORED, cases_and_questions, flag_label, scored_notes, word_flags
 from notewright.plans.oracle import clinical as clinical_sql
 from notewright.plans.oracle import label as label_sql
@@ -164,7 +164,7 @@ _VOTES = "votes AS MATERIALIZED (SELECT doc_id, " + ", ".join(
 
 
 def _voted(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias(ID), clinical(F.col("text")).alias(TEXT))
+    docs = documents(spark, folder).select(F.col("doc_id").alias(ID), clinical(F.col("text")).alias(TEXT))
     return docs.select(
         ID, rule_votes(F.col(TEXT), DIABETES_RULES).alias("dm"), rule_votes(F.col(TEXT), CANCER_RULES).alias("ca")
     )
@@ -305,7 +305,7 @@ _TERMS = r"""docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N
 
 @register(f"WITH {_TERMS} SELECT * FROM stats")
 def term_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    return tfidf.term_statistics(table(spark, folder, "documents"))
+    return tfidf.term_statistics(documents(spark, folder))
 
 
 _VOCABULARY = f"""{_TERMS}, size AS (SELECT count(*) AS n FROM documents),
@@ -316,7 +316,7 @@ _VOCABULARY = f"""{_TERMS}, size AS (SELECT count(*) AS n FROM documents),
 
 @register(f"WITH {_VOCABULARY} SELECT term, n_notes, n_uses, round(idf, 6) AS idf FROM vocabulary")
 def tfidf_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     return rounded(tfidf.vocabulary(tfidf.term_statistics(docs), docs.count()))
 
 
@@ -325,7 +325,7 @@ def tfidf_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
   SELECT d.doc_id AS patient_identifier, coalesce(n_terms, 0) AS n_terms, round(coalesce(top / norm, 0), 6) AS top_weight
   FROM documents d LEFT JOIN norms n ON n.doc_id = d.doc_id""")
 def tfidf_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias(ID), TEXT)
+    docs = documents(spark, folder).select(F.col("doc_id").alias(ID), TEXT)
     weights = vector_to_array("tfidf")
     out = tfidf.tfidf_features(docs).select(ID, F.filter(weights, lambda x: x > 0).alias("w"))
     return rounded(out.select(

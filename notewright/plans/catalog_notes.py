@@ -26,7 +26,7 @@ from notewright.functions.rules import (
 from notewright.functions.text import header_map, preview, prompt_text, render_prompt, text_length
 from notewright.operators import profile, select
 from notewright.operators.split import first_per_class
-from notewright.plans.driver_tables import answer_text, clinical, headed, notes, table
+from notewright.plans.driver_tables import answer_text, clinical, documents, headed, notes, table
 from notewright.plans.oracle import KEYWORDS, LABELLED_NOTES, NOTES
 from notewright.plans.oracle import clinical as clinical_sql
 from notewright.plans.oracle import headed as headed_sql
@@ -184,14 +184,14 @@ def features_labels_and_text(spark: SparkSession, folder: str) -> DataFrame:
 @register("SELECT doc_id AS patient_identifier, " + ", ".join(
     f"substring(text, 1, {n}) || '...' AS preview_{n}" for n in (100, 200, 300)) + " FROM documents")
 def text_previews(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     return docs.select(F.col("doc_id").alias(ID), *[preview(F.col("text"), n).alias(f"preview_{n}") for n in (100, 200, 300)])
 
 
 @register(f"""SELECT doc_id AS patient_identifier, md5(substring(text, 1, {fv.PROMPT_TEXT_CHARS})) AS prompt_md5,
   length(text) AS n_chars FROM documents""")
 def prompt_texts(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     return docs.select(
         F.col("doc_id").alias(ID), F.md5(prompt_text(F.col("text"))).alias("prompt_md5"),
         text_length(F.col("text")).alias("n_chars"),
@@ -226,7 +226,7 @@ def stacked_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(f"WITH {KEYWORDS} SELECT patient_identifier, CAST(kw_a AS INTEGER) AS has_cancer_kw, CAST(kw_b AS INTEGER) AS has_diabetes_kw FROM words")
 def keyword_flags(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias(ID), clinical(F.col("text")).alias(TEXT))
+    docs = documents(spark, folder).select(F.col("doc_id").alias(ID), clinical(F.col("text")).alias(TEXT))
     return rounded(docs.select(
         ID, cancer_keyword(F.col(TEXT)).alias("has_cancer_kw"), diabetes_keyword(F.col(TEXT)).alias("has_diabetes_kw")
     ))
@@ -236,7 +236,7 @@ def keyword_flags(spark: SparkSession, folder: str) -> DataFrame:
   CAST({matches(clinical_sql('text'), fv.CANCER_PREVALENCE)} AS INTEGER) AS cancer_mention,
   CAST({matches(clinical_sql('text'), fv.DIABETES_PREVALENCE)} AS INTEGER) AS diabetes_mention FROM documents""")
 def keyword_mentions(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias(ID), clinical(F.col("text")).alias(TEXT))
+    docs = documents(spark, folder).select(F.col("doc_id").alias(ID), clinical(F.col("text")).alias(TEXT))
     return rounded(docs.select(
         ID, cancer_mention(F.col(TEXT)).alias("cancer_mention"), diabetes_mention(F.col(TEXT)).alias("diabetes_mention")
     ))
@@ -246,7 +246,7 @@ def keyword_mentions(spark: SparkSession, folder: str) -> DataFrame:
     f"{vote(clinical_sql('text'), value, patterns)} AS {name}"
     for name, value, patterns in fv.DIABETES_VOTING_RULES + fv.CANCER_VOTING_RULES) + " FROM documents")
 def rule_vote_table(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias(ID), clinical(F.col("text")).alias(TEXT))
+    docs = documents(spark, folder).select(F.col("doc_id").alias(ID), clinical(F.col("text")).alias(TEXT))
     return docs.select(
         ID, *[rule_vote(F.col(TEXT), rule).cast("int").alias(rule.name) for rule in DIABETES_RULES + CANCER_RULES]
     )
@@ -267,7 +267,7 @@ _HEADERS = f"""lines AS (
 
 
 def _headed_notes(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias(ID), headed(F.col("text")).alias(TEXT))
+    docs = documents(spark, folder).select(F.col("doc_id").alias(ID), headed(F.col("text")).alias(TEXT))
     return docs.select(ID, header_map(F.col(TEXT)).alias("headers"))
 
 
@@ -358,7 +358,7 @@ def _answer_sql(fields, strict: bool) -> str:
 
 
 def _answers(spark: SparkSession, folder: str, fields) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     return docs.select(F.col("doc_id").alias(ID), answer_text(tuple(f[1] for f in fields)).alias("response"))
 
 
@@ -434,7 +434,7 @@ def condition_totals(spark: SparkSession, folder: str) -> DataFrame:
   count(*) FILTER (kw_a AND kw_b) AS hits_both FROM words""")
 def keyword_totals(spark: SparkSession, folder: str) -> DataFrame:
     text = clinical(F.col("text"))
-    docs = table(spark, folder, "documents").select(text.alias(TEXT))
+    docs = documents(spark, folder).select(text.alias(TEXT))
     flags = docs.select(cancer_keyword(F.col(TEXT)).alias("has_cancer_kw"), diabetes_keyword(F.col(TEXT)).alias("has_diabetes_kw"))
     return profile.keyword_totals(flags)
 

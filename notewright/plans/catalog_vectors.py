@@ -10,7 +10,7 @@ from notewright.functions.text import retrieval_context
 from notewright.functions.vectors import cosine, similarity_score
 from notewright.operators import embed, neighbours, select, space
 from notewright.operators.spread import NEIGHBOUR_SHARE, neighbour_edges, spread_labels
-from notewright.plans.driver_tables import notes, table
+from notewright.plans.driver_tables import documents, notes, table
 from notewright.plans.fixtures import QUESTIONS, cases_and_questions
 from notewright.plans.oracle import LABELLED_NOTES, neighbours as neighbours_sql
 from notewright.plans.registry import register, rounded
@@ -22,7 +22,7 @@ _HIT_ROWS = "CAST(rank AS INTEGER) AS rank"
 
 @register("SELECT count(*) AS n_rows, count(*) AS n_right_length, 0 AS n_not_a_number FROM documents")
 def embedded_texts(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias(ID), TEXT)
+    docs = documents(spark, folder).select(F.col("doc_id").alias(ID), TEXT)
     vectors = embed.embed_hashed(docs, embed.hashed_embedder(docs))
     return embed.check_embeddings(vectors.drop(TEXT), fv.EMBEDDING_DIM)
 
@@ -38,7 +38,7 @@ def _length_embedder():
   CAST(length(text) - length(replace(text, chr(10), '')) AS DOUBLE) AS n_breaks,
   CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS n_e FROM documents""")
 def texts_embedded_by_plugin(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias(ID), TEXT)
+    docs = documents(spark, folder).select(F.col("doc_id").alias(ID), TEXT)
     vector = F.col(EMBEDDING)
     out = embed.embed_text(docs, _length_embedder, dim=3)
     return rounded(out.select(ID, vector[0].alias("n_chars"), vector[1].alias("n_breaks"), vector[2].alias("n_e")))

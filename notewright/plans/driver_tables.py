@@ -49,6 +49,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash rows over the cores when a scan has fewer splits than there are cores.
+
+    Text work is the costly part of most queries, and a small table comes as one
+    split. A large table has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents, spread for text work."""
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def clinical(text: Column) -> Column:
     """A given text with clinical phrases in place of some of its letter groups."""
     for word, phrase in CLINICAL_PHRASES:
@@ -69,10 +84,12 @@ def notes(
     ``features`` replaces the text column by columns computed from it.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    documents = table(spark, folder, "documents").withColumn("text", text)
+    needs_text = features is None or len(features) > 0
+    docs = documents(spark, folder) if needs_text else table(spark, folder, "documents")
+    docs = docs.withColumn("text", text)
     in_test = F.col("source").isin(*TEST_SOURCES)
     columns = {TEXT: F.col("text")} if features is None else features
-    base = documents.select(
+    base = docs.select(
         F.col("doc_id").alias(ID),
         in_test.cast("int").alias(TEST_SET),
         *[c.alias(name) for name, c in columns.items()],

@@ -63,18 +63,21 @@ def save_metrics_json(metrics: DataFrame, path: str) -> None:
 def save_comparison(aligned: DataFrame, path: str, threshold: float = fv.HIGH_CONFIDENCE) -> list[str]:
     """Write the full comparison and, where not empty, both lists of disagreements.
 
-    Returns the names written.
+    The lists are read off the written table, so the comparison is computed
+    once. Returns the names written.
     """
-    written = {"full": aligned}
-    differing = disagreements(aligned)
-    strong = high_confidence_disagreements(aligned, threshold)
-    if not differing.isEmpty():
-        written["disagreements"] = differing
-    if not strong.isEmpty():
-        written["high_confidence_disagreements"] = strong
-    for name, rows in written.items():
-        rows.write.mode("overwrite").parquet(f"{path}/{name}")
-    return list(written)
+    aligned.write.mode("overwrite").parquet(f"{path}/full")
+    stored = aligned.sparkSession.read.schema(aligned.schema).parquet(f"{path}/full")
+    lists = {
+        "disagreements": disagreements(stored),
+        "high_confidence_disagreements": high_confidence_disagreements(stored, threshold),
+    }
+    written = ["full"]
+    for name, rows in lists.items():
+        if not rows.isEmpty():
+            rows.write.mode("overwrite").parquet(f"{path}/{name}")
+            written.append(name)
+    return written
 
 
 def text_summary(predictions: DataFrame, dataset: str = VALIDATION) -> DataFrame:
