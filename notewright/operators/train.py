@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 from notewright import fixed_values as fv
 from notewright.functions.labels import label_at
 from notewright.schema import EMBEDDING, LABEL, SCHEME, LabelScheme
+from notewright.session import cut_lineage
+
+_ROWS_PER_PARTITION = 10_000
 
 
 def class_weights(df: DataFrame, label_col: str = LABEL) -> DataFrame:
@@ -51,25 +55,31 @@ def _with_features(df: DataFrame, vector: str) -> DataFrame:
 
 
 def _training_rows(
-    df: DataFrame, target: str, order: Sequence, vector: str, balanced: bool
+    df: DataFrame, target: str, order: Sequence, vector: str, balanced: bool, written: bool
 ) -> tuple[DataFrame, tuple, float]:
-    """Features, class numbers and weights, the classes present, and the sum of weights."""
-    rows = df.filter(F.col(vector).isNotNull() & F.col(target).isNotNull())
-    # One row per class: the classes are the fixed, listed ones.
+    """Features, class numbers and weights, the classes present, and the sum of weights.
+
+    Fitting reads its rows again and again, so unless they come from a written
+    table already, the two columns it needs are written down first.
+    """
+    rows = df.filter(F.col(vector).isNotNull() & F.col(target).isin(*order)).select(target, vector)
+    if not written:
+        rows = cut_lineage(rows)
+    # At most one row per listed class.
     counts = {r[target]: r["n"] for r in rows.groupBy(target).agg(F.count("*").alias("n")).collect()}
     classes = tuple(value for value in order if value in counts)
     if len(classes) < 2:
         raise ValueError("training needs at least two classes")
-    total = sum(counts[value] for value in classes)
+    total = sum(counts.values())
     number = F.coalesce(*[F.when(F.col(target) == value, F.lit(float(i))) for i, value in enumerate(classes)])
     share = F.coalesce(*[
         F.when(F.col(target) == value, F.lit(total / (len(classes) * counts[value]) if balanced else 1.0))
         for value in classes
     ])
-    prepared = _with_features(rows.filter(F.col(target).isin(*classes)), vector).select(
-        "features", number.alias("label"), share.alias("weight")
-    )
-    return prepared, classes, float(total)
+    prepared = _with_features(rows, vector).select("features", number.alias("label"), share.alias("weight"))
+    # Few rows in many partitions would make every pass wait for scheduling.
+    enough = math.ceil(total / _ROWS_PER_PARTITION)
+    return prepared.coalesce(enough), classes, float(total)
 
 
 def fit_logistic(
@@ -80,13 +90,15 @@ def fit_logistic(
     balanced: bool = True,
     c: float = fv.LOGISTIC["C"],
     max_iter: int = fv.LOGISTIC["max_iter"],
+    written: bool = False,
 ) -> FittedClassifier:
     """L2-regularised logistic regression with loss weight ``c`` against half the squared norm.
 
     Weights sum to the row count, balanced or not, which sets the scale between
-    Spark's mean loss and the penalty.
+    Spark's mean loss and the penalty. ``written`` says that the rows come from a
+    written table.
     """
-    rows, classes, total = _training_rows(df, target, order, vector, balanced)
+    rows, classes, total = _training_rows(df, target, order, vector, balanced, written)
     estimator = LogisticRegression(
         family="binomial" if len(classes) == 2 else "multinomial",
         featuresCol="features", labelCol="label", weightCol="weight",
@@ -97,20 +109,22 @@ def fit_logistic(
 
 
 def fit_flag_models(
-    df: DataFrame, scheme: LabelScheme = SCHEME, vector: str = EMBEDDING
+    df: DataFrame, scheme: LabelScheme = SCHEME, vector: str = EMBEDDING, written: bool = False
 ) -> tuple[FittedClassifier, FittedClassifier]:
-    """One balanced binary model per flag, A first."""
+    """One balanced binary model per flag, A first; the rows are written down once for both."""
+    rows = df if written else cut_lineage(df.select(scheme.flag_a, scheme.flag_b, vector))
     return (
-        fit_logistic(df, scheme.flag_a, (0.0, 1.0), vector),
-        fit_logistic(df, scheme.flag_b, (0.0, 1.0), vector),
+        fit_logistic(rows, scheme.flag_a, (0.0, 1.0), vector, written=True),
+        fit_logistic(rows, scheme.flag_b, (0.0, 1.0), vector, written=True),
     )
 
 
 def fit_label_model(
-    df: DataFrame, scheme: LabelScheme = SCHEME, vector: str = EMBEDDING, balanced: bool = True
+    df: DataFrame, scheme: LabelScheme = SCHEME, vector: str = EMBEDDING, balanced: bool = True,
+    written: bool = False,
 ) -> FittedClassifier:
     """A model of the four labels; class order is the canonical one."""
-    return fit_logistic(df, LABEL, scheme.labels, vector, balanced)
+    return fit_logistic(df, LABEL, scheme.labels, vector, balanced, written=written)
 
 
 def fit_forest(
@@ -122,7 +136,7 @@ def fit_forest(
     seed: int = fv.SEED,
 ) -> FittedClassifier:
     """A random forest over the four labels."""
-    rows, classes, _ = _training_rows(df, LABEL, scheme.labels, vector, balanced=False)
+    rows, classes, _ = _training_rows(df, LABEL, scheme.labels, vector, balanced=False, written=False)
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed
     )

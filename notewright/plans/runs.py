@@ -43,11 +43,11 @@ def train_and_route(df: DataFrame, scheme: LabelScheme = SCHEME) -> RoutingRun:
 
     train_rows = rows.filter(F.col(split.SPLIT) == split.TRAIN)
     open_rows = rows.filter(select.is_unlabelled_all(scheme))
-    scored = train.score_flags(open_rows, train.fit_flag_models(train_rows, scheme))
+    scored = train.score_flags(open_rows, train.fit_flag_models(train_rows, scheme, written=True))
     expanded = cut_lineage(expand.expand_training_set(train_rows, expand.assign_phase(scored, scheme)))
 
-    baseline = train.fit_label_model(train_rows, scheme)
-    semisup = train.fit_label_model(expanded, scheme)
+    baseline = train.fit_label_model(train_rows, scheme, written=True)
+    semisup = train.fit_label_model(expanded, scheme, written=True)
     held_out = rows.filter(F.col(split.SPLIT).isin(split.VALIDATION, split.TEST))
     scored_rows = train.score_labels(train.score_labels(held_out, baseline, "baseline", scheme), semisup, "semisup", scheme)
     return RoutingRun(route.route(scored_rows, scheme=scheme), expanded, baseline, semisup)
