@@ -16,7 +16,7 @@ from notewright.functions.labels import combined_label
 from notewright.functions.text import prompt_text, render_prompt, retrieval_context
 from notewright.operators.metrics import with_correctness
 from notewright.operators.neighbours import gather_cases, similarity_search
-from notewright.schema import EMBEDDING, ID, LABEL, SCHEME, TEXT, LabelScheme
+from notewright.schema import EMBEDDING, ID, SCHEME, TEXT, LabelScheme
 from notewright.session import cut_lineage
 
 Responder = Callable[[Sequence[str]], Sequence[str]]

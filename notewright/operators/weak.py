@@ -13,7 +13,7 @@ from notewright.functions.rules import Rule, rule_votes
 from notewright.schema import TEXT
 from notewright.session import cut_lineage
 
-# Probability first given to the class a vote names.
+# Precision a vote is taken to have at first, and in pseudo-votes ever after.
 _FIRST_PRECISION = 0.7
 _TOLERANCE = 1e-7
 _FLOOR = 1e-9
@@ -51,11 +51,16 @@ def _log_odds(chances: np.ndarray) -> np.ndarray:
     return np.log(chances[:, :, fv.POSITIVE] / chances[:, :, fv.NEGATIVE])
 
 
-def _first_chances(seen: np.ndarray, total: float) -> np.ndarray:
-    """Chances per (rule, vote, class) that give every vote the starting precision."""
+def _pseudo_votes(seen: np.ndarray) -> np.ndarray:
+    """Votes per (rule, vote, class) if every vote had the starting precision."""
     precision = np.full((2, 2), 1.0 - _FIRST_PRECISION)
     np.fill_diagonal(precision, _FIRST_PRECISION)
-    return seen[:, :, None] * precision[None] / (total / 2.0)
+    return seen[:, :, None] * precision[None]
+
+
+def _chances(votes: np.ndarray, rows: np.ndarray, pseudo: np.ndarray, total: float) -> np.ndarray:
+    """Chances per (rule, vote, class) from votes and rows per class, with the pseudo-votes added."""
+    return (votes + pseudo) / (rows + total / 2.0)
 
 
 def _fit_in_memory(patterns: DataFrame, n_rules: int, epochs: int) -> np.ndarray:
@@ -65,12 +70,13 @@ def _fit_in_memory(patterns: DataFrame, n_rules: int, epochs: int) -> np.ndarray
     if not len(n):
         return np.zeros((n_rules, 2))
     cast = np.stack([votes == fv.NEGATIVE, votes == fv.POSITIVE], axis=2).astype(np.float64)
-    chances = _first_chances(np.einsum("i,ijv->jv", n, cast), n.sum())
+    pseudo = _pseudo_votes(np.einsum("i,ijv->jv", n, cast))
+    chances = pseudo / (n.sum() / 2.0)
     for _ in range(epochs):
         odds = _log_odds(chances)
         positive = 1.0 / (1.0 + np.exp(-np.einsum("ijv,jv->i", cast, odds)))
         split = np.stack([n * (1.0 - positive), n * positive], axis=1)
-        new = np.einsum("ic,ijv->jvc", split, cast) / (n.sum() / 2.0)
+        new = _chances(np.einsum("ic,ijv->jvc", split, cast), split.sum(axis=0), pseudo, n.sum())
         moved = np.abs(new - chances).max()
         chances = new
         if moved < _TOLERANCE:
@@ -81,21 +87,23 @@ def _fit_in_memory(patterns: DataFrame, n_rules: int, epochs: int) -> np.ndarray
 def _fit_on_table(patterns: DataFrame, n_rules: int, epochs: int) -> np.ndarray:
     votes, n = F.col("votes"), F.col("n")
 
-    def sums(positive: Column) -> tuple[np.ndarray, float]:
-        columns = [F.sum("n").alias("total")]
+    def sums(positive: Column) -> tuple[np.ndarray, np.ndarray]:
+        columns = [F.sum(n * (1.0 - positive)), F.sum(n * positive)]
         for j in range(n_rules):
             for vote in (fv.NEGATIVE, fv.POSITIVE):
                 weight = F.when(votes[j] == vote, n).otherwise(F.lit(0))
                 columns += [F.sum(weight * (1.0 - positive)), F.sum(weight * positive)]
-        row = patterns.agg(*columns).first()
-        return np.array(row[1:], dtype=np.float64).reshape(n_rules, 2, 2), float(row["total"])
+        row = np.array(patterns.agg(*columns).first(), dtype=np.float64)
+        return row[2:].reshape(n_rules, 2, 2), row[:2]
 
     if patterns.isEmpty():
         return np.zeros((n_rules, 2))
-    halves, total = sums(F.lit(0.5))
-    chances = _first_chances(halves.sum(axis=2), total)
+    halves, rows = sums(F.lit(0.5))
+    total = float(rows.sum())
+    pseudo = _pseudo_votes(halves.sum(axis=2))
+    chances = pseudo / (total / 2.0)
     for _ in range(epochs):
-        new = sums(_posterior(votes, _log_odds(chances)))[0] / (total / 2.0)
+        new = _chances(*sums(_posterior(votes, _log_odds(chances))), pseudo, total)
         moved = np.abs(new - chances).max()
         chances = new
         if moved < _TOLERANCE:
@@ -112,7 +120,8 @@ def fit_vote_model(
     Each rule has its own chance of each vote in each class; classes are even a
     priori and a rule that abstains says nothing. The chances start from a
     precision of 0.7 and are re-estimated from the posteriors until they settle
-    or ``epochs`` are done. Notes are read once, to count vote patterns, of
+    or ``epochs`` are done. As many pseudo-votes of the starting precision as a
+    rule has votes keep rules that never meet another from drifting. Notes are read once, to count vote patterns, of
     which there are at most 3^rules: with few rules they are fitted in memory,
     with many every round is one aggregation over the written pattern table.
     """

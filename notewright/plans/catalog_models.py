@@ -14,7 +14,7 @@ from notewright.functions.rules import CANCER_RULES, DIABETES_RULES, rule_votes
 from notewright.operators import expand, fuse, neighbours, profile, route, select, tfidf, train, weak
 from notewright.plans import runs
 from notewright.plans.driver_tables import clinical, documents, notes
-from notewright.plans.fixtures import QUESTIONS, SCORED, cases_and_questions, flag_label, scored_notes, word_flags
+from notewright.plans.fixtures import QUESTIONS, SCORED, cases_and_questions, flag_label, scored_notes
 from notewright.plans.oracle import clinical as clinical_sql
 from notewright.plans.oracle import label as label_sql
 from notewright.plans.oracle import LABELLED_NOTES, order_key, pick, quoted, softmax, vote
@@ -203,7 +203,9 @@ def _label_model_sql(prefix: str, n: int, epochs: int) -> str:
     names = [f"{prefix}{i}" for i in range(n)]
     start = math.log(0.7 / 0.3)
     parts = [f"patterns AS MATERIALIZED (SELECT {', '.join(names)}, count(*) AS n FROM votes GROUP BY ALL)",
-             "half AS (SELECT sum(n) / 2.0 AS h FROM patterns)",
+             "half AS (SELECT sum(n) / 2.0::DOUBLE AS h, " + ", ".join(
+                 f"sum(n) FILTER ({x} = {value}) AS seen_{x}_{tag}" for x in names for value, tag in ((1, "p"), (0, "n"))
+             ) + " FROM patterns)",
              "odds0 AS (SELECT " + ", ".join(f"{start}::DOUBLE AS {x}_p, {-start}::DOUBLE AS {x}_n" for x in names) + ")"]
 
     def posterior(odds: str) -> str:
@@ -215,8 +217,11 @@ def _label_model_sql(prefix: str, n: int, epochs: int) -> str:
         cells = []
         for x in names:
             for value, tag in ((1, "p"), (0, "n")):
-                up = f"greatest(coalesce(sum(n * q) FILTER ({x} = {value}), 0) / max(h), 1e-9)"
-                down = f"greatest(coalesce(sum(n * (1 - q)) FILTER ({x} = {value}), 0) / max(h), 1e-9)"
+                up, down = (
+                    f"greatest((coalesce(sum(n * {q}) FILTER ({x} = {value}), 0) + {share}::DOUBLE * coalesce(max(seen_{x}_{tag}), 0))"
+                    f" / (sum(n * {q}) + max(h)), 1e-9)"
+                    for q, share in (("q", 0.7 if value else 0.3), ("(1 - q)", 0.3 if value else 0.7))
+                )
                 cells.append(f"ln({up} / {down}) AS {x}_{tag}")
         parts.append(f"odds{r} AS MATERIALIZED (SELECT {', '.join(cells)} FROM post{r}, half)")
     return f"""WITH {_VOTES}, {', '.join(parts)} SELECT doc_id AS patient_identifier, round({posterior(f'odds{epochs}')}, 5) AS probability

@@ -36,6 +36,7 @@ from notewright.plans.registry import register, rounded
 from notewright.schema import EMBEDDING, ID, LABEL, TEST_SET, TEXT
 from notewright.session import scratch_path
 from notewright.sources.notes import embedding_text, load_notes, parse_embedding_text, write_notes_csv
+from notewright.streaming.notes_stream import drain, read_note_stream, with_keyword_flags
 from notewright.sources.vectors import (
     build_vector_table,
     load_vector_table,
@@ -232,6 +233,17 @@ def keyword_flags(spark: SparkSession, folder: str) -> DataFrame:
     ))
 
 
+@register(f"WITH {KEYWORDS} SELECT patient_identifier, CAST(kw_a AS INTEGER) AS has_cancer_kw, CAST(kw_b AS INTEGER) AS has_diabetes_kw FROM words")
+def streamed_keyword_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """The keyword flags of the documents read as a stream of files."""
+    schema = table(spark, folder, "documents").schema
+    stream = read_note_stream(spark, f"{folder}/documents*.parquet", schema)
+    docs = stream.select(F.col("doc_id").alias(ID), clinical(F.col("text")).alias(TEXT))
+    path = scratch_path(spark, "stream")
+    drain(with_keyword_flags(docs).drop(TEXT), f"{path}/rows", f"{path}/progress")
+    return rounded(spark.read.parquet(f"{path}/rows"))
+
+
 @register(f"""SELECT doc_id AS patient_identifier,
   CAST({matches(clinical_sql('text'), fv.CANCER_PREVALENCE)} AS INTEGER) AS cancer_mention,
   CAST({matches(clinical_sql('text'), fv.DIABETES_PREVALENCE)} AS INTEGER) AS diabetes_mention FROM documents""")

@@ -29,14 +29,18 @@ def local_session(cpus: int | str = "*", name: str = "notewright", memory: str =
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can read: the cluster's own, or a local one in local mode."""
-    folder = spark.conf.get(CHECKPOINT_CONF, None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="notewright-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
+    """The folder every executor can read.
+
+    It is the one the cluster names; in local mode, where none is named, a new
+    local one that stays the checkpoint folder of the session.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="notewright-"))
+        folder = context.getCheckpointDir()
     return folder
 
 

@@ -11,6 +11,11 @@ from notewright.schema import EMBEDDING, ID, SCHEME, TEST_SET, TEXT, LabelScheme
 
 # Quoted cells may span lines, and a quote inside them is doubled.
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+# Written cells keep their outer spaces, and empty text stays apart from a missing cell.
+CSV_WRITE_OPTIONS = {
+    "header": "true", "quote": '"', "escape": '"', "quoteAll": "true",
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def load_notes(
@@ -53,7 +58,7 @@ def embedding_text(vector: Column) -> Column:
 
 def write_notes_csv(df: DataFrame, path: str) -> None:
     """Write a table as CSV files that ``load_notes`` reads back unchanged."""
-    df.write.mode("overwrite").options(header="true", quote='"', escape='"', quoteAll="true").csv(path)
+    df.write.mode("overwrite").options(**CSV_WRITE_OPTIONS).csv(path)
 
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:

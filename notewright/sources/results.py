@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from notewright import fixed_values as fv
 from notewright.operators.compare import disagreements, high_confidence_disagreements
-from notewright.sources.notes import CSV_OPTIONS
+from notewright.sources.notes import CSV_OPTIONS, CSV_WRITE_OPTIONS
 
 VALIDATION, TEST = "validation", "test"
 RULE = "=" * 80
@@ -26,7 +26,7 @@ def save_predictions(df: DataFrame, path: str, csv: bool = False) -> None:
     """Write a prediction table as Parquet, or as CSV on request."""
     writer = df.write.mode("overwrite")
     if csv:
-        writer.options(header="true", quote='"', escape='"', quoteAll="true").csv(path)
+        writer.options(**CSV_WRITE_OPTIONS).csv(path)
     else:
         writer.parquet(path)
 
