@@ -70,9 +70,9 @@ def without_flags(df: DataFrame, scheme: LabelScheme = SCHEME) -> DataFrame:
 
 
 def exclude_ids(df: DataFrame, *taken: DataFrame, id_col: str = ID) -> DataFrame:
-    """Rows whose id occurs in none of ``taken``."""
+    """Rows whose id occurs in none of ``taken``; an id repeated there is shipped once."""
     for other in taken:
-        df = df.join(other.select(id_col), id_col, "left_anti")
+        df = df.join(other.select(id_col).distinct(), id_col, "left_anti")
     return df
 
 

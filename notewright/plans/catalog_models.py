@@ -139,7 +139,7 @@ def _vote_sql() -> str:
     thirds = [f"(b{i} * 0.4::DOUBLE + s{i} * 0.4::DOUBLE + (CASE WHEN c = {i} THEN 1.0 ELSE 0.0 END) * 0.2::DOUBLE)" for i in range(4)]
     code = "CASE WHEN kw_a AND kw_b THEN 3 WHEN kw_b THEN 2 WHEN kw_a THEN 1 ELSE 0 END"
     return f"""WITH {SCORED}, coded AS (SELECT *, {code} AS c FROM scored),
-      votes AS (SELECT patient_identifier, {', '.join(f'round({t}, 9) AS v{i}' for i, t in enumerate(thirds))} FROM coded)
+      votes AS (SELECT patient_identifier, {', '.join(f'{t} AS v{i}' for i, t in enumerate(thirds))} FROM coded)
       SELECT patient_identifier, {pick(['v0', 'v1', 'v2', 'v3'])} AS vote_label, round(greatest(v0, v1, v2, v3), 6) AS vote_confidence FROM votes"""
 
 
