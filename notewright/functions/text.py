@@ -52,7 +52,7 @@ def header_map(text: Column) -> Column:
     )
     filled = F.filter(entries, lambda e: (e["header"] != "") & (e["value"] != ""))
     last_of_run = bound(
-        F.array_sort(filled),
+        F.sort_array(filled),
         lambda rows: F.filter(
             rows,
             lambda e, i: (i == F.size(rows) - 1) | (F.get(rows, i + 1)["header"] != e["header"]),

@@ -193,7 +193,7 @@ def similarity_search(
 def gather_cases(hits: DataFrame, scheme: LabelScheme = SCHEME) -> DataFrame:
     """One row per query with its cases as an array, best first; k bounds the array."""
     case = F.struct("rank", "similarity_score", LABEL, scheme.flag_a, scheme.flag_b, TEXT, "patient_id")
-    return hits.groupBy("query_id").agg(F.array_sort(F.collect_list(case)).alias("cases"))
+    return hits.groupBy("query_id").agg(F.sort_array(F.collect_list(case)).alias("cases"))
 
 
 def retrieved_label_tally(hits: DataFrame, scheme: LabelScheme = SCHEME) -> DataFrame:

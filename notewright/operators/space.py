@@ -34,7 +34,7 @@ def centroid_similarity(centroids: DataFrame, labels: tuple[str, ...], label_col
     """
     listed = F.array(*[F.lit(label) for label in labels])
     item = F.struct(F.array_position(listed, F.col(label_col)).alias("place"), F.col(label_col).alias("label"), "centroid")
-    row = centroids.filter(F.col(label_col).isin(*labels)).agg(F.array_sort(F.collect_list(item)).alias("all"))
+    row = centroids.filter(F.col(label_col).isin(*labels)).agg(F.sort_array(F.collect_list(item)).alias("all"))
     firsts = row.select("all", F.explode("all").alias("a"))
     pairs = firsts.select("a", F.explode(F.filter("all", lambda b: b["place"] > F.col("a.place"))).alias("b"))
     return pairs.select(

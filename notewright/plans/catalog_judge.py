@@ -304,3 +304,54 @@ def stored_results_aligned(spark: SparkSession, folder: str) -> DataFrame:
     results.save_predictions(neighbour_predictions(spark, folder), two, csv=True)
     df = compare.align_predictions(*results.load_results(spark, one, two, csv=True))
     return rounded(df.select("patient_id", "baseline_prediction", "llm_prediction", "llm_confidence"))
+
+
+# --- nested documents -----------------------------------------------------------------
+
+def _read_document(spark: SparkSession, document: DataFrame, schema: str) -> DataFrame:
+    path = scratch_path(spark, "document")
+    results.save_document(document, path)
+    return spark.read.schema(schema).json(path)
+
+
+_SCORE_STRUCT = "struct<precision double, recall double, f1 double, support bigint>"
+
+
+@register(f"""WITH {_PAIRS}, {metric_rows('pairs', fv.LABELS)} SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall,
+  round(f1, 6) AS f1, support, (SELECT round(accuracy, 6) FROM overall) AS accuracy, (SELECT round(weighted_f1, 6) FROM averages) AS weighted_f1 FROM per_class""")
+def metrics_document_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    document = results.metrics_document(judged_notes(spark, folder), T, P)
+    stored = _read_document(
+        spark, document, f"overall struct<accuracy double, weighted_f1 double>, per_class map<string, {_SCORE_STRUCT}>"
+    )
+    rows = stored.select("overall.*", F.explode("per_class").alias("label", "s"))
+    return rounded(rows.select("label", "s.*", "accuracy", "weighted_f1"))
+
+
+@register(f"""WITH {ALIGNED}, seen AS (SELECT baseline_prediction AS label FROM aligned UNION SELECT llm_prediction FROM aligned)
+  SELECT label, round(count(*) FILTER (baseline_prediction = label) * 100.0 / count(*), 6) AS baseline_pct,
+  round(count(*) FILTER (llm_prediction = label) * 100.0 / count(*), 6) AS llm_pct, count(*) AS total_cases,
+  round(count(*) FILTER ({_SAME}) / count(*), 6) AS agreement_rate FROM seen, aligned GROUP BY label""")
+def comparison_document_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    document = results.comparison_document(aligned_predictions(spark, folder))
+    stored = _read_document(
+        spark, document,
+        "summary struct<total_cases bigint, agreement_rate double>, "
+        "prediction_distribution map<string, struct<baseline_pct double, llm_pct double, difference double>>",
+    )
+    rows = stored.select("summary.*", F.explode("prediction_distribution").alias("label", "s"))
+    return rounded(rows.select("label", "s.baseline_pct", "s.llm_pct", "total_cases", "agreement_rate"))
+
+
+@register(f"""WITH {JUDGED} SELECT true_label, count(*) AS n, count(*) FILTER (true_label = final_classification) AS correct,
+  (SELECT count(*) FROM judged_notes) AS total_cases, (SELECT count(*) FROM judged_notes WHERE {_CHANGED}) AS cases_changed,
+  (SELECT round(avg(CASE WHEN true_label = final_classification THEN 1.0 ELSE 0.0 END), 6) FROM judged_notes WHERE true_label IS NOT NULL) AS overall_accuracy
+  FROM judged_notes WHERE true_label IS NOT NULL GROUP BY true_label""")
+def retrieval_document_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    stored = _read_document(
+        spark, results.retrieval_document(judged_notes(spark, folder)),
+        "totals struct<total_cases bigint, overall_accuracy double, cases_changed bigint>, "
+        "per_class_metrics map<string, struct<n bigint, correct bigint, recall double>>",
+    )
+    rows = stored.select("totals.*", F.explode("per_class_metrics").alias("true_label", "s"))
+    return rounded(rows.select("true_label", "s.n", "s.correct", "total_cases", "overall_accuracy", "cases_changed"))

@@ -93,6 +93,28 @@ def training_metadata(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(profile.training_metadata(_expanded(spark, folder)))
 
 
+@register(f"""WITH {_PHASED}, judged AS (SELECT CASE WHEN true_a IS NOT NULL AND true_b IS NOT NULL THEN {label_sql('true_a', 'true_b')} END AS truth,
+    {pick(['b0', 'b1', 'b2', 'b3'])} AS baseline FROM scored)
+  SELECT truth AS true_label, count(*) AS n, round(avg(CASE WHEN truth = baseline THEN 1.0 ELSE 0.0 END), 6) AS baseline_recall,
+  (SELECT count(*) FROM expanded) AS n_semisup_train,
+  (SELECT round(avg(CASE WHEN truth = baseline THEN 1.0 ELSE 0.0 END), 6) FROM judged WHERE truth IS NOT NULL) AS baseline
+  FROM judged WHERE truth IS NOT NULL GROUP BY truth""")
+def routing_document_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    known = F.col("true_a").isNotNull() & F.col("true_b").isNotNull()
+    routed = route.route(scored_notes(spark, folder)).withColumn("true_label", F.when(known, flag_label("true_a", "true_b")))
+    path = scratch_path(spark, "document")
+    results.save_document(results.routing_document(routed, _expanded(spark, folder)), path)
+    stored = spark.read.schema(
+        "overall_accuracy struct<baseline double>, training_metadata struct<n_semisup_train bigint>, "
+        "per_class_performance map<string, struct<n bigint, baseline_recall double>>"
+    ).json(path)
+    rows = stored.select(
+        "overall_accuracy.baseline", "training_metadata.n_semisup_train",
+        F.explode("per_class_performance").alias("true_label", "s"),
+    )
+    return rounded(rows.select("true_label", "s.n", "s.baseline_recall", "n_semisup_train", "baseline"))
+
+
 @register(f"WITH {SCORED} " + " UNION ALL ".join(
     f"""SELECT '{name}' AS classifier, round(max({p}), 6) AS max_probability, round(avg({p}) FILTER ({t} = 1), 6) AS mean_positive,
   round(avg({p}) FILTER ({t} = 0), 6) AS mean_negative, count(*) FILTER ({p} < {fv.RELAXED_NEITHER_BELOW}) AS n_below FROM scored"""
@@ -198,7 +220,7 @@ def vote_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(weak.vote_diagnostics(scored, ("dm", "true_b"), ("ca", "true_a")))
 
 
-def _label_model_sql(prefix: str, n: int, epochs: int) -> str:
+def _label_model_sql(prefix: str, n: int, epochs: int, digits: int = 5) -> str:
     """The vote model spelled out round by round over the pattern table."""
     names = [f"{prefix}{i}" for i in range(n)]
     start = math.log(0.7 / 0.3)
@@ -224,7 +246,7 @@ def _label_model_sql(prefix: str, n: int, epochs: int) -> str:
                 )
                 cells.append(f"ln({up} / {down}) AS {x}_{tag}")
         parts.append(f"odds{r} AS MATERIALIZED (SELECT {', '.join(cells)} FROM post{r}, half)")
-    return f"""WITH {_VOTES}, {', '.join(parts)} SELECT doc_id AS patient_identifier, round({posterior(f'odds{epochs}')}, 5) AS probability
+    return f"""WITH {_VOTES}, {', '.join(parts)} SELECT doc_id AS patient_identifier, round({posterior(f'odds{epochs}')}, {digits}) AS probability
       FROM votes, odds{epochs}"""
 
 
@@ -243,16 +265,22 @@ def cancer_label_model(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(scored.select(ID, "probability"), 5)
 
 
-@register()
+_SETTLED = 40
+
+
+@register(f"""SELECT patient_identifier, dm_prob, ca_prob, CAST(dm_prob >= {fv.VOTE_LABEL_THRESHOLD} AS INTEGER) AS dm_label,
+  CAST(ca_prob >= {fv.VOTE_LABEL_THRESHOLD} AS INTEGER) AS ca_label FROM
+  (SELECT patient_identifier, probability AS dm_prob FROM ({_label_model_sql('d', 5, _SETTLED)}))
+  JOIN (SELECT patient_identifier, probability AS ca_prob FROM ({_label_model_sql('c', 5, _SETTLED)})) USING (patient_identifier)""")
 def label_model_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """Both vote models fitted to the end, with the label each probability gives."""
+    """Both vote models after the same number of rounds, with the label each probability gives."""
     df = _voted(spark, folder)
-    df = weak.label_model(df, len(DIABETES_RULES), votes="dm", probability="dm_prob")
-    df = weak.label_model(df, len(CANCER_RULES), votes="ca", probability="ca_prob")
+    df = weak.label_model(df, len(DIABETES_RULES), votes="dm", probability="dm_prob", epochs=_SETTLED)
+    df = weak.label_model(df, len(CANCER_RULES), votes="ca", probability="ca_prob", epochs=_SETTLED)
     return rounded(df.select(
         ID, "dm_prob", "ca_prob",
         weak.vote_label(F.col("dm_prob")).alias("dm_label"), weak.vote_label(F.col("ca_prob")).alias("ca_label"),
-    ))
+    ), 5)
 
 
 # --- trained models ----------------------------------------------------------------------
@@ -322,7 +350,7 @@ _VOCABULARY = f"""{_TERMS}, size AS (SELECT count(*) AS n FROM documents),
 @register(f"WITH {_VOCABULARY} SELECT term, n_notes, n_uses, round(idf, 6) AS idf FROM vocabulary")
 def tfidf_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
-    return rounded(tfidf.vocabulary(tfidf.term_statistics(docs), docs.count()))
+    return rounded(tfidf.vocabulary(docs, docs.count()))
 
 
 @register(f"""WITH {_VOCABULARY}, counts AS (SELECT doc_id, term, count(*) * max(idf) AS x FROM terms JOIN vocabulary USING (term) GROUP BY doc_id, term),

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notewright import fixed_values as fv
+from notewright.operators import compare, metrics
 from notewright.operators.compare import disagreements, high_confidence_disagreements
+from notewright.operators.profile import training_metadata
 from notewright.sources.notes import CSV_OPTIONS, CSV_WRITE_OPTIONS
 
 VALIDATION, TEST = "validation", "test"
@@ -60,6 +64,89 @@ def save_metrics_json(metrics: DataFrame, path: str) -> None:
     metrics.coalesce(1).write.mode("overwrite").json(path)
 
 
+def _by_label(rows: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
+    """One row ``value``: a map from label to a struct. Rows are one per label."""
+    entry = F.struct(F.col(label).alias("key"), F.struct(*columns).alias("value"))
+    return rows.agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("value"))
+
+
+def _document(**parts: DataFrame) -> DataFrame:
+    """One row ``value``: the JSON text of one-row tables put side by side under their names."""
+    names = list(parts)
+    whole = None
+    for name in names:
+        part = parts[name].select(F.lit(1).alias("_one"), F.struct(*parts[name].columns).alias(name))
+        whole = part if whole is None else whole.join(F.broadcast(part), "_one")
+    fields = []
+    for name in names:
+        inner = parts[name].columns
+        fields.append(F.col(f"{name}.value").alias(name) if inner == ["value"] else F.col(name))
+    return whole.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def metrics_document(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """Accuracy, averages and per-class scores as one nested JSON text."""
+    names = ["accuracy"] + [f"{kind}_{m}" for kind in ("macro", "weighted") for m in ("precision", "recall", "f1")]
+    long = metrics.compute_metrics(df, truth, predicted)
+    overall = long.filter(F.col("scope") == "overall").agg(
+        *[F.max(F.when(F.col("metric") == name, F.col("value"))).alias(name) for name in names]
+    )
+    classes = long.filter(F.col("scope") != "overall").groupBy("scope").agg(
+        *[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in ("precision", "recall", "f1")],
+        F.max(F.when(F.col("metric") == "support", F.col("value"))).cast("long").alias("support"),
+    )
+    per_class = _by_label(classes, "scope", ["precision", "recall", "f1", "support"])
+    return _document(overall=overall, per_class=per_class)
+
+
+def routing_document(
+    routed: DataFrame, expanded: DataFrame, truth: str = "true_label"
+) -> DataFrame:
+    """The evaluation of a routing run as one nested JSON text.
+
+    Accuracy and recall of both models and of the routed label, and the sizes of
+    the training sets.
+    """
+    models = {"baseline": "baseline_pred", "semi_supervised": "semisup_pred", "ensemble": "predicted_label"}
+    judged = routed.filter(F.col(truth).isNotNull())
+    accuracy = judged.agg(*[
+        F.avg((F.col(truth) == F.col(column)).cast("double")).alias(name) for name, column in models.items()
+    ])
+    recalls = metrics.model_recall_table(routed, truth, models)
+    per_class = _by_label(recalls, "true_label", ["n", *[f"{name}_recall" for name in models]])
+    return _document(
+        overall_accuracy=accuracy, per_class_performance=per_class, training_metadata=training_metadata(expanded)
+    )
+
+
+def retrieval_document(predictions: DataFrame) -> DataFrame:
+    """The evaluation of a retrieval run as one nested JSON text."""
+    truth, final = "true_label", "final_classification"
+    totals = predictions.agg(
+        F.count("*").alias("total_cases"),
+        F.avg((F.col(truth) == F.col(final)).cast("double")).alias("overall_accuracy"),
+        F.avg("initial_confidence").alias("avg_initial_confidence"),
+        F.avg("final_confidence").alias("avg_final_confidence"),
+        F.count_if(~F.col("initial_classification").eqNullSafe(F.col(final))).alias("cases_changed"),
+    )
+    per_class = _by_label(metrics.class_recall(predictions, truth, final), "true_label", ["n", "correct", "recall"])
+    return _document(totals=totals, per_class_metrics=per_class)
+
+
+def comparison_document(aligned: DataFrame, threshold: float = fv.HIGH_CONFIDENCE) -> DataFrame:
+    """The summary of a comparison as one nested JSON text."""
+    shares = compare.prediction_distribution(compare.pair_sums(aligned))
+    return _document(
+        summary=compare.comparison_summary(aligned, threshold),
+        prediction_distribution=_by_label(shares, "label", ["baseline_pct", "llm_pct", "difference"]),
+    )
+
+
+def save_document(document: DataFrame, path: str) -> None:
+    """Write a one-row JSON document as one file."""
+    document.coalesce(1).write.mode("overwrite").text(path)
+
+
 def save_comparison(aligned: DataFrame, path: str, threshold: float = fv.HIGH_CONFIDENCE) -> list[str]:
     """Write the full comparison and, where not empty, both lists of disagreements.
 

@@ -300,10 +300,29 @@ def test_terms_and_idf(spark):
     df = spark.createDataFrame([("A bb cc bb",), ("bb été",), ("x",), (None,)], "text string")
     rows = {r.term: (r.n_notes, r.n_uses) for r in tfidf.term_statistics(df).collect()}
     assert rows == {"bb": (2, 3), "cc": (1, 1), "été": (1, 1), "bb cc": (1, 1), "cc bb": (1, 1), "bb été": (1, 1)}
-    kept = tfidf.vocabulary(tfidf.term_statistics(df), 4).collect()
+    kept = tfidf.vocabulary(df, 4).collect()
     assert [(r.term, r.idf) for r in kept] == [("bb", pytest.approx(np.log(5 / 3) + 1))]
 
 
+@pytest.mark.parametrize("size", [3, 10, 25, 10_000])
+@pytest.mark.parametrize("max_broadcast", [0, 10_000])
+def test_vocabulary_equals_the_top_of_all_terms(spark, size, max_broadcast):
+    rng = np.random.default_rng(6)
+    names = np.array(["aa", "bb", "cc", "dd", "ee", "ff", "gg", "hh"])
+    notes = [" ".join(rng.choice(names, rng.integers(1, 30), p=[.3, .2, .15, .1, .1, .05, .05, .05])) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in notes], "text string")
+    expected = {}
+    for note in notes:
+        w = note.split()
+        for t in w + [f"{x} {y}" for x, y in zip(w, w[1:])]:
+            expected.setdefault(t, [0, set()])
+            expected[t][0] += 1
+            expected[t][1].add(note)
+    limits = [(-n, t) for t, (n, own) in expected.items() if 2 <= len(own) <= 0.95 * 60]
+    got = tfidf.vocabulary(df, 60, max_features=size, max_broadcast=max_broadcast).collect()
+    assert sorted((-r.n_uses, r.term) for r in got) == sorted(limits)[:size]
+
+
 def test_labels_spread_to_copies(spark):
     x = [[1, 0], [0.99, 0.01], [0.98, 0.02], [0, 1], [0.01, 0.99], [0.02, 0.98]]
     df = vectors(spark, x).withColumn(
