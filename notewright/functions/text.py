@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 from notewright import fixed_values as fv
 
-_EDGE_SPACE = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+# White space of all scripts: control characters, the usual and the typographic spaces.
+_SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -20,7 +24,7 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column) -> Column:
     """Drop white space of any script from both ends."""
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def lines_of(text: Column) -> Column:

@@ -35,11 +35,21 @@ def class_distribution(df: DataFrame, by: Sequence[str] = (), label_col: str = L
     return counts.withColumn("percentage", F.round(F.col("n") * 100.0 / whole, 2))
 
 
+def header_rows(df: DataFrame, headers: str = "headers", id_col: str = ID) -> DataFrame:
+    """(id, header, value), one row per header of a note.
+
+    The outer form keeps the optimiser from parsing each note a second time just
+    to drop notes without headers before they are unfolded.
+    """
+    rows = df.select(F.col(id_col), F.explode_outer(headers).alias("header", "value"))
+    return rows.filter(F.col("header").isNotNull())
+
+
 def header_coverage(df: DataFrame, headers: str = "headers", id_col: str = ID, top: int = 20) -> DataFrame:
     """The most frequent headers, with a sample value each."""
-    pairs = df.select(F.col(id_col), F.explode(headers).alias("header", "value"))
     return (
-        pairs.groupBy("header")
+        header_rows(df, headers, id_col)
+        .groupBy("header")
         .agg(F.count("*").alias("n"), F.min_by("value", id_col).alias("sample_value"))
         .orderBy(F.desc("n"), "header")
         .limit(top)

@@ -285,7 +285,7 @@ def _headed_notes(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(f"WITH {_HEADERS} SELECT doc_id AS patient_identifier, header, md5(value) AS value_md5 FROM headers")
 def parsed_headers(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _headed_notes(spark, folder).select(ID, F.explode("headers").alias("header", "value"))
+    rows = profile.header_rows(_headed_notes(spark, folder))
     return rows.select(ID, "header", F.md5("value").alias("value_md5"))
 
 

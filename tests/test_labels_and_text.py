@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from notewright import fixed_values as fv
 from notewright.functions import answers, labels, rules
-from notewright.functions.text import header_map, preview, prompt_text, render_prompt, retrieval_context
+from notewright.functions.text import header_map, preview, prompt_text, render_prompt, retrieval_context, strip
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -101,6 +101,12 @@ def test_headers_match_a_dict(spark, texts):
     assert ask(spark, texts, header_map(F.col("x"))) == [python_headers(t) for t in texts]
 
 
+def test_strip_knows_every_space(spark):
+    spaces = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+    texts = [spaces + "a b" + spaces[::-1], spaces, "\u200ba", ""]
+    assert ask(spark, texts, strip(F.col("x"))) == [t.strip() for t in texts]
+
+
 def test_headers_of_a_long_note(spark):
     text = "\n".join(f"k{i % 700}: v{i}" for i in range(5000))
     assert ask(spark, [text], header_map(F.col("x"))) == [python_headers(text)]
