@@ -13,21 +13,15 @@ from notewright.schema import SCHEME, LabelScheme
 
 
 def decision(
-    kw_a: Column,
-    kw_b: Column,
-    baseline_probs: Column,
-    semisup_probs: Column,
-    scheme: LabelScheme = SCHEME,
+    kw_a: Column, kw_b: Column, b: Column, pb: Column, s: Column, ps: Column, scheme: LabelScheme = SCHEME
 ) -> Column:
     """The routing decision as a struct (predicted_label, confidence, decision_reason).
 
-    Keywords decide first; then agreement of the models; then the model that is
-    stronger on the label it predicts; then a weighted vote, whose ties go to
-    the baseline.
+    ``b`` and ``s`` are the labels of the baseline and the semi-supervised model,
+    ``pb`` and ``ps`` their probabilities. Keywords decide first; then agreement
+    of the models; then the model that is stronger on the label it predicts;
+    then a weighted vote, whose ties go to the baseline.
     """
-    b, s = label_at(baseline_probs, scheme), label_at(semisup_probs, scheme)
-    pb, ps = F.array_max(baseline_probs), F.array_max(semisup_probs)
-
     def outcome(label: Column, confidence: Column, reason: Column) -> Column:
         return F.struct(
             label.alias("predicted_label"), confidence.alias("confidence"), reason.alias("decision_reason")
@@ -36,8 +30,7 @@ def decision(
     sure = F.lit(1.0)
     b_weight = F.when(b == scheme.neither, fv.BASELINE_NEITHER_WEIGHT).otherwise(1.0)
     s_weight = F.when(s != scheme.neither, fv.SEMISUP_POSITIVE_WEIGHT).otherwise(1.0)
-    b_wins = pb * b_weight >= ps * s_weight
-    winner = F.when(b_wins, b).otherwise(s)
+    winner = F.when(pb * b_weight >= ps * s_weight, b).otherwise(s)
     share = F.greatest(pb * b_weight, ps * s_weight) / (b_weight + s_weight)
     return (
         F.when(kw_a & kw_b, outcome(F.lit(scheme.both), sure, F.lit(fv.REASON_BOTH_KEYWORDS)))
@@ -58,18 +51,18 @@ def route(
     kw_b: str = "has_diabetes_kw",
     scheme: LabelScheme = SCHEME,
 ) -> DataFrame:
-    """Add the decision and both models' own label and confidence."""
-    b, s = F.col(baseline_probs), F.col(semisup_probs)
-    decided = df.withColumn("_decision", decision(F.col(kw_a), F.col(kw_b), b, s, scheme))
-    return decided.withColumns({
-        "predicted_label": F.col("_decision.predicted_label"),
-        "confidence": F.col("_decision.confidence"),
-        "decision_reason": F.col("_decision.decision_reason"),
-        "baseline_pred": label_at(b, scheme),
-        "baseline_conf": F.array_max(b),
-        "semisup_pred": label_at(s, scheme),
-        "semisup_conf": F.array_max(s),
-    }).drop("_decision")
+    """Add both models' own label and confidence, and the decision between them."""
+    picked = df.withColumns({
+        "baseline_pred": label_at(F.col(baseline_probs), scheme),
+        "baseline_conf": F.array_max(baseline_probs),
+        "semisup_pred": label_at(F.col(semisup_probs), scheme),
+        "semisup_conf": F.array_max(semisup_probs),
+    })
+    decided = decision(
+        F.col(kw_a), F.col(kw_b), F.col("baseline_pred"), F.col("baseline_conf"),
+        F.col("semisup_pred"), F.col("semisup_conf"), scheme,
+    )
+    return picked.withColumn("_decision", decided).select(*picked.columns, "_decision.*")
 
 
 def soft_vote(
