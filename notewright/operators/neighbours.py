@@ -33,8 +33,10 @@ BLOCK_BYTES = 512 << 20
 # Cosines are compared at nine decimals, so ranks do not depend on the block layout.
 _SCALE = 1_000_000_000
 _PLACE_BITS = 30
-# Scores held at once while one batch of queries meets a block.
-_CELLS = 1 << 22
+# Queries and store rows multiplied at once, small enough for a core's cache.
+_ROWS = 256
+_COLUMNS = 1024
+_LAST_PLACE = (1 << _PLACE_BITS) - 1
 
 
 def _unit_rows(vectors: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -49,37 +51,59 @@ def _unit_rows(vectors: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-def _best(queries: np.ndarray, store: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Store rows, cosines and ranks of each query's k best; ``store`` must be in id order.
+def _best(queries: np.ndarray, store: np.ndarray, k: int) -> np.ndarray:
+    """The k best store rows of each query as keys, best first; ``store`` must be in id order.
 
-    Rounded cosine and store place make one integer per cell, so equal cosines
-    fall to the smaller id. Queries are taken a few at a time to bound memory.
+    A key holds the rounded cosine and, below it, the place counted from the
+    end, so equal cosines fall to the smaller id. The store is taken in slices:
+    after the first ones only cells above a query's k-th cosine are looked at,
+    and a later copy of a kept row never is.
     """
     keep = min(k, len(store))
-    picked = np.empty((len(queries), keep), dtype=np.int64)
-    cosines = np.empty((len(queries), keep))
-    if keep:
-        last = (1 << _PLACE_BITS) - 1
-        places = last - np.arange(len(store), dtype=np.int64)
-        step = max(1, _CELLS // len(store))
-        for start in range(0, len(queries), step):
-            rounded = np.rint(queries[start:start + step] @ store.T * _SCALE).astype(np.int64)
-            order = -((rounded << _PLACE_BITS) | places)
-            if keep < len(store):
-                order = np.partition(order, keep - 1, axis=1)[:, :keep]
-            order = -np.sort(order, axis=1)
-            picked[start:start + step] = last - (order & last)
-            cosines[start:start + step] = (order >> _PLACE_BITS) / _SCALE
-    ranks = np.broadcast_to(np.arange(1, keep + 1, dtype=np.int32), picked.shape)
-    return picked, cosines, ranks
+    best = np.empty((len(queries), keep), dtype=np.int64)
+    for start in range(0, len(queries), _ROWS):
+        part = queries[start:start + _ROWS] * _SCALE
+        top = np.empty((len(part), 0), dtype=np.int64)
+        for left in range(0, len(store), _COLUMNS):
+            cells = part @ store[left:left + _COLUMNS].T
+            if top.shape[1] < keep:
+                places = _LAST_PLACE - left - np.arange(cells.shape[1])
+                keys = (np.rint(cells).astype(np.int64) << _PLACE_BITS) | places
+                top = -np.sort(-np.concatenate([top, keys], axis=1), axis=1)[:, :keep]
+                continue
+            floor = top[:, -1] >> _PLACE_BITS
+            row, column = np.nonzero(cells >= floor[:, None] + 0.5)
+            cosine = np.rint(cells[row, column]).astype(np.int64)
+            above = cosine > floor[row]
+            if above.any():
+                keys = (cosine[above] << _PLACE_BITS) | (_LAST_PLACE - left - column[above])
+                top = _merge(top, row[above], keys)
+        best[start:start + _ROWS] = top
+    return best
+
+
+def _merge(top: np.ndarray, row: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Put more keys of some rows among the kept ones and keep as many as before."""
+    size, keep = top.shape
+    rows = np.concatenate([np.repeat(np.arange(size), keep), row])
+    together = np.concatenate([top.ravel(), keys])
+    order = np.lexsort((-together, rows))
+    starts = np.searchsorted(rows[order], np.arange(size))
+    return together[order][starts[:, None] + np.arange(keep)]
 
 
 def _hits(query_ids: pa.Array, queries: np.ndarray, store_ids: pa.Array, store: np.ndarray, k: int) -> pa.RecordBatch:
-    picked, cosines, ranks = _best(queries, store, k)
-    asked = pa.array(np.repeat(np.arange(len(queries)), picked.shape[1]))
+    """The k best store rows of each query as (query_id, neighbour_id, cosine, rank)."""
+    best = _best(queries, store, k)
+    size, keep = best.shape
+    keys = best.ravel()
     return pa.record_batch(
-        [query_ids.take(asked), store_ids.take(pa.array(picked.ravel())), pa.array(cosines.ravel()),
-         pa.array(ranks.ravel())],
+        [
+            query_ids.take(pa.array(np.repeat(np.arange(size), keep))),
+            store_ids.take(pa.array(_LAST_PLACE - (keys & _LAST_PLACE))),
+            pa.array((keys >> _PLACE_BITS) / _SCALE),
+            pa.array(np.tile(np.arange(1, keep + 1, dtype=np.int32), size)),
+        ],
         names=["query_id", "neighbour_id", "cosine", "rank"],
     )
 
@@ -157,6 +181,12 @@ def _pairwise(
         )
         return pa.Table.from_batches([hits])
 
+    # Work per pair is far above its bytes, so partitions are counted in pairs, not merged by size.
+    spark = asked.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(query_blocks * store_blocks, max(shuffles, 4 * cores))
+    left, right = (side.repartition(parts, "qb", "sb") for side in (left, right))
     return left.groupBy("qb", "sb").cogroup(right.groupBy("qb", "sb")).applyInArrow(meet, schema)
 
 

@@ -3,13 +3,14 @@
 Every row has the sort key ``(md5(seed:id), id)``. To hold out the first ``n``
 rows of a class in that order no class is ever sorted whole: counts per (class,
 key prefix) find the one prefix where the quota runs out, only that prefix's
-rows are ranked, and the row at the quota becomes a cut key. The table itself is
-then split by comparing each row with its class's cut key, a broadcast of one
-row per class, so it is never shuffled.
+rows are ranked, and the row at the quota becomes the class's cut key. What is
+left of the split is a comparison of each row with one constant per listed
+class, so the table itself is neither shuffled nor joined.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,8 +24,10 @@ from notewright.session import cut_lineage
 SPLIT = "split"
 TRAIN, VALIDATION, TEST, UNLABELLED = "train", "validation", "test", "unlabelled"
 
-# Hex digits of the key that name a bucket: 65536 buckets per class.
-_PREFIX = 4
+# Hex digits of the key that name a bucket: 4096 buckets per class.
+_PREFIX = 3
+
+Quotas = Callable[[Mapping[str, int]], Mapping[str, int]]
 
 
 def order_key(seed: int, id_col: str = ID) -> Column:
@@ -32,89 +35,70 @@ def order_key(seed: int, id_col: str = ID) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
 
 
-def _with_held_out(
-    df: DataFrame,
-    within: Column,
-    quotas: Callable[[DataFrame], DataFrame],
-    seed: int,
-    id_col: str,
-    label_col: str,
-    flag: str,
-) -> DataFrame:
-    """Add ``flag``: true for the first ``quota`` rows of each class among ``within``.
+def _held_out(
+    df: DataFrame, within: Column, labels: Sequence[str], quotas: Quotas, seed: int, id_col: str, label_col: str
+) -> Column:
+    """True for the first rows of each class among ``within``, as many as its quota.
 
-    ``quotas`` turns a table (label, total) with one row per class into
-    (label, quota) for a fixed list of labels, which bounds what is broadcast.
-    A class without a quota gets a NULL flag.
+    ``quotas`` maps rows per class to rows wanted. The column is false for other
+    rows of a class with a quota and NULL for all others.
     """
-    keyed = df.filter(within).select(
+    keyed = df.filter(within & F.col(label_col).isin(*labels)).select(
         F.col(label_col).alias("label"), F.col(id_col).alias("id"), order_key(seed, id_col).alias("key")
-    )
-    prefix = F.substring("key", 1, _PREFIX)
-    counts = keyed.groupBy("label", prefix.alias("prefix")).agg(F.count("*").alias("n"))
-    quota = quotas(counts.groupBy("label").agg(F.sum("n").alias("total")))
-
-    running = F.sum("n").over(Window.partitionBy("label").orderBy("prefix"))
-    cut_prefix = (
-        counts.withColumn("upto", running)
-        .join(F.broadcast(quota), "label")
-        .filter((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
-        .select("label", "prefix", (F.col("quota") - F.col("upto") + F.col("n")).alias("place"))
-    )
-    ranked = Window.partitionBy("label").orderBy("key", "id")
-    cut_key = (
-        keyed.withColumn("prefix", prefix)
-        .join(F.broadcast(cut_prefix), ["label", "prefix"])
-        .withColumn("rank", F.row_number().over(ranked))
-        .filter(F.col("rank") == F.col("place"))
-        .select("label", F.struct("key", "id").alias("cut"))
-    )
-    cuts = quota.join(F.broadcast(cut_key), "label", "left").select(
-        F.col("label").alias(label_col), F.lit(True).alias("has_quota"), F.col("cut")
-    )
-    own = F.struct(order_key(seed, id_col).alias("key"), F.col(id_col).alias("id"))
-    held = F.when(F.col("has_quota"), F.coalesce(own <= F.col("cut"), F.lit(False)))
-    return (
-        df.join(F.broadcast(cuts), label_col, "left")
-        .withColumn(flag, F.when(within, held).otherwise(F.lit(False)))
-        .drop("has_quota", "cut")
-    )
-
-
-def _fraction_quota(fractions: Mapping[str, float]) -> Callable[[DataFrame], DataFrame]:
-    def quotas(totals: DataFrame) -> DataFrame:
-        share = F.coalesce(*[
-            F.when(F.col("label") == label, F.lit(float(fraction))) for label, fraction in fractions.items()
-        ])
-        wanted = F.greatest(F.lit(1), F.floor(F.col("total") * share)).cast("long")
-        return totals.filter(share.isNotNull()).select("label", wanted.alias("quota"))
-
-    return quotas
-
-
-def _stratified_quota(fraction: float, labels: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
-    def quotas(totals: DataFrame) -> DataFrame:
-        totals = totals.filter(F.col("label").isin(*labels))
-        # One row per class, so an unpartitioned window is small by construction.
-        everything = Window.partitionBy(F.lit(1))
-        by_remainder = everything.orderBy(F.desc("remainder"), "label")
-        wanted = F.ceil(F.col("rows") * F.lit(float(fraction))).cast("long")
-        share = F.col("wanted") * F.col("total") / F.col("rows")
-        small = F.col("total") < 2
-        return (
-            totals.withColumn("rows", F.sum("total").over(everything))
-            .withColumn("wanted", wanted)
-            .withColumn("base", F.floor(share))
-            .withColumn("remainder", F.round(share - F.col("base"), 9))
-            .withColumn("missing", F.col("wanted") - F.sum("base").over(everything))
-            .withColumn("extra", (F.row_number().over(by_remainder) <= F.col("missing")).cast("long"))
-            .select(
-                "label",
-                F.when(small, F.raise_error(F.lit("a class needs two rows to be split")).cast("long"))
-                .otherwise(F.col("base") + F.col("extra"))
-                .alias("quota"),
-            )
+    ).withColumn("prefix", F.substring("key", 1, _PREFIX))
+    counts = cut_lineage(keyed.groupBy("label", "prefix").agg(F.count("*").alias("n")))
+    # One row per listed class here and in the two results below.
+    totals = {r["label"]: r["total"] for r in counts.groupBy("label").agg(F.sum("n").alias("total")).collect()}
+    wanted = dict(quotas(totals))
+
+    def by_label(values: Mapping[str, object]) -> Column:
+        return F.coalesce(*[F.when(F.col("label") == k, F.lit(v)) for k, v in values.items()])
+
+    cuts = {}
+    if any(wanted.values()):
+        upto = F.sum("n").over(Window.partitionBy("label").orderBy("prefix"))
+        quota = by_label(wanted)
+        crossing = (
+            counts.withColumn("upto", upto)
+            .filter((F.col("upto") >= quota) & (F.col("upto") - F.col("n") < quota))
+            .select("label", "prefix", (quota - F.col("upto") + F.col("n")).alias("place"))
+            .collect()
+        )
+        inside = keyed.filter(F.col("prefix") == by_label({r["label"]: r["prefix"] for r in crossing}))
+        rank = F.row_number().over(Window.partitionBy("label").orderBy("key", "id"))
+        last = inside.withColumn("rank", rank).filter(
+            F.col("rank") == by_label({r["label"]: r["place"] for r in crossing})
         )
+        cuts = {r["label"]: (r["key"], r["id"]) for r in last.select("label", "key", "id").collect()}
+
+    key, own = order_key(seed, id_col), F.col(id_col)
+    held = F.lit(None).cast("boolean")
+    for label in wanted:
+        first = F.lit(False)
+        if label in cuts:
+            last_key, last_id = cuts[label]
+            first = (key < last_key) | ((key == last_key) & (own <= F.lit(last_id)))
+        held = F.when(F.col(label_col) == label, first).otherwise(held)
+    return F.when(within, held)
+
+
+def _fraction_quotas(fractions: Mapping[str, float]) -> Quotas:
+    return lambda totals: {label: max(1, int(n * fractions[label])) for label, n in totals.items()}
+
+
+def _stratified_quotas(fraction: float) -> Quotas:
+    def quotas(totals: Mapping[str, int]) -> dict[str, int]:
+        small = sorted(label for label, n in totals.items() if n < 2)
+        if small:
+            raise ValueError(f"classes with fewer than two rows cannot be split: {small}")
+        rows = sum(totals.values())
+        wanted = math.ceil(rows * fraction)
+        shares = {label: wanted * n / rows for label, n in totals.items()}
+        quota = {label: int(share) for label, share in shares.items()}
+        by_remainder = sorted(shares, key=lambda label: (-round(shares[label] - quota[label], 9), label))
+        for label in by_remainder[:wanted - sum(quota.values())]:
+            quota[label] += 1
+        return quota
 
     return quotas
 
@@ -132,9 +116,8 @@ def split_by_fraction_per_label(
     Rows outside ``within`` and classes without a fraction have a NULL split.
     """
     within = F.lit(True) if within is None else within
-    flagged = _with_held_out(df, within, _fraction_quota(fractions), seed, id_col, label_col, "_held")
-    part = F.when(F.col("_held"), TEST).when(~F.col("_held"), TRAIN)
-    return flagged.withColumn(SPLIT, F.when(within, part)).drop("_held")
+    held = _held_out(df, within, list(fractions), _fraction_quotas(fractions), seed, id_col, label_col)
+    return df.withColumn(SPLIT, F.when(held, TEST).when(~held, TRAIN))
 
 
 def split_stratified_total(
@@ -152,9 +135,8 @@ def split_stratified_total(
     Rows outside ``within`` and classes outside ``labels`` have a NULL split.
     """
     within = F.lit(True) if within is None else within
-    flagged = _with_held_out(df, within, _stratified_quota(fraction, labels), seed, id_col, label_col, "_held")
-    part = F.when(F.col("_held"), names[1]).when(~F.col("_held"), names[0])
-    return flagged.withColumn(SPLIT, F.when(within, part)).drop("_held")
+    held = _held_out(df, within, labels, _stratified_quotas(fraction), seed, id_col, label_col)
+    return df.withColumn(SPLIT, F.when(held, names[1]).when(~held, names[0]))
 
 
 def four_way_split(
@@ -180,14 +162,11 @@ def ratio_split(
     Classes outside ``labels`` have a NULL split.
     """
     rest = ratios[TRAIN] + ratios[VALIDATION]
-    tested = _with_held_out(
-        df, F.lit(True), _stratified_quota(ratios[TEST], labels), seed, id_col, label_col, "_test"
-    )
-    both = _with_held_out(
-        tested, ~F.col("_test"), _stratified_quota(ratios[VALIDATION] / rest, labels), seed, id_col, label_col, "_val"
-    )
-    part = F.when(F.col("_test"), TEST).when(F.col("_val"), VALIDATION).when(~F.col("_val"), TRAIN)
-    return both.withColumn(SPLIT, part).drop("_test", "_val")
+    options = (seed, id_col, label_col)
+    test = _held_out(df, F.lit(True), labels, _stratified_quotas(ratios[TEST]), *options)
+    kept = F.coalesce(~test, F.lit(False))
+    validation = _held_out(df, kept, labels, _stratified_quotas(ratios[VALIDATION] / rest), *options)
+    return df.withColumn(SPLIT, F.when(test, TEST).when(validation, VALIDATION).when(~validation, TRAIN))
 
 
 def resplit(train: DataFrame, validation: DataFrame, **options) -> DataFrame:

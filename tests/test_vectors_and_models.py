@@ -47,6 +47,22 @@ def test_neighbours_match_brute_force_with_copies(spark, limits, k):
     assert got == brute_force(q, s, k)
 
 
+@pytest.mark.parametrize("k", [1, 3, 40])
+@pytest.mark.parametrize("slice_size", [1, 7, 64, 500])
+def test_slices_change_nothing(monkeypatch, k, slice_size):
+    rng = np.random.default_rng(9)
+    store = rng.integers(-1, 2, (300, 4)) + 0.25
+    store[100:200] = store[7]
+    queries = np.vstack([rng.normal(size=(20, 4)), store[7:8]])
+    unit = [m / np.linalg.norm(m, axis=1, keepdims=True) for m in (queries, store)]
+    monkeypatch.setattr(neighbours, "_COLUMNS", slice_size)
+    monkeypatch.setattr(neighbours, "_ROWS", 6)
+    keys = neighbours._best(*unit, k)
+    places = neighbours._LAST_PLACE - (keys & neighbours._LAST_PLACE)
+    expected = brute_force(dict(enumerate(queries)), dict(enumerate(store)), k)
+    assert [list(p) for p in places] == [expected[i] for i in range(21)]
+
+
 def test_rows_without_vector_and_empty_store(spark):
     asked = vectors(spark, [[1, 0], None])
     assert neighbours.top_k_cosine(asked, vectors(spark, [None]), 3).count() == 0
