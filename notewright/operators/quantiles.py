@@ -4,70 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKETS = 65536
+_BUCKETS = 4096
 _ROUNDS = 2
 
 
 def exact_quantile(df: DataFrame, by: str, groups: Sequence, value: str, p: float = 0.5) -> DataFrame:
     """The linearly interpolated quantile of ``value`` per listed group, as column ``quantile``.
 
-    The two order statistics around the quantile are bracketed by counting
-    values per equal-width bucket between the group's bounds, twice; what is
-    left of a bracket is counted per distinct value. Each step ships counts, two
-    bracket rows per listed group are broadcast, and the answer is exact
-    whatever the distribution or the number of equal values.
+    The two neighbouring order statistics around the quantile are bracketed by
+    counting values per equal-width bucket between the group's bounds, twice;
+    what is left of a bracket is counted per distinct value. Each step ships
+    counts, one bracket row per listed group is broadcast, and the answer is
+    exact whatever the distribution or the number of equal values.
     """
     known = F.col(by).isin(*groups) & F.col("_v").isNotNull()
     rows = df.select(by, F.col(value).cast("double").alias("_v")).filter(known & ~F.isnan("_v"))
-    spread = rows.groupBy(by).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    position = (F.col("_n") - 1) * F.lit(float(p))
-    brackets = spread.select(
-        by, "_lo", "_hi",
-        F.lit(0).cast("long").alias("_below"),
+    position = (F.count("*") - 1) * F.lit(float(p))
+    brackets = rows.groupBy(by).agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.lit(0).cast("long").alias("_below"),
+        F.floor(position).alias("_first"), F.ceil(position).alias("_second"),
         (position - F.floor(position)).alias("_weight"),
-        F.explode(F.array_distinct(F.array(F.floor(position), F.ceil(position)))).alias("_rank"),
-        F.floor(position).alias("_first"),
     )
-    keys = [by, "_rank"]
     for _ in range(_ROUNDS):
         width = (F.col("_hi") - F.col("_lo")) / _BUCKETS
-        place = F.when(
-            width > 0,
-            F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(_BUCKETS - 1)),
+        bucket = F.when(
+            width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(_BUCKETS - 1))
         ).otherwise(F.lit(0))
-        running = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_bucket"))
-        counts = (
-            _inside(rows, brackets, by)
-            .groupBy(*keys, place.alias("_bucket"))
-            .agg(F.count("*").alias("_c"), F.min("_v").alias("_blo"), F.max("_v").alias("_bhi"),
-                 F.first("_below").alias("_below"), F.first("_weight").alias("_weight"),
-                 F.first("_first").alias("_first"))
+        found = _counted(rows, brackets, by, bucket)
+        holds_either = (F.col("_upto") > F.col("_first")) & (F.col("_upto") - F.col("_n") <= F.col("_second"))
+        brackets = found.filter(holds_either).groupBy(by, "_first", "_second", "_weight").agg(
+            F.min("_low").alias("_lo"), F.max("_high").alias("_hi"), F.min(F.col("_upto") - F.col("_n")).alias("_below")
         )
-        brackets = (
-            counts.withColumn("_upto", F.col("_below") + running)
-            .filter((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_c") <= F.col("_rank")))
-            .select(*keys, F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"),
-                    (F.col("_upto") - F.col("_c")).alias("_below"), "_weight", "_first")
-        )
-    running = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v"))
-    values = (
-        _inside(rows, brackets, by)
-        .groupBy(*keys, "_v")
-        .agg(F.count("*").alias("_c"), F.first("_below").alias("_below"),
-             F.first("_weight").alias("_weight"), F.first("_first").alias("_first"))
-        .withColumn("_upto", F.col("_below") + running)
-        .filter((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_c") <= F.col("_rank")))
-    )
-    lower = F.max(F.when(F.col("_rank") == F.col("_first"), F.col("_v")))
-    return values.groupBy(by).agg(
-        (lower + F.max("_weight") * (F.max("_v") - lower)).alias("quantile")
-    )
+    values = _counted(rows, brackets, by, F.col("_v"))
 
+    def at(rank: str) -> Column:
+        here = (F.col("_upto") > F.col(rank)) & (F.col("_upto") - F.col("_n") <= F.col(rank))
+        return F.max(F.when(here, F.col("_low")))
 
-def _inside(rows: DataFrame, brackets: DataFrame, by: str) -> DataFrame:
-    """Rows inside their group's brackets; a row in both brackets comes twice."""
-    joined = rows.join(F.broadcast(brackets), by)
-    return joined.filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+    return values.groupBy(by).agg((at("_first") + F.max("_weight") * (at("_second") - at("_first"))).alias("quantile"))
+
+
+def _counted(rows: DataFrame, brackets: DataFrame, by: str, key: Column) -> DataFrame:
+    """Rows inside their group's bracket counted per ``key``, with the running count up to each."""
+    kept = ["_first", "_second", "_weight", "_below"]
+    inside = rows.join(F.broadcast(brackets), by).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    counts = inside.groupBy(by, *kept, key.alias("_key")).agg(
+        F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
+    )
+    running = F.sum("_n").over(Window.partitionBy(by).orderBy("_key"))
+    return counts.withColumn("_upto", F.col("_below") + running)
