@@ -128,8 +128,10 @@ def test_complete_rows_drop_any_null(spark):
 
 
 def test_lineage_is_cut_in_the_shared_folder(spark):
-    df = cut_lineage(spark.range(10).withColumn("x", F.col("id") * 2))
-    assert "Scan ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
+    df = cut_lineage(spark.range(10).withColumn("x", F.col("id") * 2).withColumn("y", F.lit("z")))
+    plan = df.select("x")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "ReadSchema: struct<x:bigint>" in plan and "Range" not in plan
+    assert df.agg(F.sum("x")).first()[0] == 90
     assert scratch_path(spark, "a").startswith(shared_folder(spark))
 
 
