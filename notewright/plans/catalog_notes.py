@@ -52,7 +52,7 @@ def _md5(name: str = TEXT):
 
 # --- sources -----------------------------------------------------------------
 
-@register(f"""WITH {NOTES} SELECT patient_identifier, md5(text) AS text_md5, length(text) AS n_chars,
+@register(f"""WITH {NOTES} SELECT patient_identifier, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS n_chars,
   has_cancer, has_diabetes, test_set FROM notes""")
 def notes_csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "notes-csv")
@@ -154,7 +154,7 @@ def unlabelled_all_rows(spark: SparkSession, folder: str) -> DataFrame:
     return select.unlabelled_all(df, select.labelled(df), select.official_test(df)).select(ID)
 
 
-@register(f"WITH {NOTES} SELECT patient_identifier, length(text) AS n_chars FROM notes WHERE test_set = 1")
+@register(f"WITH {NOTES} SELECT patient_identifier, CAST(length(text) AS INTEGER) AS n_chars FROM notes WHERE test_set = 1")
 def official_test_rows(spark: SparkSession, folder: str) -> DataFrame:
     df = notes(spark, folder, features={"n_chars": F.length("text")})
     return select.official_test(df).select(ID, "n_chars")
@@ -190,7 +190,7 @@ def text_previews(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register(f"""SELECT doc_id AS patient_identifier, md5(substring(text, 1, {fv.PROMPT_TEXT_CHARS})) AS prompt_md5,
-  length(text) AS n_chars FROM documents""")
+  CAST(length(text) AS INTEGER) AS n_chars FROM documents""")
 def prompt_texts(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return docs.select(
@@ -401,7 +401,7 @@ def final_answers_strict(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- profiles --------------------------------------------------------------------
 
-@register(f"""WITH {NOTES} SELECT count(*) AS total_records, 0 AS missing_text,
+@register(f"""WITH {NOTES} SELECT count(*) AS total_records, CAST(0 AS BIGINT) AS missing_text,
   count(*) FILTER (embedding IS NULL) AS missing_embeddings, count(*) FILTER (text = '') AS empty_text,
   round(avg(length(text)), 6) AS avg_text_length,
   count(*) FILTER (has_cancer IS NOT NULL AND has_diabetes IS NOT NULL) AS labeled_records,
@@ -418,7 +418,7 @@ def class_distribution(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register(f"""WITH {LABELLED_NOTES} SELECT combined_label, round(avg(length(text)), 6) AS mean,
-  round(quantile_cont(length(text), 0.5), 6) AS median, min(length(text)) AS min, max(length(text)) AS max
+  round(quantile_cont(length(text), 0.5), 6) AS median, CAST(min(length(text)) AS INTEGER) AS min, CAST(max(length(text)) AS INTEGER) AS max
   FROM labelled GROUP BY combined_label""")
 def text_length_by_class(spark: SparkSession, folder: str) -> DataFrame:
     df = notes(spark, folder, features={"n_chars": F.length("text")})

@@ -20,7 +20,7 @@ _HITS = f"{QUESTIONS}, {neighbours_sql('asked', 'store', fv.TOP_K)}"
 _HIT_ROWS = "CAST(rank AS INTEGER) AS rank"
 
 
-@register("SELECT count(*) AS n_rows, count(*) AS n_right_length, 0 AS n_not_a_number FROM documents")
+@register("SELECT count(*) AS n_rows, count(*) AS n_right_length, CAST(0 AS BIGINT) AS n_not_a_number FROM documents")
 def embedded_texts(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select(F.col("doc_id").alias(ID), TEXT)
     vectors = embed.embed_hashed(docs, embed.hashed_embedder(docs))

@@ -133,7 +133,7 @@ def retrieval_sql() -> str:
   flagged AS (SELECT *, CAST(final IN ('Cancer Only', 'Both') AS DOUBLE) AS pa, CAST(final IN ('Diabetes Only', 'Both') AS DOUBLE) AS pb FROM finals),
   decided AS (SELECT patient_identifier AS patient_id, md5(text) AS text_md5, {label('has_cancer', 'has_diabetes')} AS true_label,
     has_cancer AS true_has_cancer, has_diabetes AS true_has_diabetes, initial AS initial_classification, final AS final_classification,
-    pa AS pred_has_cancer, pb AS pred_has_diabetes, round(sure, 6) AS initial_confidence, round(final_sure, 6) AS final_confidence,
+    pa AS pred_has_cancer, pb AS pred_has_diabetes, round(CAST(sure AS DOUBLE), 6) AS initial_confidence, round(final_sure, 6) AS final_confidence,
     CAST(pa = has_cancer AND pb = has_diabetes AS INTEGER) AS correct, CAST(pa = has_cancer AS INTEGER) AS correct_cancer,
     CAST(pb = has_diabetes AS INTEGER) AS correct_diabetes,
     CASE WHEN sure < 0.6 THEN 'cases' ELSE 'first answer' END AS decision_rationale FROM flagged)"""
