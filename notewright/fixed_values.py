@@ -153,6 +153,28 @@ TOP_K = 5
 PROMPT_TEXT_CHARS = 2000
 SNIPPET_CHARS = 200
 
+# How a retrieved case is shown, from its number, score, label, both flags and snippet.
+CASE_FORMAT = (
+    "Similar Case %d (Similarity: %.3f):\n"
+    "  Label: %s\n"
+    "  Has Cancer: %s\n"
+    "  Has Diabetes: %s\n"
+    "  Text snippet: %s\n"
+)
+
+# Lines of the readable report.
+REPORT_RULE = "=" * 80
+REPORT_TOTAL = "Total predictions: %d"
+REPORT_CORRECT = "Correct predictions: %d"
+REPORT_ACCURACY = "Accuracy: "
+REPORT_CLASSES = "Per-class performance:"
+REPORT_CLASS = "  {label:20s}: %d/%d = "
+REPORT_CONFIDENCE = "Confidence statistics:"
+REPORT_INITIAL = "  Average Initial Confidence: %.3f"
+REPORT_FINAL = "  Average Final Confidence:   %.3f"
+REPORT_CHANGES = "Decision changes:"
+REPORT_CHANGED = "  Cases where final differed from initial: %d ("
+
 # Embedding size and batch.
 EMBEDDING_DIM = 1536
 EMBEDDING_BATCH = 100

@@ -90,8 +90,7 @@ def retrieval_context(cases: Column) -> Column:
     """
     def block(case: Column, place: Column) -> Column:
         return F.format_string(
-            "Similar Case %d (Similarity: %.3f):\n  Label: %s\n  Has Cancer: %s\n"
-            "  Has Diabetes: %s\n  Text snippet: %s\n",
+            fv.CASE_FORMAT,
             place + 1,
             case["similarity_score"],
             case["combined_label"],

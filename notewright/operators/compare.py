@@ -180,7 +180,7 @@ def comparison_summary(aligned: DataFrame, threshold: float = fv.HIGH_CONFIDENCE
         F.count("*").alias("total_cases"),
         F.count_if(same).alias("agreements"),
         F.count_if(~same).alias("disagreements"),
-        (F.count_if(same) / F.count("*")).alias("agreement_rate"),
+        F.try_divide(F.count_if(same), F.count("*")).alias("agreement_rate"),
         F.count_if(~same & strong).alias("high_confidence_disagreements"),
     ]
     for model in (FIRST, SECOND):

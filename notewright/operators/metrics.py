@@ -217,7 +217,7 @@ def cases_changed(
     return df.agg(
         F.count("*").alias("total_cases"),
         changed.alias("cases_changed"),
-        (changed * 100.0 / F.count("*")).alias("changed_pct"),
+        F.try_divide(changed * 100.0, F.count("*")).alias("changed_pct"),
     )
 
 
@@ -238,8 +238,8 @@ def improvement(
     judged = df.filter(F.col(truth).isNotNull())
     first, last = (F.count_if(F.col(truth) == F.col(c)) for c in (initial, final))
     return judged.agg(
-        (first / F.count("*")).alias("initial_accuracy"),
-        (last / F.count("*")).alias("final_accuracy"),
+        F.try_divide(first, F.count("*")).alias("initial_accuracy"),
+        F.try_divide(last, F.count("*")).alias("final_accuracy"),
         (last - first).alias("improvement"),
     )
 

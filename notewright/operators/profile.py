@@ -72,7 +72,7 @@ def column_coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
     rows = F.array(*[
         F.struct(F.lit(name).alias("column"), F.col(f"_{i}").alias("n"),
-                 F.round(F.col(f"_{i}") * 100.0 / F.col("_all"), 1).alias("percentage"))
+                 F.round(F.try_divide(F.col(f"_{i}") * 100.0, F.col("_all")), 1).alias("percentage"))
         for i, name in enumerate(columns)
     ])
     return totals.select(F.inline(rows))
@@ -171,7 +171,7 @@ def training_metadata(
         F.count_if(given).alias("n_baseline_train"),
         F.count("*").alias("n_semisup_train"),
         (F.count("*") - F.count_if(given)).alias("n_synthetic"),
-        (F.count_if(given & (F.col(label_col) == scheme.neither)) / F.count_if(given)).alias(
+        F.try_divide(F.count_if(given & (F.col(label_col) == scheme.neither)), F.count_if(given)).alias(
             "baseline_neither_pct"
         ),
     )

@@ -168,7 +168,7 @@ def vote_diagnostics(
     return df.agg(
         F.count("*").alias("total"),
         silent.alias("no_signal"),
-        (silent * 100.0 / F.count("*")).alias("no_signal_pct"),
+        F.try_divide(silent * 100.0, F.count("*")).alias("no_signal_pct"),
         F.count_if(p1 > threshold).alias("sure_first"),
         F.count_if(p2 > threshold).alias("sure_second"),
         accuracy(p1, t1).alias("accuracy_first"),

@@ -14,7 +14,6 @@ from notewright.operators.profile import training_metadata
 from notewright.sources.notes import CSV_OPTIONS, CSV_WRITE_OPTIONS
 
 VALIDATION, TEST = "validation", "test"
-RULE = "=" * 80
 
 
 def routing_table(routed: DataFrame, true_label: str = "combined_label") -> DataFrame:
@@ -186,27 +185,31 @@ def text_summary(predictions: DataFrame, dataset: str = VALIDATION) -> DataFrame
         return F.format_string(text, *values)
 
     def percent(value: Column) -> Column:
-        return F.coalesce(F.format_string("%.1f%%", value * 100.0), F.lit("nan%"))
+        return F.format_string("%.1f%%", value * 100.0)
 
+    def heading(text: str) -> str:
+        return f"{fv.REPORT_RULE}\n{text}\n{fv.REPORT_RULE}"
+
+    accuracy = F.when(F.col("accuracy").isNotNull(), percent(F.col("accuracy"))).otherwise("unknown")
     lines = [
-        F.lit(f"{RULE}\nRETRIEVAL RUN - {dataset.upper()} SET RESULTS\n{RULE}\n"),
-        line("Total predictions: %d", F.col("n")),
-        line("Correct predictions: %d", F.col("right")),
-        F.concat(F.lit("Accuracy: "), F.when(F.col("accuracy").isNotNull(), percent(F.col("accuracy"))).otherwise("unknown"), F.lit("\n")),
-        F.lit("Per-class performance:"),
+        F.lit(heading(f"RETRIEVAL RUN - {dataset.upper()} SET RESULTS") + "\n"),
+        line(fv.REPORT_TOTAL, F.col("n")),
+        line(fv.REPORT_CORRECT, F.col("right")),
+        F.concat(F.lit(fv.REPORT_ACCURACY), accuracy, F.lit("\n")),
+        F.lit(fv.REPORT_CLASSES),
     ]
     for i, label in enumerate(fv.LABELS):
         n, hit = F.col(f"n{i}"), F.col(f"hit{i}")
-        share = F.format_string("%.1f%%", hit * 100.0 / n)
-        lines.append(F.when(n > 0, F.concat(line(f"  {label:20s}: %d/%d = ", hit, n), share)))
+        counts = line(fv.REPORT_CLASS.format(label=label), hit, n)
+        lines.append(F.when(n > 0, F.concat(counts, percent(hit / n))))
     lines += [
-        F.lit(f"\n{RULE}\nConfidence statistics:\n{RULE}"),
-        line("  Average Initial Confidence: %.3f", F.col("initial")),
-        line("  Average Final Confidence:   %.3f", F.col("final")),
-        F.lit(f"\n{RULE}\nDecision changes:\n{RULE}"),
+        F.lit("\n" + heading(fv.REPORT_CONFIDENCE)),
+        line(fv.REPORT_INITIAL, F.col("initial")),
+        line(fv.REPORT_FINAL, F.col("final")),
+        F.lit("\n" + heading(fv.REPORT_CHANGES)),
         F.concat(
-            line("  Cases where final differed from initial: %d (", F.col("changed")),
-            F.format_string("%.1f%%)", F.col("changed") * 100.0 / F.col("n")),
+            line(fv.REPORT_CHANGED, F.col("changed")),
+            F.coalesce(percent(F.try_divide(F.col("changed"), F.col("n"))), F.lit("unknown")), F.lit(")"),
         ),
     ]
     return sums.select(F.concat_ws("\n", *lines).alias("value"))

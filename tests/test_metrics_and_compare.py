@@ -130,3 +130,20 @@ def test_exact_quantiles(spark, values):
         got = {r.k: r.quantile for r in exact_quantile(df, "k", ("g", "h"), "v", p).collect()}
         assert got["g"] == pytest.approx(float(np.quantile(known, p)), rel=1e-12)
         assert got["h"] == 4.0
+
+
+def test_empty_tables_give_nulls_not_errors(spark):
+    from notewright.operators import profile, weak
+
+    none = spark.createDataFrame([], "true_label string, initial_classification string, final_classification string")
+    assert tuple(metrics.cases_changed(none).first()) == (0, 0, None)
+    assert tuple(metrics.improvement(none).first()) == (None, None, 0)
+    assert metrics.compute_metrics(none, "true_label", "final_classification").count() == 7 + 16
+    empty = aligned(spark, [])
+    assert compare.comparison_summary(empty).first().agreement_rate is None
+    assert compare.disagreement_summary(compare.pair_sums(empty)).count() == 1
+    assert compare.confidence_describe(empty).count() == 0
+    labelled = spark.createDataFrame([], "combined_label string, source string, a double, b double")
+    assert profile.training_metadata(labelled).first().baseline_neither_pct is None
+    assert profile.column_coverage(labelled, ["source"]).first().percentage is None
+    assert weak.vote_diagnostics(labelled, ("a", "b"), ("b", "a")).first().no_signal_pct is None

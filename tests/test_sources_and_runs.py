@@ -92,6 +92,11 @@ def test_summary_text(spark):
     assert "  Cases where final differed from initial: 1 (50.0%)" in text
 
 
+def test_summary_of_nothing(spark):
+    text = results.text_summary(predictions(spark, [])).first()[0]
+    assert "Total predictions: 0" in text and "Accuracy: unknown" in text
+
+
 def test_datasets_do_not_overwrite_each_other(spark, tmp_path):
     df = predictions(spark, [ROW])
     for name in ("test", "validation", "anything"):
