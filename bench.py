@@ -1,5 +1,7 @@
 """Time the headline queries and print one JSON line.
 
+One query is run untimed first, so that the times do not include JVM start-up.
+
 Environment: BENCH_SF_DIR (tables), BENCH_CPUS (local cores), BENCH_QUERIES
 (comma-separated names, ``all`` for every registered query).
 """
@@ -44,7 +46,7 @@ def main() -> None:
     names = list(CATALOG) if chosen == "all" else chosen.split(",") if chosen else list(HEADLINE)
     spark = local_session(cpus, "notewright-bench")
     spark.sparkContext.setLogLevel("ERROR")
-    spark.read.parquet(f"{folder}/documents.parquet").count()
+    CATALOG[HEADLINE[0]].run(spark, folder).collect()
 
     seconds: dict[str, float] = {}
     for name in names:

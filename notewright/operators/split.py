@@ -65,9 +65,12 @@ def _held_out(
             .collect()
         )
         inside = keyed.filter(F.col("prefix") == by_label({r["label"]: r["prefix"] for r in crossing}))
-        rank = F.row_number().over(Window.partitionBy("label").orderBy("key", "id"))
-        last = inside.withColumn("rank", rank).filter(
-            F.col("rank") == by_label({r["label"]: r["place"] for r in crossing})
+        # Rows that share an id are counted before they are shipped, and stay on one side.
+        ids = inside.groupBy("label", "key", "id").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("label").orderBy("key", "id"))
+        place = by_label({r["label"]: r["place"] for r in crossing})
+        last = ids.withColumn("upto", upto).filter(
+            (F.col("upto") >= place) & (F.col("upto") - F.col("n") < place)
         )
         cuts = {r["label"]: (r["key"], r["id"]) for r in last.select("label", "key", "id").collect()}
 
@@ -198,7 +201,9 @@ def with_case_number(df: DataFrame, id_col: str = ID) -> DataFrame:
     they are counted and when they are numbered; a row's number is its place in
     its partition plus the rows of all partitions before.
     """
-    placed = cut_lineage(df.orderBy(id_col).withColumn("_place", F.monotonically_increasing_id()))
+    # The second sort key lets rows of one id fall to several partitions.
+    ordered = df.withColumn("_tie", F.monotonically_increasing_id()).orderBy(id_col, "_tie").drop("_tie")
+    placed = cut_lineage(ordered.withColumn("_place", F.monotonically_increasing_id()))
     part, place = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(

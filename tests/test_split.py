@@ -43,6 +43,14 @@ def test_fraction_split_takes_the_first_of_each_class(spark, counts):
     assert held(done, "train") == set(rows) - expected
 
 
+def test_rows_of_one_id_stay_together(spark):
+    rows = [(7, "Neither")] * 400 + [(i, "Neither") for i in range(100, 900)]
+    df = spark.createDataFrame(rows, "patient_identifier long, combined_label string").repartition(6)
+    done = split.split_by_fraction_per_label(df)
+    assert split.leaked_ids(done).count() == 0
+    assert 300 <= done.filter("split = 'test'").count() < 300 + 400
+
+
 def test_one_row_class_is_held_out(spark):
     df, _ = table(spark, {"Both": 1, "Neither": 4})
     assert len(held(split.split_by_fraction_per_label(df), "test")) == 2
@@ -116,6 +124,13 @@ def test_case_numbers_follow_ids(spark):
     assert {r.patient_identifier: r.case_num for r in rows} == {v: i + 1 for i, v in enumerate(sorted(ids))}
 
 
+def test_case_numbers_of_repeated_ids(spark):
+    df = spark.createDataFrame([(5,)] * 500 + [(i,) for i in range(10)], "patient_identifier long").repartition(7)
+    numbers = sorted((r.case_num, r.patient_identifier) for r in split.with_case_number(df).collect())
+    assert [n for n, _ in numbers] == list(range(1, 511))
+    assert [i for _, i in numbers] == sorted(i for _, i in numbers)
+
+
 def test_leaks_are_found(spark):
     df = spark.createDataFrame([(1, "train"), (1, "test"), (2, "train"), (2, "train")], "patient_identifier long, split string")
     assert [tuple(r) for r in split.leaked_ids(df).collect()] == [(1, "test", "train")]
