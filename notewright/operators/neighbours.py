@@ -121,6 +121,7 @@ def top_k_cosine(
     """(query_id, neighbour_id, cosine, rank) of each query's k nearest store rows.
 
     Ranks go by descending cosine, then id. Rows without a vector take no part.
+    Query ids must be unique; store ids may repeat.
     """
     asked = queries.filter(F.col(vector).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"))
     known = store.filter(F.col(vector).isNotNull()).select(F.col(store_id).alias("neighbour_id"), F.col(vector).alias("v"))
@@ -166,12 +167,12 @@ def _pairwise(
     def every(blocks: int):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
 
-    left = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks))).withColumn(
-        "sb", every(store_blocks)
-    )
-    right = known.withColumn("sb", F.pmod(F.xxhash64("neighbour_id"), F.lit(store_blocks))).withColumn(
-        "qb", every(query_blocks)
-    )
+    def block(id_col: str, blocks: int):
+        # The input partition is hashed too, so that rows repeating one id spread over blocks.
+        return F.pmod(F.xxhash64(F.col(id_col), F.spark_partition_id()), F.lit(blocks))
+
+    left = asked.withColumn("qb", block("query_id", query_blocks)).withColumn("sb", every(store_blocks))
+    right = known.withColumn("sb", block("neighbour_id", store_blocks)).withColumn("qb", every(query_blocks))
 
     def meet(query_rows: pa.Table, store: pa.Table) -> pa.Table:
         store = store.take(pc.sort_indices(store, sort_keys=[("neighbour_id", "ascending")]))

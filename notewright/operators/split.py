@@ -46,29 +46,23 @@ def _held_out(
     keyed = df.filter(within & F.col(label_col).isin(*labels)).select(
         F.col(label_col).alias("label"), F.col(id_col).alias("id"), order_key(seed, id_col).alias("key")
     ).withColumn("prefix", F.substring("key", 1, _PREFIX))
-    counts = cut_lineage(keyed.groupBy("label", "prefix").agg(F.count("*").alias("n")))
-    # One row per listed class here and in the two results below.
-    totals = {r["label"]: r["total"] for r in counts.groupBy("label").agg(F.sum("n").alias("total")).collect()}
-    wanted = dict(quotas(totals))
+    # At most 4096 rows per listed class.
+    counts: dict[str, list[tuple[str, int]]] = {}
+    for row in keyed.groupBy("label", "prefix").agg(F.count("*").alias("n")).collect():
+        counts.setdefault(row["label"], []).append((row["prefix"], row["n"]))
+    wanted = dict(quotas({label: sum(n for _, n in own) for label, own in counts.items()}))
+    crossing = {label: _crossing(counts[label], quota) for label, quota in wanted.items() if quota > 0}
 
     def by_label(values: Mapping[str, object]) -> Column:
         return F.coalesce(*[F.when(F.col("label") == k, F.lit(v)) for k, v in values.items()])
 
     cuts = {}
-    if any(wanted.values()):
-        upto = F.sum("n").over(Window.partitionBy("label").orderBy("prefix"))
-        quota = by_label(wanted)
-        crossing = (
-            counts.withColumn("upto", upto)
-            .filter((F.col("upto") >= quota) & (F.col("upto") - F.col("n") < quota))
-            .select("label", "prefix", (quota - F.col("upto") + F.col("n")).alias("place"))
-            .collect()
-        )
-        inside = keyed.filter(F.col("prefix") == by_label({r["label"]: r["prefix"] for r in crossing}))
+    if crossing:
+        inside = keyed.filter(F.col("prefix") == by_label({k: prefix for k, (prefix, _) in crossing.items()}))
         # Rows that share an id are counted before they are shipped, and stay on one side.
         ids = inside.groupBy("label", "key", "id").agg(F.count("*").alias("n"))
         upto = F.sum("n").over(Window.partitionBy("label").orderBy("key", "id"))
-        place = by_label({r["label"]: r["place"] for r in crossing})
+        place = by_label({k: place for k, (_, place) in crossing.items()})
         last = ids.withColumn("upto", upto).filter(
             (F.col("upto") >= place) & (F.col("upto") - F.col("n") < place)
         )
@@ -85,6 +79,16 @@ def _held_out(
     return F.when(within, held)
 
 
+def _crossing(counts: Sequence[tuple[str, int]], quota: int) -> tuple[str, int]:
+    """The key prefix in which a class reaches its quota, and the place inside it."""
+    left = quota
+    for prefix, n in sorted(counts):
+        if left <= n:
+            return prefix, left
+        left -= n
+    raise ValueError(f"a quota of {quota} exceeds its class")
+
+
 def _fraction_quotas(fractions: Mapping[str, float]) -> Quotas:
     return lambda totals: {label: max(1, int(n * fractions[label])) for label, n in totals.items()}
 
