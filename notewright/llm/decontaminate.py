@@ -88,7 +88,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least:
     """``md5`` of a text, ``item_id``, ``similarity`` and ``start`` (shingle place) of its best window per item."""
     items = cut_lineage(
         benchmark.select("item_id", _shingles(text_of()).alias("bag")).where(F.size("bag") > 0)
-        .select("item_id", "bag", F.size("bag").alias("size"))
+        .select("item_id", "bag", F.size("bag").alias("size"), simhash(F.col("bag")).alias("item_fp"))
     )
     share = 2 * least / (1 + least)
     found = cut_lineage(_known(docs, items))
@@ -110,7 +110,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least:
         "md5", "size", "start", F.slice("bag", F.col("start") + 1, F.col("size")).alias("window")
     )
     windows = cut_lineage(windows.where(F.size("window") > 0).withColumn("fp", simhash(F.col("window"))))
-    stored = items.withColumn("item_fp", simhash(F.col("bag"))).withColumn("b", F.explode(_blocks(F.col("item_fp"))))
+    stored = items.withColumn("b", F.explode(_blocks(F.col("item_fp"))))
     masks = F.array(*[F.lit(m).cast("long") for m in _masks(radius)])
     stored = stored.withColumn("mask", F.explode(masks)).select(
         "item_id", "size", "item_fp", F.col("b")["block"].alias("block"), F.col("b")["value"].bitwiseXOR(F.col("mask")).alias("value")
