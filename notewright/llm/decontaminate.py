@@ -3,14 +3,16 @@
 A window of a document has as many words as a benchmark item. Two bags of five-word
 shingles of that size with a weighted similarity of s share at least 2s / (1 + s) of the
 shingles of either, so only windows with that share of shingles known from items of their
-size can match, and only those get a fingerprint. Their fingerprints meet those of the items
-over blocks of 16 bits: with at most RADIUS differing bits, some block differs in at most a
-quarter of them, and the items are stored under all block values that near. Pairs within the
-radius are verified by the exact weighted Jaccard similarity of their shingle bags.
+size can match. The rightmost of the best windows for an item starts with a shingle of the
+item, or else is the last window of the document: only those starts get a fingerprint. Their
+fingerprints meet those of the items over five blocks of bits: with at most RADIUS differing
+bits, some block differs in at most a fifth of them, and the items are stored under all block
+values that near. Pairs within the radius are verified by the exact weighted Jaccard
+similarity of their shingle bags.
 
 Words are runs of letters and digits in lower case. Items and documents without a word never
-match; a text of fewer than five words is one shingle. Null texts are empty. Rows with equal
-texts are searched once.
+match; a text of fewer than five words is one shingle, and a document shorter than an item is
+one window. Null texts are empty. Rows with equal texts are searched once.
 """
 
 from __future__ import annotations
@@ -26,9 +28,10 @@ from notewright.session import cut_lineage
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 15
-_BLOCKS = 4
-_WIDTH = 16
+RADIUS = 19
+_WIDTHS = (13, 13, 13, 13, 12)
+# Two counters of 32 bits in one number.
+_LANES = 1 << 32 | 1
 WORD = r"[\p{L}\p{N}]+"
 # Benchmark shingles up to this number are sent to every executor (16 bytes each); more are joined by shuffle.
 BROADCAST_SHINGLES = 1_000_000
@@ -46,12 +49,14 @@ def _shingles(text: Column) -> Column:
 
 def simhash(hashes: Column) -> Column:
     """64-bit fingerprint of an array of hashes: a bit is set if it is in over half of them."""
-    def bit(b: int) -> Column:
-        count = F.aggregate(hashes, F.lit(0), lambda n, h: n + F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1)).cast("int"))
+    def bit(count: Column, b: int) -> Column:
         return F.when(2 * count > F.size(hashes), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
 
-    bits = [bit(b) for b in range(64)]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+    def two(b: int) -> Column:
+        counts = F.aggregate(hashes, F.lit(0).cast("long"), lambda n, h: n + F.shiftrightunsigned(h, b).bitwiseAND(F.lit(_LANES)))
+        return let(counts, lambda n: bit(n.bitwiseAND(F.lit((1 << 32) - 1)), b).bitwiseOR(bit(F.shiftright(n, 32), b + 32)))
+
+    return reduce(lambda a, b: a.bitwiseOR(b), [two(b) for b in range(32)])
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -65,23 +70,34 @@ def similarity(a: Column, b: Column) -> Column:
 
 def _blocks(fp: Column) -> Column:
     return F.array(*[
-        F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, _WIDTH * i).bitwiseAND(F.lit((1 << _WIDTH) - 1)).alias("value"))
-        for i in range(_BLOCKS)
+        F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, sum(_WIDTHS[:i])).bitwiseAND(F.lit((1 << width) - 1)).alias("value"))
+        for i, width in enumerate(_WIDTHS)
     ])
 
 
-def _masks(radius: int) -> list[int]:
+def _masks(width: int, radius: int) -> Column:
     """Errors of one block that a pair within ``radius`` must show in some block."""
-    return [sum(1 << b for b in c) for k in range(radius // _BLOCKS + 1) for c in combinations(range(_WIDTH), k)]
+    masks = [sum(1 << b for b in c) for k in range(radius // len(_WIDTHS) + 1) for c in combinations(range(width), k)]
+    return F.array(*[F.lit(m).cast("long") for m in masks])
+
+
+def _enough(ratio: float) -> Column:
+    return F.ceil(F.col("size") * ratio - 1e-9).cast("int")
 
 
-def _known(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Per text (MD5) the places of its known shingles, each with the item sizes it is known from."""
+def _full(enough: Column, within: Column | None = None) -> Column:
+    """Those known places (sorted) from which a window holds ``enough`` of them."""
+    return F.filter("places", lambda p, i: (F.get("places", i + enough - 1) < p + F.col("size")) & (F.lit(True) if within is None else p <= within))
+
+
+def _known(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """Per text (MD5) and item size the ``places`` of shingles known from items of that size, if some window holds enough."""
     known = cut_lineage(items.select(F.explode("bag").alias("h"), "size").groupBy("h").agg(F.collect_set("size").alias("sizes")))
     places = docs.select(F.md5(text_of()).alias("md5"), F.posexplode(_shingles(text_of())).alias("at", "h"))
     side = F.broadcast(known) if known.count() <= BROADCAST_SHINGLES else known
-    hits = places.join(side, "h").select("md5", F.struct("at", "sizes").alias("hit"))
-    return hits.groupBy("md5").agg(F.collect_set("hit").alias("hits"))
+    hits = places.join(side, "h").select("md5", "at", F.explode("sizes").alias("size"))
+    grouped = hits.groupBy("md5", "size").agg(F.sort_array(F.collect_set("at")).alias("places"))
+    return grouped.where(F.size(_full(_enough(least))) > 0)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least: float = SIMILARITY) -> DataFrame:
@@ -90,28 +106,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least:
         benchmark.select("item_id", _shingles(text_of()).alias("bag")).where(F.size("bag") > 0)
         .select("item_id", "bag", F.size("bag").alias("size"), simhash(F.col("bag")).alias("item_fp"))
     )
-    share = 2 * least / (1 + least)
-    found = cut_lineage(_known(docs, items))
-    # A size is worth a look if enough places know it; then every start that could cover them is tried.
-    by_size = found.select("md5", F.explode("hits").alias("hit")).select("md5", F.col("hit")["at"].alias("at"), F.explode("hit.sizes").alias("size"))
-    by_size = by_size.groupBy("md5", "size").agg(F.sort_array(F.collect_list("at")).alias("at")).where(F.size("at") >= F.col("size") * least)
+    by_size = cut_lineage(_known(docs, items, least))
     texts = (
         docs.select(F.md5(text_of()).alias("md5"), text_of().alias("t"))
         .join(by_size.select("md5").distinct(), "md5", "left_semi")
         .groupBy("md5").agg(F.first("t").alias("t"))
         .select("md5", _shingles(F.col("t")).alias("bag"))
     )
-    work = texts.join(by_size, "md5")
-    # A window starts within the part of it that may be unknown before a known place, and holds enough known places.
-    slack = F.ceil(F.col("size") * (1 - least)).cast("int") + 1
-    starts = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(F.lit(0), p - slack), F.greatest(F.lit(0), p)))))
-    starts = F.filter(starts, lambda s: F.size(F.filter("at", lambda p: (p >= s) & (p < s + F.col("size")))) >= F.least(F.ceil(F.col("size") * least), F.ceil(F.col("size") * share)))
-    windows = work.select("md5", "size", F.explode(starts).alias("start"), "bag").select(
-        "md5", "size", "start", F.slice("bag", F.col("start") + 1, F.col("size")).alias("window")
-    )
-    windows = cut_lineage(windows.where(F.size("window") > 0).withColumn("fp", simhash(F.col("window"))))
+    last = F.greatest(F.lit(0), F.size("bag") - F.col("size"))
+    enough = F.when(F.size("bag") < F.col("size"), _enough(least)).otherwise(_enough(2 * least / (1 + least)))
+    at_end = F.when(F.size(F.filter("places", lambda p: p >= F.col("last"))) >= F.col("enough"), F.array("last")).otherwise(F.array().cast("array<int>"))
+    work = texts.join(by_size, "md5").withColumn("last", last).withColumn("enough", enough)
+    starts = F.array_union(_full(F.col("enough"), F.col("last")), at_end)
+    cut = F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice("bag", s + 1, F.col("size")).alias("window")))
+    windows = work.select("md5", "size", F.explode(cut).alias("w")).select("md5", "size", "w.start", "w.window")
+    windows = cut_lineage(windows.withColumn("fp", simhash(F.col("window"))))
     stored = items.withColumn("b", F.explode(_blocks(F.col("item_fp"))))
-    masks = F.array(*[F.lit(m).cast("long") for m in _masks(radius)])
+    masks = F.when(F.col("b")["block"] < len(_WIDTHS) - 1, _masks(_WIDTHS[0], radius)).otherwise(_masks(_WIDTHS[-1], radius))
     stored = stored.withColumn("mask", F.explode(masks)).select(
         "item_id", "size", "item_fp", F.col("b")["block"].alias("block"), F.col("b")["value"].bitwiseXOR(F.col("mask")).alias("value")
     )
