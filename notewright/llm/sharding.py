@@ -3,8 +3,8 @@
 Each node is split at the weighted median of its widest dimension: size, id, source or
 language, each scaled to 16 bits over the whole table. Ties are broken by a hash of id
 and text, so equal texts spread over shards and no group is bound to one of them. A
-median is found by counting bytes per digit of the key, nine bits at a time; only those
-counts (at most 512 per node) reach the driver.
+median is found by counting bytes per digit of the key, thirteen bits at a time; only those
+counts (at most 8192 per node) reach the driver.
 
 Null texts have one byte; null ids, sources and languages take the lowest place of their
 dimension. Rows equal in id and text stay together. An empty table gives no rows.
@@ -21,8 +21,8 @@ from notewright.llm.common import text_of
 from notewright.session import cut_lineage
 
 _SCALE = 65535
-_DIGIT = 9
-_KEY_BITS = 63
+_DIGIT = 13
+_KEY_BITS = 52
 ROWS_PER_BUCKET = 4000
 
 
@@ -64,8 +64,8 @@ def coordinates(docs: DataFrame) -> tuple[list[Column], DataFrame]:
 
 
 def _key(dimension: int) -> Column:
-    """Place in the dimension, then 47 bits of hash: never negative."""
-    return F.col(f"kd_{dimension}") * F.lit(1 << 47) + F.shiftrightunsigned("kd_hash", 17)
+    """Place in the dimension, then 36 bits of hash."""
+    return F.col(f"kd_{dimension}") * F.lit(1 << 36) + F.shiftrightunsigned("kd_hash", 28)
 
 
 def _walk(splits: dict[int, Column], leaf: Callable[[int], Column], node: int = 0) -> Column:
