@@ -1,11 +1,14 @@
 """Personal data by patterns, widened by bootstrapped contexts.
 
-The matches of the fixed patterns are the seeds. A lexical pattern is the kind-free pair of
-words before a mention. Mentions are the seeds and every other identifier-like token. On the
-graph of patterns and mentions Spark repeats: a pattern's score per kind is the mean score of
-its distinct mentions, a mention's score that of its best pattern, and seeds stay at one.
-Tokens whose pattern scores at least CONFIDENCE for a kind with at least SEEDS distinct
-seeds become spans of that kind. Patterns are counted over the whole table.
+The matches of the fixed patterns are the seeds; mentions are the seeds and every other
+identifier-like token. The lexical patterns of a mention are the word before it, the two words
+before it, the word after it and the shape of the token. In each of ROUNDS rounds the patterns
+are scored anew from the seeds and from what earlier rounds found: a pattern's score for a kind
+is the share of its distinct values known to be of that kind. A value is judged without its own
+share: it is found when, among the other values of one of its patterns, at least SEEDS and at
+least CONFIDENCE of them are known. Tokens with a found value become spans of that kind, unless
+the kind's own check refutes them (an address part over 255, a card number's check digit).
+Patterns are counted over the whole table.
 
 Null texts are empty. Rows are judged one by one; equal ids do not mix, as spans travel by row.
 """
@@ -34,7 +37,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*")
-_BEFORE = re.compile(r"[^\x20\x09-\x0D]+")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_ENDS = ".,;:!?()[]<>\"'"
 _REACH = 200
 
 
@@ -77,10 +82,27 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _context(text: str, start: int) -> str | None:
-    """The two words before a place, in lower case without digits; None if there are fewer."""
-    before = _BEFORE.findall(text[max(0, start - _REACH):start])[-2:]
-    return re.sub("[0-9]+", "0", " ".join(before).lower()) if len(before) == 2 else None
+def _word(word: str) -> str:
+    """A word of a pattern: lower case, digits as one zero, no punctuation at its ends."""
+    return re.sub("[0-9]+", "0", word.lower()).strip(_ENDS)
+
+
+def _patterns(text: str, start: int, end: int) -> list[str]:
+    """The lexical patterns a mention stands in."""
+    before = [w for w in map(_word, _WORD.findall(text[max(0, start - _REACH):start])) if w]
+    after = next((w for w in map(_word, _WORD.findall(text[end:end + _REACH])) if w), None)
+    out = ["shape " + re.sub("[0-9]+", "0", _LETTERS.sub("a", text[start:end]))]
+    out += ["before " + " ".join(before[-n:]) for n in (1, 2) if len(before) >= n]
+    return out if after is None else [*out, "after " + after]
+
+
+def _refuted(value: str) -> str | None:
+    """The kind whose form a token has and whose check it fails."""
+    if _IP.search(value):
+        return "ip"
+    if any(16 <= len(re.sub("[^0-9]", "", m.group())) <= 19 for m in _CARD.finditer(value)):
+        return "card"
+    return None
 
 
 def _scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,47 +111,58 @@ def _scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for row, doc, text in part.itertuples(index=False):
             base = base_spans(text)
-            mentions = [{"kind": k, "first": a, "end": b, "context": _context(text, a), "value": text[a:b]} for k, a, b in base]
+            mentions = [
+                {"kind": k, "refuted": None, "first": a, "end": b, "patterns": _patterns(text, a, b), "value": text[a:b]} for k, a, b in base
+            ]
             taken = sorted((a, b) for _, a, b in base)
             at = 0
             for m in _TOKEN.finditer(text):
                 while at < len(taken) and taken[at][1] <= m.start():
                     at += 1
                 if m.end() - m.start() >= 6 and not any(a < m.end() for a, _ in taken[at:at + 1]):
-                    mentions.append({"kind": None, "first": m.start(), "end": m.end(), "context": _context(text, m.start()), "value": m.group()})
+                    mentions.append({
+                        "kind": None, "refuted": _refuted(m.group()), "first": m.start(), "end": m.end(),
+                        "patterns": _patterns(text, m.start(), m.end()), "value": m.group(),
+                    })
             out.append((row, doc, [{"kind": k, "first": a, "end": b} for k, a, b in base], mentions))
         yield pd.DataFrame(out, columns=columns)
 
 
-def _scores(mentions: DataFrame) -> DataFrame:
-    """``context``, ``kind`` and score of the patterns that are sure enough."""
-    seeds = mentions.where("kind is not null").groupBy("context", "kind").agg(F.countDistinct("value").alias("seeds")).where(F.col("seeds") >= SEEDS)
-    # Only contexts with enough seeds can win; the graph is their mentions, each distinct value once.
+def _found(mentions: DataFrame) -> DataFrame:
+    """``value`` and ``kind`` of the values found in the last round; ``mentions`` has hashed values and patterns."""
     edges = cut_lineage(
-        mentions.groupBy("context", F.xxhash64("value").alias("value")).agg(F.max("kind").alias("seed"))
-        .join(seeds.select("context", F.col("kind").alias("kind")), "context")
+        mentions.select("value", "kind", "refuted", F.explode("patterns").alias("pattern"))
+        .groupBy("pattern", "value").agg(F.max("kind").alias("seed"), F.max("refuted").alias("refuted"))
     )
-    score = F.when(F.col("seed") == F.col("kind"), 1.0).otherwise(0.0)
-    state = edges.withColumn("score", score)
+    seeds = mentions.where("kind is not null").groupBy("value").agg(F.max("kind").alias("known"))
+    found = None
     for _ in range(ROUNDS):
-        patterns = cut_lineage(state.groupBy("context", "kind").agg(F.avg("score").alias("pattern")))
-        best = edges.join(patterns, ["context", "kind"]).groupBy("value", "kind").agg(F.max("pattern").alias("best"))
-        fresh = F.when(F.col("seed") == F.col("kind"), 1.0).when(F.col("seed").isNotNull(), 0.0).otherwise(F.col("best"))
-        state = edges.join(best, ["value", "kind"]).withColumn("score", fresh)
-    return patterns.where(F.col("pattern") >= CONFIDENCE)
+        known = seeds if found is None else seeds.unionByName(found.select("value", F.col("kind").alias("known")))
+        marked = edges.join(known, "value", "left")
+        counted = marked.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("known") == k).alias(k) for k in KINDS])
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("sure")) for k in KINDS]))
+        # No value can be found by a pattern that is not sure of the values beside a new one.
+        able = counted.select("pattern", "n", each.alias("s")).select("pattern", "n", "s.*").where(
+            (F.col("sure") >= SEEDS) & (F.col("sure") >= CONFIDENCE * (F.col("n") - 1))
+        )
+        own = F.when(F.col("known") == F.col("kind"), 1).otherwise(0)
+        others = marked.where("seed is null").join(able, "pattern").where("refuted is null or refuted != kind").select(
+            "value", "kind", (F.col("sure") - own).alias("sure"), (F.col("n") - 1).alias("others")
+        ).where((F.col("sure") >= SEEDS) & (F.col("sure") >= CONFIDENCE * F.col("others")))
+        best = F.max_by("kind", F.struct(F.col("sure") / F.col("others"), "kind"))
+        found = cut_lineage(others.groupBy("value").agg(best.alias("kind")).join(seeds, "value", "left_anti"))
+    return found
 
 
 def find(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``base`` and ``added`` spans (kind, first, end) of every row."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), text_of().alias("text"))
     span = "array<struct<kind: string, first: long, end: long>>"
-    found = cut_lineage(rows.mapInPandas(
-        _scan, f"row long, doc_id string, base {span}, mentions array<struct<kind: string, first: long, end: long, context: string, value: string>>"
-    ))
-    mentions = found.select("row", F.explode("mentions").alias("m")).select("row", "m.*").where("context is not null")
-    sure = _scores(mentions)
-    best = sure.groupBy("context").agg(F.max_by("kind", F.struct("pattern", "kind")).alias("found"))
-    added = mentions.where("kind is null").join(best, "context").groupBy("row").agg(
+    mention = "struct<kind: string, refuted: string, first: long, end: long, patterns: array<string>, value: string>"
+    found = cut_lineage(rows.mapInPandas(_scan, f"row long, doc_id string, base {span}, mentions array<{mention}>"))
+    mentions = found.select("row", F.explode("mentions").alias("m")).select("row", "m.*").withColumn("value", F.xxhash64("value"))
+    sure = _found(mentions).select("value", F.col("kind").alias("found"))
+    added = mentions.where("kind is null").join(sure, "value").groupBy("row").agg(
         F.collect_list(F.struct(F.col("found").alias("kind"), "first", "end")).alias("added")
     )
     return found.join(added, "row", "left").select(

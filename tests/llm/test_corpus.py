@@ -141,6 +141,25 @@ def test_personal_contexts(spark):
     assert got[99]["spans"] == "email:26:37"
 
 
+def test_personal_bootstrap(spark):
+    """A found value supports a pattern that the seeds alone do not; its own share never counts; failed checks stay out."""
+    rows = [(i, f"filler{'x' * i} reach user{i}@host{i}.org soon{'y' * i}") for i in range(6)]
+    # Round 1 finds the five handles after "reach": 66 of the 70 values beside each are known.
+    rows += [(50 + i, f"p{'q' * i} reach user{i + 20}@host.org z{'t' * i}") for i in range(60)]
+    rows += [(200 + i, f"k{'q' * i} reach han-dle{'ab' * i}#nine9 write{'z' * i}") for i in range(5)]
+    # The same handles behind "ping" beside one unknown: known only from the round before.
+    rows += [(300 + i, f"ping han-dle{'ab' * i}#nine9 w{'u' * i}") for i in range(5)]
+    rows += [(400, "ping other_one77 end"), (500, "ask for 4111111111111112 now")]
+    rows += [(600 + i, f"ask{'a' * i} for {n} then{'b' * i}") for i, n in enumerate(
+        ("4111111111111111", "4012888888881881", "5555555555554444", "5105105105105100", "6011111111111117", "6011000990139424", "3530111333300000")
+    )]
+    got = {r["doc_id"]: r for r in personal.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [[(s["kind"], s["first"], s["end"]) for s in got[i]["added"]] for i in (200, 300, 400)] == [
+        [("email", 8, 21)], [("email", 5, 18)], [("email", 5, 16)]
+    ]
+    assert got[500]["added"] == []
+
+
 @pytest.mark.parametrize("which", ["odd", "docs"])
 def test_sharding(which, request):
     df = request.getfixturevalue(which)
