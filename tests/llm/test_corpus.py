@@ -223,6 +223,25 @@ def test_pages(spark):
     assert got[1]["n_chars"] == len(got[1]["text"])
 
 
+def test_furniture_keeps_main_text():
+    """Furniture ends where HTML ends it, and is none around the main text."""
+    def main(page):
+        return [t for _, t, _ in html_text.blocks(page)]
+
+    body = "<h1>Head</h1><p>Some longer text of the page"
+    assert main(f"<div class='page has-sidebar'><nav>Menu</nav><article>{body}</article></div>") == ["Head", "Some longer text of the page"]
+    assert main(f"<div id=content class='no-sidebar share'>{body}</div>") == ["Head", "Some longer text of the page"]
+    assert main("<article><p class='notice'>Sign up<p>One two three four</p><p>Five six</p></article>") == ["One two three four", "Five six"]
+    assert main("<ul><li class=social>Follow<li>One two three</ul><p>Four five six</p>") == ["One two three", "Four five six"]
+    assert main("<body><form action=/x><div>All the text of this page</div></form></body>") == ["All the text of this page"]
+    assert main("<head><title>t</title><p>One two") == ["One two"]
+    # What is furniture stays out.
+    assert main("<nav><a>One</a> <a>Two three four five six seven</a></nav><article><p>Text</article>") == ["Text"]
+    assert main(f"<div class=related><article>Card</article></div>{body}") == ["Head", "Some longer text of the page"]
+    assert main("<div class=consent>Long words about cookies of all kinds</div><article>Text</article>") == ["Text"]
+    assert main("<div><article><p>One</div><p>Two</article>") == ["One", "Two"]
+
+
 def _chats(rows):
     want = {}
     for conv in {r[0] for r in rows}:
