@@ -267,6 +267,27 @@ def test_chats(spark):
         assert len(turns) > r["n_repeated"]
 
 
+def test_chat_windows_keep_the_budget(spark):
+    rows = [(1, 100 * i, "system" if i == 0 else ("user", "assistant")[i % 2], f"t{i} " + "word " * (i * 37 % 150)) for i in range(200)]
+    rows += [(2, 0, "system", "be kind"), (2, 1, "user", "long " * 400), (2, 2, "assistant", "short"), (3, 5, "user", "x " * 295), (3, 6, "system", "late " * 90)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = sorted(chat.windows(df, 300).collect(), key=lambda r: (r["conv_id"], r["chunk"], r["part"]))
+    own = {}
+    for at, r in enumerate(found):
+        turns = chat.read_back(r["formatted"])
+        assert sum(chat.n_tokens(t) for _, t in turns) <= 300 or len(turns) == 1
+        before = own.setdefault(r["conv_id"], [])
+        head = [t for t in turns[:r["n_repeated"]] if t[0] != "system"]
+        assert head == [t for t in before[len(before) - len(head):] if t[0] != "system"]
+        if r["conv_id"] == 1 and before:
+            # Sparse turn numbers have history, also over the border of two chunks, where there is room for it.
+            room = 300 - sum(chat.n_tokens(t) for _, t in (turns[0], *turns[r["n_repeated"]:][:1], before[-1]))
+            assert turns[0][0] == "system" and (head or room < 0)
+        before += turns[r["n_repeated"]:]
+    assert own[1] == [(r[2], r[3]) for r in rows if r[0] == 1]
+    assert [len(chat.read_back(r["formatted"])) for r in found if r["conv_id"] == 2] == [1, 1, 2]
+
+
 def test_empty_tables(spark, none):
     for df in (
         simhash.near_duplicates(none), simhash.one_per_group(none), mixing.mixed_rows(none), sharding.sharded(none, 16), quality.keep(none),
