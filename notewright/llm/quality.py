@@ -48,6 +48,10 @@ RULES = (
     Rule("few stop words", "n_stop_words", "below", 2, "n_words", 100),
 )
 
+# The filter of the corpus pipeline weighs repeated lines by their text, so that one short line
+# that recurs in a long text does not reject it.
+TEXT_RULES = tuple(Rule(r.name, "dup_line_chars", "above", r.bound, "word_chars", r.scale) if r.measure == "n_dup_lines" else r for r in RULES)
+
 
 def _repeated(w: Column, size: int = 3) -> Column:
     """Words that lie in a window of ``size`` words found twice or more in ``w``."""
@@ -72,13 +76,17 @@ def measures(text: Column) -> Column:
     """A struct of every figure the rules use; words and lines are cut once per row."""
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
+    def chars(t: Column) -> Column:
+        return F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long")
+
     def figures(w: Column) -> Column:
         return let(lines, lambda rows: F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+            chars(text).alias("word_chars"),
             (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             F.size(rows).cast("long").alias("n_lines"),
             (F.size(rows) - F.size(F.array_distinct(rows))).cast("long").alias("n_dup_lines"),
+            (chars(text) - chars(F.concat_ws("", F.array_distinct(rows)))).alias("dup_line_chars"),
             _repeated(w).cast("long").alias("n_repeat_words"),
             F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
         ))

@@ -53,6 +53,13 @@ def test_quality(which, request):
     assert quality.keep(df).count() == sum(r["kept"] for r in got)
 
 
+def test_pipeline_keeps_texts_with_a_short_line_repeated(spark):
+    words = " ".join(f"the{'a' * (i % 7)}{i} of" for i in range(60))
+    rows = [(1, f"One short line.\n{words}\nOne short line."), (2, "\n".join([f"{words[:300]}", words[:300], words[300:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.quality_rules(spark, df, SMALL).collect()] == [1]
+
+
 @pytest.mark.parametrize("which", ["odd", "docs"])
 def test_licences(which, request):
     df = request.getfixturevalue(which)
