@@ -1,8 +1,9 @@
 """Licence scan: postings of rare licence words, intersected by relative position.
 
 The document frequencies of the licence words are counted over the whole table. Each
-template is looked up by its rarest word; at each posting of that word the other words of
-the template must stand at their relative places, and its key phrase must be there whole.
+template is looked up by its rarest word; at each posting of that word its key phrase must be
+there whole, and the other words of the template must stand at their relative places. Where
+the key phrase names the licence, a word of licensing near it does as well.
 
 Null and empty texts have no words and no labels; rows are judged one by one.
 """
@@ -19,6 +20,9 @@ from notewright.llm.common import ascii_lower, let, text_of, words
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NEAR = 0.8
+# Words of licensing, and how many words before or after a key phrase they may stand.
+LICENSING = ("covered", "distributed", "governed", "licensed", "redistribute", "released", "under")
+REACH = 6
 
 
 @dataclass(frozen=True)
@@ -27,6 +31,7 @@ class Template:
     phrase: str
     key: str
     base: bool = False
+    named: bool = False
 
 
 # The phrases that decide the base labels come first.
@@ -35,11 +40,19 @@ TEMPLATES = (
     Template("apache-2", "apache license version 2", "apache license version 2", True),
     Template("cc-by-nc", "cc by nc", "cc by nc", True),
     Template("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
-    Template("gpl", "licensed under the gnu general public license version", "gnu general public license"),
+    Template("gpl", "licensed under the gnu general public license version", "gnu general public license", named=True),
+    Template("gpl", "subject to the terms of the gnu general public license", "gnu general public license"),
+    Template("gpl", "under the terms of the gnu general public license as published by", "gnu general public license"),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby granted free of charge"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification", "source and binary forms"),
-    Template("mpl-2", "subject to the terms of the mozilla public license", "mozilla public license"),
-    Template("cc-by", "licensed under a creative commons attribution", "creative commons attribution"),
+    Template("mpl-2", "subject to the terms of the mozilla public license", "mozilla public license", named=True),
+    Template("mpl-2", "this source code form is subject to the terms of the mozilla public license", "mozilla public license"),
+    Template("cc-by", "licensed under a creative commons attribution", "creative commons attribution", named=True),
+    Template("apache-2", "licensed under the apache license 2 0", "apache license 2 0", named=True),
+    Template("mit", "licensed under the mit license", "mit license", named=True),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies", "this permission notice shall be included"),
+    Template("bsd", "neither the name of the copyright holder nor the names of its contributors", "nor the names of its contributors"),
+    Template("bsd", "redistributions of source code must retain the above copyright notice", "redistributions of source code must retain"),
 )
 
 
@@ -66,14 +79,20 @@ def _matches(w: Column, postings: Column, template: Template, rare: int) -> Colu
     def at(p: Column, i: int) -> Column:
         return F.coalesce(F.get(w, p - rare + i) == parts[i], F.lit(False))
 
+    def near(p: Column) -> Column:
+        first = p - rare + begin
+        low = F.greatest(first - REACH, F.lit(0))
+        return F.exists(F.slice(w, low + 1, first + len(key) + REACH - low), lambda x: x.isin(*LICENSING))
+
     whole = F.filter(postings, lambda p: reduce(
         lambda a, b: a & b, [F.get(w, p) == parts[rare], *[at(p, i) for i in range(begin, begin + len(key))]]
     ))
     share = F.transform(whole, lambda p: F.struct(
         (p - rare).cast("long").alias("start"),
         (reduce(lambda a, b: a + b, [at(p, i).cast("int") for i in range(len(parts))]) / F.lit(len(parts))).alias("share"),
+        (near(p) if template.named else F.lit(False)).alias("named"),
     ))
-    return F.filter(share, lambda m: m["share"] >= (1.0 if template.base else NEAR))
+    return F.filter(share, lambda m: (m["share"] >= (1.0 if template.base else NEAR)) | m["named"])
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: str = "text") -> DataFrame:

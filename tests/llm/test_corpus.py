@@ -78,6 +78,19 @@ def test_licence_by_key_phrase(spark):
     assert (row["labels"], row["n_base"], row["score"]) == ("gpl", 0, 1.0)
 
 
+def test_licence_notices(spark):
+    texts = [
+        ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gpl"),
+        ("released under the GNU General Public License v3", "gpl"), ("under the Mozilla Public License 2.0", "mpl-2"),
+        ("GNU General Public License, under which it is distributed", "gpl"), ("distributed under MIT license", "mit"),
+        ("under the Apache License, 2.0", "apache-2"), ("Redistributions of source code must retain the above copyright notice", "bsd"),
+        ("a history of the GNU General Public License and its authors", ""), ("sold in source and binary forms under a contract", ""),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["n_base"]) for r in licences.digest(licences.scan(df)).collect()}
+    assert [got[i] for i in range(len(texts))] == [(label, 0) for _, label in texts]
+
+
 @pytest.mark.parametrize("which", ["odd", "docs"])
 def test_simhash(which, request):
     df = request.getfixturevalue(which).select("doc_id", "text")
