@@ -121,7 +121,7 @@ def top_k_cosine(
     """(query_id, neighbour_id, cosine, rank) of each query's k nearest store rows.
 
     Ranks go by descending cosine, then id. Rows without a vector take no part.
-    Query ids must be unique; store ids may repeat.
+    Each query row has its own neighbours, whatever ids repeat.
     """
     asked = queries.filter(F.col(vector).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"))
     known = store.filter(F.col(vector).isNotNull()).select(F.col(store_id).alias("neighbour_id"), F.col(vector).alias("v"))
@@ -151,10 +151,14 @@ def top_k_cosine(
         # Each query has met the whole store here, so its ranks are final.
         return asked.mapInArrow(scan, schema)
 
+    # Query rows are ranked one by one, as in the scan, also if they share an id.
     block_rows = max(1, block_bytes // (8 * dim))
-    found = _pairwise(asked, known, size.n, block_rows, dim, k, schema)
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "neighbour_id")
-    return found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
+    asked = asked.withColumn("query_id", F.struct(F.monotonically_increasing_id().alias("row"), F.col("query_id").alias("id")))
+    keyed = T.StructType([asked.schema["query_id"], *schema.fields[1:]])
+    found = _pairwise(asked, known, size.n, block_rows, dim, k, keyed)
+    by_score = Window.partitionBy("query_id.row").orderBy(F.desc("cosine"), "neighbour_id")
+    ranked = found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
+    return ranked.withColumn("query_id", F.col("query_id.id"))
 
 
 def _pairwise(

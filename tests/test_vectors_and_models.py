@@ -75,6 +75,15 @@ def test_vectors_of_different_length_are_refused(spark):
         neighbours.top_k_cosine(vectors(spark, [[1, 0]]), vectors(spark, [[1, 0], [1, 0, 0]]), 1)
 
 
+def test_query_rows_of_one_id_keep_their_neighbours(spark):
+    asked, known = vectors(spark, [[1, 0], [0, 1]], [7, 7]), vectors(spark, [[1, 0], [0, 1], [1, 1]], [1, 2, 3])
+    both = [
+        sorted((r["query_id"], r["neighbour_id"], r["rank"]) for r in neighbours.top_k_cosine(asked, known, 2, **limits).collect())
+        for limits in ({}, {"broadcast_bytes": 0, "block_bytes": 32})
+    ]
+    assert both[0] == both[1] == [(7, 1, 1), (7, 2, 1), (7, 3, 2), (7, 3, 2)]
+
+
 def test_search_contract(spark):
     store = vectors(spark, np.eye(6)).withColumns({
         "text": F.lit("t"), "has_cancer": F.lit(None).cast("double"), "has_diabetes": F.lit(1.0),
