@@ -1,11 +1,12 @@
-"""Substring dedup by relative Lempel-Ziv parsing of whole texts.
+"""Substring dedup by counting runs of words over whole texts.
 
 The reference is every distinct text, indexed by blocks: of each run of WINDOW words the
 block of BLOCK words with the least hash is its anchor, and equal runs have equal anchors.
-Only runs whose anchor occurs more than once are looked up, by 128 bits of hash. A text is
-parsed from left to right into factors: a factor goes on while the run of WINDOW words that
-starts at the next word is also found elsewhere, and a run across the boundary of two factors
-is looked up like any other. Words of factors are the duplicate spans.
+Only runs whose anchor occurs more than once are looked up, by 128 bits of hash. The words
+of runs found elsewhere, overlapping ones taken together, are the duplicate spans. This takes
+the place of a Lempel-Ziv parsing into greedy factors: a word is removed when any run of
+WINDOW words over it recurs, which factors give only if each of their boundaries is checked
+again, and counting needs no order of texts.
 
 Null and empty texts have no words. Equal texts are parsed once; each run of a text with
 copies occurs elsewhere. Nothing is judged on what is left after a removal.
@@ -105,7 +106,7 @@ def _kept_rows(parts: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFr
 
 
 def parse(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """One row per distinct text: ``md5``, ``n_words``, ``n_removed``, ``kept`` text and word ``spans`` of its factors."""
+    """One row per distinct text: ``md5``, ``n_words``, ``n_removed``, ``kept`` text and word ``spans`` of its repeated runs."""
     texts = docs.select(F.md5(text_of()).alias("md5"), text_of().alias("text")).groupBy("md5").agg(
         F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")
     )
