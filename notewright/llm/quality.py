@@ -72,10 +72,12 @@ def _repeated(w: Column, size: int = 3) -> Column:
     return F.when(F.size(w) >= size, let(F.array_sort(windows), covered)).otherwise(0)
 
 
-def measures(text: Column) -> Column:
-    """A struct of every figure the rules use; words and lines are cut once per row."""
+def measures(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """A struct of every figure ``rules`` may use; words and lines are cut once per row."""
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
+    by_text = any(r.measure == "dup_line_chars" for r in rules)
+
     def chars(t: Column) -> Column:
         return F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long")
 
@@ -86,7 +88,7 @@ def measures(text: Column) -> Column:
             (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             F.size(rows).cast("long").alias("n_lines"),
             (F.size(rows) - F.size(F.array_distinct(rows))).cast("long").alias("n_dup_lines"),
-            (chars(text) - chars(F.concat_ws("", F.array_distinct(rows)))).alias("dup_line_chars"),
+            *([(chars(text) - chars(F.concat_ws("", F.array_distinct(rows)))).alias("dup_line_chars")] if by_text else []),
             _repeated(w).cast("long").alias("n_repeat_words"),
             F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
         ))
@@ -107,7 +109,7 @@ def fails(m: Column, rules: tuple[Rule, ...]) -> Column:
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """``docs`` with a struct column ``quality`` of the figures and verdicts, replacing one of that name."""
     base = tuple(r for r in rules if r.base)
-    verdict = let(measures(text_of(text)), lambda m: F.struct(
+    verdict = let(measures(text_of(text), rules), lambda m: F.struct(
         m.alias("figures"), fails(m, base).alias("base_failed"), (~fails(m, rules)).alias("kept")
     ))
     return docs.withColumn("quality", verdict)
@@ -115,4 +117,4 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass every rule, with their own columns."""
-    return docs.where(let(measures(text_of(text)), lambda m: ~fails(m, rules)))
+    return docs.where(let(measures(text_of(text), rules), lambda m: ~fails(m, rules)))
