@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import chat, decontaminate, html_text, licences, mixing, personal, quality, sharding, simhash, substring
+from notewright.llm import chat, decontaminate, html_text, licences, mixing, personal, quality, resample, sharding, simhash, substring
 from notewright.llm.sql import SQL  # noqa: F401
 from notewright.session import cut_lineage
 
@@ -68,7 +68,13 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = resample.ranked(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return ranks.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {run.__name__: run for run in (
     op1_license_scan, op2_simhash_dedup, op3_mixing, op4_pii, op5_sharding, op6_html_text,
     op7_decontamination, op8_substring_dedup, op9_chat_format, op10_quality_rules,
+    op13_resampling,
 )}
