@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import chat, decontaminate, html_text, licences, mixing, personal, quality, resample, sharding, simhash, substring, whitening
+from notewright.llm import chat, decontaminate, html_text, licences, markov, mixing, personal, quality, resample, sharding, simhash, substring, whitening
 from notewright.llm.sql import SQL  # noqa: F401
 from notewright.session import cut_lineage
 
@@ -68,6 +68,10 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return markov.score(_table(spark, folder, "documents"))
+
+
 def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.report(_table(spark, folder, "embeddings"))
 
@@ -80,5 +84,5 @@ def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {run.__name__: run for run in (
     op1_license_scan, op2_simhash_dedup, op3_mixing, op4_pii, op5_sharding, op6_html_text,
     op7_decontamination, op8_substring_dedup, op9_chat_format, op10_quality_rules,
-    op12_whitening, op13_resampling,
+    op11_lm_score, op12_whitening, op13_resampling,
 )}
