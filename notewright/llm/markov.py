@@ -169,15 +169,16 @@ def log_likelihoods(places: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
     """Natural log probability of each sequence by the scaled forward recursion."""
     out = np.zeros(len(starts))
     order, running = _lanes(lengths)
-    begin = starts[order]
-    state = None
+    begin, ones, state = starts[order], np.ones(len(model.start)), None
     for t, n in enumerate(running.tolist()):
-        before = np.broadcast_to(model.start, (n, len(model.start))) if t == 0 else state[:n] @ model.steps
-        state = before * model.emission[places[begin[:n] + t]]
-        scale = state.sum(axis=1)
-        state /= scale[:, None]
-        out[order[:n]] += np.log(scale)
-    return out
+        emitted = model.emission.take(places[begin[:n] + t], axis=0)
+        state = model.start * emitted if t == 0 else (state[:n] @ model.steps) * emitted
+        scale = state @ ones
+        state *= (1 / scale)[:, None]
+        out[:n] += np.log(scale)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
 
 
 def expected_counts(places: np.ndarray, starts: np.ndarray, lengths: np.ndarray, heads: np.ndarray, model: Model):
@@ -185,39 +186,46 @@ def expected_counts(places: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
 
     ``heads`` marks sequences that begin a text; the others begin inside one.
     """
-    states = len(model.start)
+    states, half = len(model.start), np.float32
     order, running = _lanes(lengths)
     begin, head = starts[order], heads[order]
-    alphas, scales, likelihood = [], [], 0.0
-    state = None
+    emission, forward, ones = model.emission.astype(half), model.steps.astype(half), np.ones(states, half)
+    back = np.ascontiguousarray(forward.T)
+    # Per step: places, forward probabilities, emissions over scales.
+    trail, logs, state = [], 0.0, None
     for t, n in enumerate(running.tolist()):
-        before = np.where(head[:n, None], model.start, model.shares) if t == 0 else state[:n] @ model.steps
-        state = before * model.emission[places[begin[:n] + t]]
-        scale = state.sum(axis=1)
-        state /= scale[:, None]
-        likelihood += float(np.log(scale).sum())
-        alphas.append(state)
-        scales.append(scale)
-    words_, steps = np.zeros((len(model.emission), states)), np.zeros((states, states))
-    found, weights = [], []
-    beta = np.ones((len(order), states))
-    for t in range(len(running) - 1, -1, -1):
-        n = int(running[t])
         at = places[begin[:n] + t]
-        found.append(at)
-        weights.append(alphas[t] * beta[:n])
+        emitted = emission.take(at, axis=0)
+        if t == 0:
+            state = np.where(head[:n, None], model.start.astype(half), model.shares.astype(half)) * emitted
+        else:
+            state = state[:n] @ forward
+            state *= emitted
+        scale = state @ ones
+        logs += float(np.log(scale).sum(dtype=np.float64))
+        over = (1 / scale)[:, None]
+        state *= over
+        emitted *= over
+        trail.append((at, state, emitted))
+    words_, steps = np.zeros((len(emission), states)), np.zeros((states, states))
+    if not trail:
+        return words_, steps, np.zeros(states), 0.0
+    weights = np.empty((int(running.sum()), states), half)
+    end = len(weights)
+    beta = np.ones((len(order), states), half)
+    for t in range(len(trail) - 1, -1, -1):
+        _, state, ahead = trail[t]
+        n = len(state)
+        np.multiply(state, beta[:n], out=weights[end - n:end])
+        end -= n
         if t:
-            ahead = model.emission[at] * beta[:n] / scales[t][:, None]
-            steps += alphas[t - 1][:n].T @ ahead
-            beta[:n] = ahead @ model.steps.T
-    if found:
-        heads_ = weights[-1][head[: len(weights[-1])]].sum(axis=0)
-        at, weights = np.concatenate(found), np.concatenate(weights)
-        for k in range(states):
-            words_[:, k] = np.bincount(at, weights=weights[:, k], minlength=len(words_))
-    else:
-        heads_ = np.zeros(states)
-    return words_, steps * model.steps, heads_, likelihood
+            ahead *= beta[:n]
+            steps += trail[t - 1][1][:n].T @ ahead
+            beta[:n] = ahead @ back
+    at = np.concatenate([a for a, _, _ in trail])
+    for k in range(states):
+        words_[:, k] = np.bincount(at, weights=weights[:, k], minlength=len(words_))
+    return words_, steps * model.steps, weights[: len(head)][head].sum(axis=0, dtype=np.float64), logs
 
 
 def _sequences(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
