@@ -44,9 +44,8 @@ SHARE = 0.1
 PIECE = 256
 SEED = 11
 FOLDS, HELD_FOLD = 5, 1
-# Tokens whose recursions run side by side in a task.
-TRAIN_TOKENS = 1 << 19
-SCORE_TOKENS = 1 << 21
+# Tokens that a task works on at once, one text at least.
+TOKENS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -91,11 +90,23 @@ def table_words(counts: DataFrame, most: int = WORDS) -> tuple[np.ndarray, np.nd
     return hashes[order], n[order]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of about ``most`` entries of a list column, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(batch.column(column).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def _encode(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Table places of the tokens of each text, the end token last, and the hashes of words without one."""
     others = len(table) + 1
-    for batch in batches:
-        lists = batch.column(batch.num_columns - 1)
+    for batch in _slices(batches, 3, TOKENS):
+        lists = batch.column(3)
         hashes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(sizes)
@@ -229,18 +240,10 @@ def expected_counts(places: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
 
 
 def _sequences(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows with their tokens, about ``most`` tokens at once and one text at least."""
-    for batch in batches:
-        ends = np.cumsum(batch.column(column).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-        start = 0
-        while start < batch.num_rows:
-            before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
-            part = batch.slice(start, stop - start)
-            places = part.column(column).flatten().to_numpy(zero_copy_only=False)
-            sizes = np.diff(np.concatenate(([before], ends[start:stop])))
-            yield part, places, np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes
-            start = stop
+    """Rows with their tokens, where they start and how many they are."""
+    for part in _slices(batches, column, most):
+        sizes = part.column(column).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        yield part, part.column(column).flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes, sizes
 
 
 def _pieces(starts: np.ndarray, sizes: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,7 +258,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch], model: Model, piece: int) ->
     """The expected counts of a task: rows of places, then steps (places from -1 down), starts and the likelihood."""
     states = len(model.start)
     total, steps, heads, likelihood = np.zeros_like(model.emission), np.zeros((states, states)), np.zeros(states), 0.0
-    for _, places, starts, sizes in _sequences(batches, 0, TRAIN_TOKENS):
+    for _, places, starts, sizes in _sequences(batches, 0, TOKENS):
         counts = expected_counts(places, *_pieces(starts, sizes, piece), model)
         total, steps, heads, likelihood = total + counts[0], steps + counts[1], heads + counts[2], likelihood + counts[3]
     held = np.flatnonzero(total.sum(axis=1))
@@ -298,7 +301,7 @@ def train(texts: DataFrame, model: Model, rounds: int = ROUNDS, share: float = S
 
 
 def _score_rows(batches: Iterator[pa.RecordBatch], model: Model, logs: np.ndarray, known: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for part, places, starts, sizes in _sequences(batches, 3, SCORE_TOKENS):
+    for part, places, starts, sizes in _sequences(batches, 3, 2 * TOKENS):
         score = log_likelihoods(places, starts, sizes, model) / np.log(10)
         yield pa.record_batch(
             [
