@@ -33,7 +33,9 @@ _WIDTHS = (13, 13, 13, 13, 12)
 # Two counters of 32 bits in one number.
 _LANES = 1 << 32 | 1
 WORD = r"[\p{L}\p{N}]+"
-# Benchmark shingles up to this number are sent to every executor (16 bytes each); more are joined by shuffle.
+# Benchmark shingles up to this number are named in the filter of the scan, and sent to every
+# executor (16 bytes each); more are joined by shuffle. The results are the same.
+LISTED_SHINGLES = 100_000
 BROADCAST_SHINGLES = 1_000_000
 
 
@@ -90,29 +92,53 @@ def _full(enough: Column, within: Column | None = None) -> Column:
     return F.filter("places", lambda p, i: (F.get("places", i + enough - 1) < p + F.col("size")) & (F.lit(True) if within is None else p <= within))
 
 
-def _known(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
-    """Per text (MD5) and item size the ``places`` of shingles known from items of that size, if some window holds enough."""
+def _items(benchmark: DataFrame) -> DataFrame:
+    """Shingle bag, size and fingerprint of every item with a word, written to the shared folder."""
+    bags = benchmark.select("item_id", _shingles(text_of()).alias("bag")).where(F.size("bag") > 0)
+    return cut_lineage(bags.select("item_id", "bag", F.size("bag").alias("size"), simhash(F.col("bag")).alias("item_fp")))
+
+
+def _possible(items: DataFrame, least: float) -> Column:
+    """Whether the shingles ``bag`` of a text may hold a match: some stretch of the longest item's size has the known shingles of the shortest.
+
+    The test needs nothing but the row, so texts that fail it go no further. Beyond LISTED_SHINGLES every text may.
+    """
+    sizes = items.agg(F.min(_enough(least)).alias("enough"), F.max("size").alias("longest")).first()
+    if sizes["longest"] is None:
+        return F.lit(False)
+    known = items.select(F.explode("bag").alias("h")).distinct()
+    if known.count() > LISTED_SHINGLES:
+        return F.lit(True)
+    listed = ",".join(f"{r['h']}L" for r in known.collect())
+    places = F.expr(f"filter(transform(bag, (h, i) -> if(h in ({listed}), i, -1)), i -> i >= 0)")
+    enough, longest = sizes["enough"], sizes["longest"]
+    return let(places, lambda found: F.exists(
+        F.transform(found, lambda p, i: F.coalesce(F.get(found, i + enough - 1) < p + longest, F.lit(False))), lambda near: near
+    ))
+
+
+def _texts(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """``md5`` and shingle ``bag`` of every distinct text that may hold a match; copies are told apart by narrow rows."""
+    rows = docs.select(F.md5(text_of()).alias("md5"), _shingles(text_of()).alias("bag")).where(_possible(items, least))
+    rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))
+    first = rows.groupBy("md5").agg(F.min("row").alias("row")).select("row")
+    return cut_lineage(rows.join(first, "row", "left_semi").drop("row"))
+
+
+def _known(texts: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """Per text and item size the ``places`` of shingles known from items of that size, if some window holds enough."""
     known = cut_lineage(items.select(F.explode("bag").alias("h"), "size").groupBy("h").agg(F.collect_set("size").alias("sizes")))
-    places = docs.select(F.md5(text_of()).alias("md5"), F.posexplode(_shingles(text_of())).alias("at", "h"))
+    places = texts.select("md5", F.posexplode("bag").alias("at", "h"))
     side = F.broadcast(known) if known.count() <= BROADCAST_SHINGLES else known
     hits = places.join(side, "h").select("md5", "at", F.explode("sizes").alias("size"))
     grouped = hits.groupBy("md5", "size").agg(F.sort_array(F.collect_set("at")).alias("places"))
     return grouped.where(F.size(_full(_enough(least))) > 0)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least: float = SIMILARITY) -> DataFrame:
-    """``md5`` of a text, ``item_id``, ``similarity`` and ``start`` (shingle place) of its best window per item."""
-    items = cut_lineage(
-        benchmark.select("item_id", _shingles(text_of()).alias("bag")).where(F.size("bag") > 0)
-        .select("item_id", "bag", F.size("bag").alias("size"), simhash(F.col("bag")).alias("item_fp"))
-    )
-    by_size = cut_lineage(_known(docs, items, least))
-    texts = (
-        docs.select(F.md5(text_of()).alias("md5"), text_of().alias("t"))
-        .join(by_size.select("md5").distinct(), "md5", "left_semi")
-        .groupBy("md5").agg(F.first("t").alias("t"))
-        .select("md5", _shingles(F.col("t")).alias("bag"))
-    )
+def matches(docs: DataFrame, items: DataFrame, radius: int = RADIUS, least: float = SIMILARITY) -> DataFrame:
+    """``md5`` of a text, ``item_id``, ``similarity`` and ``start`` (shingle place) of its best window per item (rows of ``_items``)."""
+    texts = _texts(docs, items, least)
+    by_size = cut_lineage(_known(texts, items, least))
     last = F.greatest(F.lit(0), F.size("bag") - F.col("size"))
     enough = F.when(F.size("bag") < F.col("size"), _enough(least)).otherwise(_enough(2 * least / (1 + least)))
     at_end = F.when(F.size(F.filter("places", lambda p: p >= F.col("last"))) >= F.col("enough"), F.array("last")).otherwise(F.array().cast("array<int>"))
@@ -142,14 +168,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least:
     return best.select("md5", "item_id", F.col("best")["similarity"].alias("similarity"), (-F.col("best")["back"]).alias("start"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``doc_id``, ``item_id``, ``similarity`` and ``start`` for every row that holds a passage of an item."""
-    found = cut_lineage(matches(docs, benchmark))
+    found = cut_lineage(matches(docs, _items(benchmark), radius))
     return docs.select("doc_id", F.md5(text_of()).alias("md5")).join(found, "md5").drop("md5")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a passage of an item, with their own columns."""
-    found = cut_lineage(matches(docs, benchmark).select(F.col("md5").alias("llm_md5")).distinct())
-    rows = docs.withColumn("llm_md5", F.md5(text_of())).join(found, "llm_md5", "left_anti")
-    return original(rows, docs.columns)
+    """The rows of ``docs`` without a passage of an item, with their own columns.
+
+    Only rows that may hold a match meet the matches; all others stay where they are.
+    """
+    items = _items(benchmark)
+    found = cut_lineage(matches(docs, items).select(F.col("md5").alias("found")).distinct())
+    rows = docs.select(F.struct("*").alias("whole"), F.md5(text_of()).alias("md5"), _shingles(text_of()).alias("bag"))
+    rows = rows.withColumn("possible", _possible(items, SIMILARITY)).drop("bag")
+    met = rows.where("possible").join(found, F.col("md5") == F.col("found"), "left_anti")
+    return original(rows.where("not possible").unionByName(met).select("whole.*"), docs.columns)
