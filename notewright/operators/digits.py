@@ -2,7 +2,7 @@
 
 Each round counts the rows that agree with a wanted key so far by their next 16 bits, so a
 round ships at most 65536 counts a wanted rank, whatever the distribution, and four rounds
-name the exact key. Nothing is ranked or gathered, and equal keys cost no more than one.
+name the exact key; two do where keys are spread evenly. Nothing is ranked or gathered, and equal keys cost no more than one.
 """
 
 from __future__ import annotations
@@ -13,12 +13,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 _BITS = 16
 _LOWEST = -(1 << 63)
+_ALL = (1 << 64) - 1
+# Rows around the wanted keys that are counted by whole keys at once.
+_FEW = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -45,8 +48,9 @@ def key_double(key: int) -> float:
     return float(bits.view(np.float64))
 
 
-def _any(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def _signed(number: int) -> int:
+    """The long whose bits, sign flipped, are ``number``."""
+    return number - (1 << 63)
 
 
 def at_ranks(
@@ -57,37 +61,37 @@ def at_ranks(
     ``rows`` is read once per 16 bits, so it should be a written or cheap table. Rows of other
     groups or with a null key take no part. A rank beyond its group's rows raises ValueError.
     """
-    targets = {(g, r): (0, 0, r) for g, wanted in ranks.items() for r in wanted}
+    # Per wanted rank: the known high bits of its key, rows before them, rows with them, rank among these.
+    targets = {(g, r): (0, 0, 0, r) for g, wanted in ranks.items() for r in wanted}
     if not targets:
         return {}
     # Flipping the sign makes the order of the bits the order of the numbers.
     ordered = F.col(key).bitwiseXOR(F.lit(_LOWEST))
     counted = rows.where(F.col(key).isNotNull()).select(F.col(group).alias("g"), ordered.alias("k"))
-    for shift in range(64 - _BITS, -1, -_BITS):
-        if shift == 64 - _BITS:
-            inside = _any([F.col("g") == F.lit(g) for g in {g for g, _ in targets}])
-        else:
-            high = F.shiftrightunsigned("k", shift + _BITS)
-            inside = _any([
-                (F.col("g") == F.lit(g)) & high.isin(*{prefix for (own, _), (prefix, _, _) in targets.items() if own == g})
-                for g in {g for g, _ in targets}
-            ])
-        counts = counted.where(inside).groupBy("g", F.shiftrightunsigned("k", shift).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+    known = 64
+    while known:
+        # Few rows left are counted by their whole keys at once.
+        few = known < 64 and sum({(g, p): n for (g, _), (p, _, n, _) in targets.items()}.values()) <= _FEW
+        shift = 0 if few else known - _BITS
+        conditions = []
+        for g in {g for g, _ in targets}:
+            own = F.col("g") == F.lit(g)
+            prefixes = {p for (h, _), (p, _, _, _) in targets.items() if h == g}
+            conditions.append(own if known == 64 else own & F.shiftrightunsigned("k", known).isin(*prefixes))
+        inside = counted.where(reduce(lambda a, b: a | b, conditions))
+        counts = inside.groupBy("g", F.shiftrightunsigned("k", shift).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
         per: dict[tuple, list[tuple[int, int]]] = {}
         for row in counts:
-            # Unsigned: the first round's prefixes are below 2**16, the last ones may be negative longs.
-            number = row["p"] & ((1 << 64) - 1)
-            per.setdefault((row["g"], number >> _BITS), []).append((number, row["n"]))
+            number = row["p"] & _ALL
+            per.setdefault((row["g"], number >> (known - shift)), []).append((number, row["n"]))
         per = {at: sorted(found) for at, found in per.items()}
-        for target, (prefix, before, left) in targets.items():
-            for number, n in per.get((target[0], prefix & ((1 << 64) - 1)), []):
+        for target, (prefix, before, _, left) in targets.items():
+            for number, n in per.get((target[0], prefix), []):
                 if left <= n:
                     break
                 left, before = left - n, before + n
             else:
                 raise ValueError(f"rank {target[1]} exceeds the rows of {target[0]!r}")
-            targets[target] = (number, before, left)
-            if shift == 0:
-                targets[target] = (number, before, n)
-    return {target: Place((number ^ (1 << 63)) - ((1 << 64) if (number ^ (1 << 63)) >> 63 else 0), before, n)
-            for target, (number, before, n) in targets.items()}
+            targets[target] = (number, before, n, left)
+        known = shift
+    return {at: Place(_signed(number), before, n) for at, (number, before, n, _) in targets.items()}

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from notewright import fixed_values as fv
 from notewright.functions.labels import is_set
+from notewright.operators.quantiles import exact_quantile
 from notewright.schema import EMBEDDING, ID, LABEL, SCHEME, TEXT, LabelScheme
+from notewright.session import cut_lineage
 
 
 def data_quality(df: DataFrame, scheme: LabelScheme = SCHEME) -> DataFrame:
@@ -78,20 +80,15 @@ def column_coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return totals.select(F.inline(rows))
 
 
-def text_length_stats(df: DataFrame, label_col: str = LABEL, length: Column | None = None) -> DataFrame:
-    """Mean, median, minimum and maximum text length per class.
-
-    Lengths are counted per (class, length) first, so the exact median works on
-    distinct lengths, of which there are at most as many as the longest text.
-    """
+def text_length_stats(
+    df: DataFrame, label_col: str = LABEL, length: Column | None = None, labels: Sequence[str] = fv.LABELS
+) -> DataFrame:
+    """Mean, exact median, minimum and maximum text length per listed class."""
     length = F.length(TEXT) if length is None else length
-    counts = df.groupBy(label_col, length.alias("length")).agg(F.count("*").alias("n"))
-    return counts.groupBy(label_col).agg(
-        (F.sum(F.col("length") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.percentile("length", 0.5, F.col("n")).alias("median"),
-        F.min("length").alias("min"),
-        F.max("length").alias("max"),
-    )
+    rows = cut_lineage(df.filter(F.col(label_col).isin(*labels)).select(label_col, length.alias("length")))
+    stats = rows.groupBy(label_col).agg(F.avg("length").alias("mean"), F.min("length").alias("min"), F.max("length").alias("max"))
+    median = exact_quantile(rows, label_col, labels, "length").withColumnRenamed("quantile", "median")
+    return stats.join(F.broadcast(median), label_col, "left").select(label_col, "mean", "median", "min", "max")
 
 
 def crosstab_share(df: DataFrame, flag: str, label_col: str = LABEL) -> DataFrame:

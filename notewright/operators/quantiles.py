@@ -1,58 +1,32 @@
-"""Exact order statistics that never gather a group's values in one task."""
+"""Exact order statistics that never gather or rank a group's values."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_BUCKETS = 4096
-_ROUNDS = 2
+from notewright.operators.digits import at_ranks, double_key, key_double
+from notewright.session import cut_lineage
 
 
 def exact_quantile(df: DataFrame, by: str, groups: Sequence, value: str, p: float = 0.5) -> DataFrame:
     """The linearly interpolated quantile of ``value`` per listed group, as column ``quantile``.
 
-    The two neighbouring order statistics around the quantile are bracketed by
-    counting values per equal-width bucket between the group's bounds, twice;
-    what is left of a bracket is counted per distinct value. Each step ships
-    counts, one bracket row per listed group is broadcast, and the answer is
-    exact whatever the distribution or the number of equal values.
+    Values become longs in the same order, written once, and the two order statistics around
+    the quantile are found by counting their digits. The cost is the same for any distribution
+    and any number of equal values. Null and NaN take no part; a group without values has no row.
     """
-    known = F.col(by).isin(*groups) & F.col("_v").isNotNull()
-    rows = df.select(by, F.col(value).cast("double").alias("_v")).filter(known & ~F.isnan("_v"))
-    position = (F.count("*") - 1) * F.lit(float(p))
-    brackets = rows.groupBy(by).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.lit(0).cast("long").alias("_below"),
-        F.floor(position).alias("_first"), F.ceil(position).alias("_second"),
-        (position - F.floor(position)).alias("_weight"),
-    )
-    for _ in range(_ROUNDS):
-        width = (F.col("_hi") - F.col("_lo")) / _BUCKETS
-        bucket = F.when(
-            width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(_BUCKETS - 1))
-        ).otherwise(F.lit(0))
-        found = _counted(rows, brackets, by, bucket)
-        holds_either = (F.col("_upto") > F.col("_first")) & (F.col("_upto") - F.col("_n") <= F.col("_second"))
-        brackets = found.filter(holds_either).groupBy(by, "_first", "_second", "_weight").agg(
-            F.min("_low").alias("_lo"), F.max("_high").alias("_hi"), F.min(F.col("_upto") - F.col("_n")).alias("_below")
-        )
-    values = _counted(rows, brackets, by, F.col("_v"))
-
-    def at(rank: str) -> Column:
-        here = (F.col("_upto") > F.col(rank)) & (F.col("_upto") - F.col("_n") <= F.col(rank))
-        return F.max(F.when(here, F.col("_low")))
-
-    return values.groupBy(by).agg((at("_first") + F.max("_weight") * (at("_second") - at("_first"))).alias("quantile"))
-
-
-def _counted(rows: DataFrame, brackets: DataFrame, by: str, key: Column) -> DataFrame:
-    """Rows inside their group's bracket counted per ``key``, with the running count up to each."""
-    kept = ["_first", "_second", "_weight", "_below"]
-    inside = rows.join(F.broadcast(brackets), by).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-    counts = inside.groupBy(by, *kept, key.alias("_key")).agg(
-        F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
-    )
-    running = F.sum("_n").over(Window.partitionBy(by).orderBy("_key"))
-    return counts.withColumn("_upto", F.col("_below") + running)
+    keyed = df.filter(F.col(by).isin(*groups)).select(F.col(by).alias("group"), double_key(F.col(value).cast("double")).alias("key"))
+    keyed = cut_lineage(keyed.filter(F.col("key").isNotNull()))
+    positions = {r["group"]: (r["n"] - 1) * p for r in keyed.groupBy("group").agg(F.count("*").alias("n")).collect()}
+    ranks = {g: sorted({math.floor(at) + 1, math.ceil(at) + 1}) for g, at in positions.items()}
+    found = at_ranks(keyed, ranks)
+    rows = []
+    for g, at in positions.items():
+        low, high = (key_double(found[g, r + 1].key) for r in (math.floor(at), math.ceil(at)))
+        rows.append((g, low if low == high else low + (at - math.floor(at)) * (high - low)))
+    kind = df.schema[by].dataType.simpleString()
+    return df.sparkSession.createDataFrame(rows, f"`{by}` {kind}, quantile double")

@@ -1,10 +1,9 @@
 """Exact, seed-keyed splitting and sampling.
 
 Every row has the sort key ``(md5(seed:id), id)``. To hold out the first ``n``
-rows of a class in that order no class is ever sorted whole: counts per (class,
-key prefix) find the one prefix where the quota runs out, only that prefix's
-rows are ranked, and the row at the quota becomes the class's cut key. What is
-left of the split is a comparison of each row with one constant per listed
+rows of a class in that order nothing is sorted or ranked: the key at the quota is
+found digit by digit from counts (``digits.py``) and becomes the class's cut key.
+What is left of the split is a comparison of each row with one constant per listed
 class, so the table itself is neither shuffled nor joined.
 """
 
@@ -12,11 +11,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewright import fixed_values as fv
+from notewright.operators.digits import Place, at_ranks
 from notewright.operators.select import is_labelled, is_official_test, union_phases
 from notewright.schema import ID, LABEL, SCHEME, LabelScheme
 from notewright.session import cut_lineage
@@ -24,9 +25,6 @@ from notewright.session import cut_lineage
 SPLIT = "split"
 TRAIN, VALIDATION, TEST, UNLABELLED = "train", "validation", "test", "unlabelled"
 
-# Hex digits of the key that name a bucket: 4096 buckets per class.
-_PREFIX = 3
-
 Quotas = Callable[[Mapping[str, int]], Mapping[str, int]]
 
 
@@ -43,30 +41,16 @@ def _held_out(
     ``quotas`` maps rows per class to rows wanted. The column is false for other
     rows of a class with a quota and NULL for all others.
     """
-    keyed = df.filter(within & F.col(label_col).isin(*labels)).select(
-        F.col(label_col).alias("label"), F.col(id_col).alias("id"), order_key(seed, id_col).alias("key")
-    ).withColumn("prefix", F.substring("key", 1, _PREFIX))
-    # At most 4096 rows per listed class.
-    counts: dict[str, list[tuple[str, int]]] = {}
-    for row in keyed.groupBy("label", "prefix").agg(F.count("*").alias("n")).collect():
-        counts.setdefault(row["label"], []).append((row["prefix"], row["n"]))
-    wanted = dict(quotas({label: sum(n for _, n in own) for label, own in counts.items()}))
-    crossing = {label: _crossing(counts[label], quota) for label, quota in wanted.items() if quota > 0}
-
-    def by_label(values: Mapping[str, object]) -> Column:
-        return F.coalesce(*[F.when(F.col("label") == k, F.lit(v)) for k, v in values.items()])
-
-    cuts = {}
-    if crossing:
-        inside = keyed.filter(F.col("prefix") == by_label({k: prefix for k, (prefix, _) in crossing.items()}))
-        # Rows that share an id are counted before they are shipped, and stay on one side.
-        ids = inside.groupBy("label", "key", "id").agg(F.count("*").alias("n"))
-        upto = F.sum("n").over(Window.partitionBy("label").orderBy("key", "id"))
-        place = by_label({k: place for k, (_, place) in crossing.items()})
-        last = ids.withColumn("upto", upto).filter(
-            (F.col("upto") >= place) & (F.col("upto") - F.col("n") < place)
-        )
-        cuts = {r["label"]: (r["key"], r["id"]) for r in last.select("label", "key", "id").collect()}
+    keyed = cut_lineage(df.filter(within & F.col(label_col).isin(*labels)).select(
+        F.col(label_col).alias("group"), F.col(id_col).alias("id"), _first_bits(order_key(seed, id_col)).alias("key")
+    ))
+    totals = {row["group"]: row["n"] for row in keyed.groupBy("group").agg(F.count("*").alias("n")).collect()}
+    wanted = dict(quotas(totals))
+    for label, quota in wanted.items():
+        if quota > totals[label]:
+            raise ValueError(f"a quota of {quota} exceeds the {totals[label]} rows of {label}")
+    places = {label: place for (label, _), place in at_ranks(keyed, {k: [n] for k, n in wanted.items() if n > 0}).items()}
+    cuts = _cut_ids(keyed, places, wanted, seed) if places else {}
 
     key, own = order_key(seed, id_col), F.col(id_col)
     held = F.lit(None).cast("boolean")
@@ -79,14 +63,29 @@ def _held_out(
     return F.when(within, held)
 
 
-def _crossing(counts: Sequence[tuple[str, int]], quota: int) -> tuple[str, int]:
-    """The key prefix in which a class reaches its quota, and the place inside it."""
-    left = quota
-    for prefix, n in sorted(counts):
-        if left <= n:
-            return prefix, left
-        left -= n
-    raise ValueError(f"a quota of {quota} exceeds its class")
+def _first_bits(key: Column) -> Column:
+    """The first 64 bits of a hexadecimal key as a long in the same order."""
+    high, low = (F.conv(F.substring(key, start, 8), 16, 10).cast("long") for start in (1, 9))
+    return F.shiftleft(high, 32).bitwiseOR(low).bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def _cut_ids(keyed: DataFrame, places: Mapping[str, Place], wanted: Mapping[str, int], seed: int) -> dict[str, tuple]:
+    """Per class the whole key and the id of the last row held out.
+
+    Rows of one id share all bits, so only they and chance collisions stand at the cut; they are
+    counted per id.
+    """
+    at_cut = reduce(lambda a, b: a | b, [
+        (F.col("group") == F.lit(label)) & (F.col("key") == F.lit(place.key)) for label, place in places.items()
+    ])
+    ids = keyed.filter(at_cut).groupBy("group", order_key(seed, "id").alias("whole"), "id").agg(F.count("*").alias("n"))
+    cuts: dict[str, tuple] = {}
+    left = {label: wanted[label] - place.before for label, place in places.items()}
+    for row in sorted(ids.collect(), key=lambda r: (r["group"], r["whole"], r["id"])):
+        if left[row["group"]] > 0:
+            cuts[row["group"]] = (row["whole"], row["id"])
+            left[row["group"]] -= row["n"]
+    return cuts
 
 
 def _fraction_quotas(fractions: Mapping[str, float]) -> Quotas:
