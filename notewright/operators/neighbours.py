@@ -3,14 +3,12 @@
 Vectors are compared block against block with a matrix product, and only the k
 best per query leave a block. A store below a checked size is one block that is
 broadcast, so queries are scored where they are and nothing is shuffled. Larger
-stores are cut into blocks by id hash, as are the queries, and every pair of
-blocks is one task; blocks hold a fixed number of rows whatever the data looks
-like, so copies of one vector cannot overload a task.
+stores get a pivot index (``pivots.py``), by which a query meets only the clusters
+that may hold one of its neighbours.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +21,15 @@ from pyspark.sql import types as T
 from notewright import fixed_values as fv
 from notewright.functions.labels import clean_flag
 from notewright.functions.vectors import similarity_score
+from notewright.operators import pivots
+from notewright.operators.pivots import unit_rows
 from notewright.schema import EMBEDDING, ID, LABEL, SCHEME, TEXT, LabelScheme
+from notewright.session import cut_lineage
 
 # A store whose vectors take up to this many bytes is broadcast.
 BROADCAST_BYTES = 64 << 20
-# Beyond that, blocks of this size meet pairwise. Rows travel once per block of the
-# other side, so larger blocks mean less shuffle; two of them must fit a task.
+# Beyond that, clusters and the queries that meet them are cut into blocks of at most
+# about this size; two of them must fit a task.
 BLOCK_BYTES = 512 << 20
 # Cosines are compared at nine decimals, so ranks do not depend on the block layout.
 _SCALE = 1_000_000_000
@@ -39,18 +40,6 @@ _COLUMNS = 1024
 _LAST_PLACE = (1 << _PLACE_BITS) - 1
 
 
-def _unit_rows(vectors: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    """Vectors as the rows of a matrix, scaled to length one."""
-    if isinstance(vectors, pa.ChunkedArray):
-        vectors = vectors.combine_chunks()
-    lengths = pc.list_value_length(vectors)
-    if len(vectors) and pc.any(pc.not_equal(lengths, dim)).as_py():
-        raise ValueError(f"a vector does not have {dim} entries")
-    rows = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
-
-
 def _best(queries: np.ndarray, store: np.ndarray, k: int) -> np.ndarray:
     """The k best store rows of each query as keys, best first; ``store`` must be in id order.
 
@@ -92,19 +81,20 @@ def _merge(top: np.ndarray, row: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return together[order][starts[:, None] + np.arange(keep)]
 
 
-def _hits(query_ids: pa.Array, queries: np.ndarray, store_ids: pa.Array, store: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k best store rows of each query as (query_id, neighbour_id, cosine, rank)."""
+def _hits(query_ids: list[pa.Array], queries: np.ndarray, store_ids: pa.Array, store: np.ndarray, k: int, names: list[str]) -> pa.RecordBatch:
+    """The k best store rows of each query: columns that name the query, then neighbour_id, cosine and rank."""
     best = _best(queries, store, k)
     size, keep = best.shape
     keys = best.ravel()
+    each = pa.array(np.repeat(np.arange(size), keep))
     return pa.record_batch(
         [
-            query_ids.take(pa.array(np.repeat(np.arange(size), keep))),
+            *[ids.take(each) for ids in query_ids],
             store_ids.take(pa.array(_LAST_PLACE - (keys & _LAST_PLACE))),
             pa.array((keys >> _PLACE_BITS) / _SCALE),
             pa.array(np.tile(np.arange(1, keep + 1, dtype=np.int32), size)),
         ],
-        names=["query_id", "neighbour_id", "cosine", "rank"],
+        names=[*names, "neighbour_id", "cosine", "rank"],
     )
 
 
@@ -131,68 +121,55 @@ def top_k_cosine(
         T.StructField("cosine", T.DoubleType()),
         T.StructField("rank", T.IntegerType()),
     ])
-    size = known.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.min(F.size("v")).alias("low")).first()
+    name_bytes = F.coalesce(F.sum(F.length(F.col("neighbour_id").cast("string"))), F.lit(0))
+    size = known.agg(
+        F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.min(F.size("v")).alias("low"), name_bytes.alias("names")
+    ).first()
     if size.n == 0:
         return queries.sparkSession.createDataFrame([], schema)
     if size.dim != size.low:
         raise ValueError(f"vectors differ in length: {size.low} to {size.dim}")
     dim = size.dim
-    if size.n * dim * 8 <= broadcast_bytes:
+    if size.n * dim * 8 + size.names <= broadcast_bytes:
         table = known.orderBy("neighbour_id").toArrow()
         shared = queries.sparkSession.sparkContext.broadcast(
-            (table.column("neighbour_id").combine_chunks(), _unit_rows(table.column("v"), dim))
+            (table.column("neighbour_id").combine_chunks(), unit_rows(table.column("v"), dim))
         )
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, units = shared.value
             for batch in batches:
-                yield _hits(batch.column(0), _unit_rows(batch.column(1), dim), ids, units, k)
+                yield _hits([batch.column(0)], unit_rows(batch.column(1), dim), ids, units, k, ["query_id"])
 
         # Each query has met the whole store here, so its ranks are final.
         return asked.mapInArrow(scan, schema)
 
+    found, _ = _indexed_search(asked, known, size.n, dim, k, max(1, block_bytes // (8 * dim)), schema)
     # Query rows are ranked one by one, as in the scan, also if they share an id.
-    block_rows = max(1, block_bytes // (8 * dim))
-    asked = asked.withColumn("query_id", F.struct(F.monotonically_increasing_id().alias("row"), F.col("query_id").alias("id")))
-    keyed = T.StructType([asked.schema["query_id"], *schema.fields[1:]])
-    found = _pairwise(asked, known, size.n, block_rows, dim, k, keyed)
-    by_score = Window.partitionBy("query_id.row").orderBy(F.desc("cosine"), "neighbour_id")
+    by_score = Window.partitionBy("row").orderBy(F.desc("cosine"), "neighbour_id")
     ranked = found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
-    return ranked.withColumn("query_id", F.col("query_id.id"))
-
-
-def _pairwise(
-    asked: DataFrame, known: DataFrame, store_rows: int, block_rows: int, dim: int, k: int, schema: T.StructType
-) -> DataFrame:
-    """Every block of queries against every block of the store, one task per pair."""
-    store_blocks = math.ceil(store_rows / block_rows)
-    query_blocks = max(1, math.ceil(asked.count() / block_rows))
-
-    def every(blocks: int):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    return ranked.select("query_id", "neighbour_id", "cosine", "rank")
 
-    def block(id_col: str, blocks: int):
-        # The input partition is hashed too, so that rows repeating one id spread over blocks.
-        return F.pmod(F.xxhash64(F.col(id_col), F.spark_partition_id()), F.lit(blocks))
 
-    left = asked.withColumn("qb", block("query_id", query_blocks)).withColumn("sb", every(store_blocks))
-    right = known.withColumn("sb", block("neighbour_id", store_blocks)).withColumn("qb", every(query_blocks))
+def _indexed_search(
+    asked: DataFrame, known: DataFrame, rows: int, dim: int, k: int, block_rows: int, schema: T.StructType
+) -> tuple[DataFrame, DataFrame]:
+    """Candidates by query ``row`` from a pivot index of ``known``, and the probes made.
 
-    def meet(query_rows: pa.Table, store: pa.Table) -> pa.Table:
-        store = store.take(pc.sort_indices(store, sort_keys=[("neighbour_id", "ascending")]))
-        hits = _hits(
-            query_rows.column("query_id").combine_chunks(), _unit_rows(query_rows.column("v"), dim),
-            store.column("neighbour_id").combine_chunks(), _unit_rows(store.column("v"), dim), k,
+    Query rows are numbered and written first, so that a row keeps its number if its task is run again.
+    """
+    asked = cut_lineage(asked.withColumn("row", F.monotonically_increasing_id()))
+    keyed = T.StructType([T.StructField("row", T.LongType()), *schema.fields])
+
+    def hits(probes: pa.Table, store: pa.Table) -> pa.Table:
+        names = ["row", "query_id"]
+        found = _hits(
+            [probes.column(n).combine_chunks() for n in names], unit_rows(probes.column("v"), dim),
+            store.column("neighbour_id").combine_chunks(), unit_rows(store.column("v"), dim), k, names,
         )
-        return pa.Table.from_batches([hits])
-
-    # Work per pair is far above its bytes, so partitions are counted in pairs, not merged by size.
-    spark = asked.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = min(query_blocks * store_blocks, max(shuffles, 4 * cores))
-    left, right = (side.repartition(parts, "qb", "sb") for side in (left, right))
-    return left.groupBy("qb", "sb").cogroup(right.groupBy("qb", "sb")).applyInArrow(meet, schema)
+        return pa.Table.from_batches([found])
+
+    return pivots.search(asked, pivots.build(known, rows, dim, k), dim, k, block_rows, hits, keyed)
 
 
 def similarity_search(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from notewright import fixed_values as fv
 from notewright.functions.rules import DIABETES_RULES
-from notewright.operators import embed, expand, fuse, neighbours, route, score, space, spread, tfidf, train, weak
+from notewright.operators import embed, expand, fuse, neighbours, pivots, route, score, space, spread, tfidf, train, weak
 from notewright.operators.select import with_label
 
 N, C, D, B = fv.LABELS
@@ -63,6 +63,61 @@ def test_slices_change_nothing(monkeypatch, k, slice_size):
     assert [list(p) for p in places] == [expected[i] for i in range(21)]
 
 
+def _index(known, k, most=1024):
+    rows = known.selectExpr("patient_identifier AS neighbour_id", "embedding AS v")
+    return pivots.build(rows, rows.count(), len(rows.first()["v"]), k, most)
+
+
+@pytest.mark.parametrize("k", [1, 4, 300])
+@pytest.mark.parametrize("block_bytes", [1, 8 * 3 * 11, 1 << 20])
+def test_pivot_search_with_zeros_copies_repeated_ids_and_ties(spark, k, block_bytes):
+    rng = np.random.default_rng(8)
+    store = np.vstack([rng.normal(size=(60, 3)), np.zeros((5, 3)), np.repeat([[1.0, 2.0, 3.0]], 40, axis=0), [[-1, -2, -3]], rng.normal(size=(30, 3))])
+    ids = np.concatenate([np.arange(len(store) - 10), np.arange(10)])
+    queries = np.vstack([rng.normal(size=(12, 3)), np.zeros((2, 3)), [[1.0, 2.0, 3.0]] * 3, [[-2.0, -4.0, -6.0]]])
+    asked, known = vectors(spark, queries, [7] * len(queries)).repartition(3), vectors(spark, store, ids).repartition(4)
+    scan, indexed = (
+        sorted((r["query_id"], r["neighbour_id"], round(r["cosine"], 9), r["rank"]) for r in
+               neighbours.top_k_cosine(asked, known, k, **limits).collect())
+        for limits in ({}, {"broadcast_bytes": 0, "block_bytes": block_bytes})
+    )
+    assert scan == indexed and len(scan) == len(queries) * min(k, len(store))
+
+
+def test_pivot_search_skips_far_clusters(spark):
+    rng = np.random.default_rng(6)
+    centres = np.linalg.qr(rng.normal(size=(24, 24)))[0]
+    store = np.repeat(centres, 50, axis=0) + rng.normal(size=(1200, 24)) * 0.01
+    queries = centres + rng.normal(size=(24, 24)) * 0.01
+    asked = vectors(spark, queries).selectExpr("patient_identifier AS query_id", "embedding AS v")
+    known = vectors(spark, store).selectExpr("patient_identifier AS neighbour_id", "embedding AS v")
+    schema = neighbours.top_k_cosine(vectors(spark, queries), vectors(spark, store), 5).schema
+    found, probes = neighbours._indexed_search(asked, known, 1200, 24, 5, 400, schema)
+    index = pivots.build(known, 1200, 24, 5)
+    every = 24 * int((index.sizes > 0).sum())
+    assert probes.count() < every / 3
+    compared = sum(int(index.sizes[r["cluster"]]) for r in probes.collect())
+    assert compared < 24 * 1200 / 4
+    best = {r["query_id"]: r["m"] for r in found.groupBy("query_id").agg(F.max("cosine").alias("m")).collect()}
+    unit = [m / np.linalg.norm(m, axis=1, keepdims=True) for m in (queries.astype(np.float32).astype(float), store.astype(np.float32).astype(float))]
+    assert np.allclose([best[i] for i in range(24)], (unit[0] @ unit[1].T).max(axis=1), atol=1e-9)
+
+
+def test_no_member_beats_its_bound(spark):
+    rng = np.random.default_rng(3)
+    store = np.vstack([rng.normal(size=(200, 5)), np.zeros((3, 5)), np.eye(5), -np.eye(5)])
+    index = _index(vectors(spark, store), 2, most=9)
+    queries = np.vstack([rng.normal(size=(40, 5)), np.zeros((1, 5)), np.eye(5), store[:20]])
+    norms = np.linalg.norm(queries, axis=1, keepdims=True)
+    units = np.divide(queries, norms, out=np.zeros_like(queries), where=norms > 0)
+    limit = pivots.bounds(units, index.pivots, index.least, index.widest)
+    assert int(index.sizes.sum()) == 210 + 2
+    for row in index.rows.collect():
+        v = np.array(row["v"], dtype=float)
+        v = v / np.linalg.norm(v) if np.linalg.norm(v) else v
+        assert (units @ v <= limit[:, row["cluster"]] + pivots.MARGIN).all()
+
+
 def test_rows_without_vector_and_empty_store(spark):
     asked = vectors(spark, [[1, 0], None])
     assert neighbours.top_k_cosine(asked, vectors(spark, [None]), 3).count() == 0
