@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 
 from notewright import fixed_values as fv
 from notewright.schema import EMBEDDING, TEXT
+from notewright.session import cut_lineage
 
 Embedder = Callable[[Sequence[str]], np.ndarray]
 
@@ -68,6 +70,44 @@ def embed_text(
     return df.mapInArrow(run, schema)
 
 
+def embed_once(
+    df: DataFrame,
+    make_embedder: Callable[[], Embedder],
+    path: str,
+    model: str,
+    dim: int = fv.EMBEDDING_DIM,
+    batch: int = fv.EMBEDDING_BATCH,
+    waves: int = 1,
+    text: str = TEXT,
+    vector: str = EMBEDDING,
+) -> DataFrame:
+    """Add an embedding, kept at ``path`` by model and SHA-256 of the text, so that no text is embedded twice.
+
+    Equal texts are embedded once, and texts that an earlier run has embedded for ``model`` not at
+    all. New texts go in ``waves`` parts, each of which is kept when it is done, so that a run that
+    was cut off goes on where it stopped. A missing text is the empty text.
+    """
+    spark = df.sparkSession
+    kept = T.StructType([T.StructField("content", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType()))])
+    folder = f"{path}/model={quote(model, safe='')}"
+    spark.createDataFrame([], kept).write.mode("append").parquet(folder)
+
+    def known() -> DataFrame:
+        return spark.read.schema(kept).parquet(folder)
+
+    content = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    # Texts are told apart by narrow rows, so that only the ones to embed are moved.
+    texts = cut_lineage(df.select(F.coalesce(F.col(text), F.lit("")).alias("t"), content.alias("content"))
+                        .withColumn("row", F.monotonically_increasing_id()))
+    new = cut_lineage(texts.groupBy("content").agg(F.min("row").alias("row")).join(known().select("content"), "content", "left_anti"))
+    for wave in range(waves):
+        part = new.filter(F.pmod(F.xxhash64("content"), F.lit(waves)) == wave).select("row")
+        fresh = texts.join(part, "row", "left_semi").select("content", "t")
+        made = embed_text(fresh, make_embedder, dim, batch, "t", "vector").select("content", "vector")
+        made.write.mode("append").parquet(folder)
+    return df.withColumn("_content", content).join(known().select(F.col("content").alias("_content"), F.col("vector").alias(vector)), "_content").drop("_content")
+
+
 def check_embeddings(df: DataFrame, dim: int, vector: str = EMBEDDING) -> DataFrame:
     """Rows, rows of the right length, and rows holding a value that is no number."""
     return df.agg(

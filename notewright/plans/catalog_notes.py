@@ -87,7 +87,7 @@ def _labelled_cases(spark: SparkSession, folder: str) -> DataFrame:
     return select.with_label(select.labelled(notes(spark, folder, vectors=True)))
 
 
-_CASES = f"""SELECT CAST(patient_identifier AS VARCHAR) AS patient_identifier, md5(text) AS text_md5,
+_CASES = f"""SELECT patient_identifier, md5(text) AS text_md5,
   has_cancer, has_diabetes, combined_label, CAST(coalesce(len(embedding), -1) AS INTEGER) AS dim FROM labelled"""
 
 
@@ -120,7 +120,7 @@ def vector_table_appended(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(f"WITH {LABELLED_NOTES} {_CASES}")
 def vector_table_deduplicated(spark: SparkSession, folder: str) -> DataFrame:
-    cases = _labelled_cases(spark, folder).withColumn(ID, F.col(ID).cast("string"))
+    cases = _labelled_cases(spark, folder)
     twice = cases.withColumn("loaded", F.lit(1)).unionByName(cases.withColumn("loaded", F.lit(2)))
     return _case_rows(newest_per_id(twice, "loaded"))
 

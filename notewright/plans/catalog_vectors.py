@@ -15,6 +15,8 @@ from notewright.plans.fixtures import QUESTIONS, cases_and_questions
 from notewright.plans.oracle import LABELLED_NOTES, neighbours as neighbours_sql
 from notewright.plans.registry import register, rounded
 from notewright.schema import EMBEDDING, ID, LABEL, TEXT
+from notewright.session import scratch_path
+from notewright.sources import vector_store
 
 _HITS = f"{QUESTIONS}, {neighbours_sql('asked', 'store', fv.TOP_K)}"
 _HIT_ROWS = "CAST(rank AS INTEGER) AS rank"
@@ -57,6 +59,49 @@ def cosine_scores(spark: SparkSession, folder: str) -> DataFrame:
     ))
 
 
+@register("""SELECT doc_id AS patient_identifier, CAST(length(coalesce(text, '')) AS DOUBLE) AS n_chars,
+  CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', '')) AS DOUBLE) AS n_e,
+  (SELECT count(DISTINCT coalesce(text, '')) FROM documents) AS n_kept FROM documents""")
+def texts_embedded_once(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the documents embedded first, then all: what the first run kept is not embedded again."""
+    docs = documents(spark, folder).select(F.col("doc_id").alias(ID), TEXT)
+    path = scratch_path(spark, "kept-vectors")
+    embed.embed_once(docs.filter(F.col(ID) % 2 == 0), _length_embedder, path, "lengths", dim=3)
+    out = embed.embed_once(docs, _length_embedder, path, "lengths", dim=3, waves=2)
+    vector, n_kept = F.col(EMBEDDING), spark.read.parquet(f"{path}/model=lengths").count()
+    return rounded(out.select(ID, vector[0].alias("n_chars"), vector[2].alias("n_e"), F.lit(n_kept).cast("long").alias("n_kept")))
+
+
+_LENGTHS = """[length({0}), length({0}) - length(replace({0}, chr(10), '')), length({0}) - length(replace({0}, 'e', ''))]::DOUBLE[]"""
+_REVISED = "CASE WHEN patient_identifier % 7 = 0 THEN text || chr(10) || 'revised eeee' ELSE text END"
+
+
+@register(f"""WITH {LABELLED_NOTES}, revised AS (SELECT patient_identifier, {_REVISED} AS text, combined_label FROM labelled
+    UNION ALL SELECT patient_identifier + 1000000000, 'new case ' || text, combined_label FROM labelled WHERE patient_identifier % 5 = 0),
+  store AS (SELECT patient_identifier, combined_label, {_LENGTHS.format('text')} AS embedding FROM revised),
+  asked AS (SELECT item_id AS patient_identifier, {_LENGTHS.format("coalesce(text, '')")} AS embedding FROM benchmark), {neighbours_sql('asked', 'store', fv.TOP_K)}
+  SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbour_id, s.combined_label, round(cosine, 6) AS cosine
+  FROM hits JOIN store s ON s.patient_identifier = neighbour_id""")
+def stored_vector_search(spark: SparkSession, folder: str) -> DataFrame:
+    """A store of cases is built, some cases are replaced and some added, and embedded questions search what is stored."""
+    path = scratch_path(spark, "case-store")
+    first = embed.embed_text(_labelled_texts(spark, folder), _length_embedder, dim=3)
+    vector_store.build_case_store(vector_store.case_columns(first), path)
+    texts = _labelled_texts(spark, folder)
+    revised = texts.filter(F.col(ID) % 7 == 0).withColumn(TEXT, F.concat(TEXT, F.lit("\nrevised eeee")))
+    added = texts.filter(F.col(ID) % 5 == 0).withColumns({ID: F.col(ID) + 1_000_000_000, TEXT: F.concat(F.lit("new case "), TEXT)})
+    changed = embed.embed_text(revised.unionByName(added), _length_embedder, dim=3)
+    vector_store.merge_cases(vector_store.case_columns(changed), path)
+    questions = table(spark, folder, "benchmark").select(F.col("item_id").alias(ID), TEXT)
+    hits = neighbours.top_k_cosine(embed.embed_text(questions, _length_embedder, dim=3), vector_store.load_case_store(spark, path))
+    cases = vector_store.load_case_store(spark, path).select(F.col(ID).alias("neighbour_id"), LABEL)
+    return rounded(hits.join(cases, "neighbour_id").select("query_id", "rank", "neighbour_id", LABEL, "cosine"))
+
+
+def _labelled_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return select.with_label(select.labelled(notes(spark, folder)))
+
+
 @register(f"""WITH {_HITS} SELECT query_id, {_HIT_ROWS}, CAST(neighbour_id AS VARCHAR) AS patient_id, md5(s.text) AS text_md5,
   s.has_cancer, s.has_diabetes, s.combined_label, round((1 + cosine) / 2, 6) AS similarity_score
   FROM hits JOIN store s ON s.patient_identifier = neighbour_id""")

@@ -33,11 +33,12 @@ def build_vector_table(
     """Store labelled cases as a table bucketed and sorted by id, and return it.
 
     The table is replaced, or appended to with ``drop_existing=False``, which
-    may repeat ids.
+    may repeat ids (``vector_store.py`` replaces by id). Ids keep their type, so
+    that equal scores rank by number.
     """
     spark = df.sparkSession
     cases = df.select(
-        F.col(ID).cast("string").alias(ID),
+        ID,
         TEXT,
         F.col(scheme.flag_a).cast("double").alias(scheme.flag_a),
         F.col(scheme.flag_b).cast("double").alias(scheme.flag_b),

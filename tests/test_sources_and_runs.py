@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 
 from notewright import fixed_values as fv
 from notewright.functions.rules import cancer_keyword, diabetes_keyword
-from notewright.operators import score, select
+from notewright.operators import embed, score, select
 from notewright.operators.profile import data_quality
 from notewright.plans import runs
 from notewright.plans.driver_tables import notes
 from notewright.session import cut_lineage, scratch_path, shared_folder
-from notewright.sources import results
+from notewright.sources import results, vector_store
 from notewright.sources.notes import load_notes, read_notes, write_notes, write_notes_csv
 from notewright.sources.vectors import build_vector_table, load_vector_table, read_embeddings
 from notewright.streaming.notes_stream import drain, read_note_stream, with_keyword_flags
@@ -71,6 +71,76 @@ def test_vector_table_is_bucketed_by_id(spark, folder, tmp_path):
     assert stored.count() == cases.count()
 
 
+def _cases(spark, rows):
+    return spark.createDataFrame(rows, "patient_identifier long, text string, embedding array<float>")
+
+
+def _stored(df):
+    return sorted((r["patient_identifier"], r["text"], r["embedding"]) for r in df.collect())
+
+
+def test_merges_replace_by_id_and_rewrite_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = [(i, f"t{i}", [float(i), 1.0]) for i in range(300)]
+    built = vector_store.build_case_store(_cases(spark, rows), path, buckets=32)
+    assert _stored(built) == rows and built.schema["patient_identifier"].dataType.simpleString() == "bigint"
+    change = [(7, "new", None), (7, "later", [0.0, 0.0]), (10**12, "added", [2.0, 2.0])]
+    touched = vector_store.merge_cases(_cases(spark, change), path)
+    assert 1 <= len(touched) <= 2
+    expected = [r for r in rows if r[0] != 7] + [(7, "new", None), (10**12, "added", [2.0, 2.0])]
+    assert _stored(vector_store.load_case_store(spark, path)) == sorted(expected)
+    assert _stored(vector_store.load_case_store(spark, path, version=0)) == rows
+    lists = {}
+    for r in vector_store.versions(spark, path).collect():
+        lists.setdefault(r["_bucket"], {})[r["_version"]] = r["_folder"]
+    assert {b for b, per in lists.items() if per[0] != per[1]} == set(touched)
+
+
+def test_a_store_may_start_empty_and_missing_stores_are_errors(spark, tmp_path):
+    path = str(tmp_path / "store")
+    assert vector_store.build_case_store(_cases(spark, []), path).collect() == []
+    assert vector_store.merge_cases(_cases(spark, [(None, "x", [1.0])]), path) == []
+    vector_store.merge_cases(_cases(spark, [(1, None, [1.0])]), path)
+    assert _stored(vector_store.load_case_store(spark, path)) == [(1, None, [1.0])]
+    with pytest.raises(FileNotFoundError):
+        vector_store.load_case_store(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        vector_store.load_case_store(spark, path, version=9)
+
+
+def test_a_merge_that_fails_shows_nothing(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = [(i, f"t{i}", [1.0]) for i in range(20)]
+    vector_store.build_case_store(_cases(spark, rows), path, buckets=4)
+    broken = _cases(spark, rows).withColumn("text", F.when(F.col("patient_identifier") == 3, F.raise_error(F.lit("stop"))).otherwise("x"))
+    with pytest.raises(Exception, match="stop"):
+        vector_store.merge_cases(broken, path)
+    assert _stored(vector_store.load_case_store(spark, path)) == rows
+
+
+def test_texts_are_embedded_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def make():
+        def embedder(texts):
+            calls.add(len(texts))
+            return [[len(t), t.count("e")] for t in texts]
+        return embedder
+
+    rows = [(1, "one"), (2, "one"), (3, None), (4, ""), (5, "three"), (None, "five")]
+    df = spark.createDataFrame(rows, "patient_identifier long, text string")
+    path = str(tmp_path / "vectors")
+    first = embed.embed_once(df.limit(4), make, path, "m 1/a", dim=2)
+    assert calls.value == 2 and first.count() == 4
+    out = embed.embed_once(df, make, path, "m 1/a", dim=2, waves=3)
+    assert calls.value == 4
+    assert {(r[0], tuple(r["embedding"])) for r in out.collect()} == {
+        (1, (3, 1)), (2, (3, 1)), (3, (0, 0)), (4, (0, 0)), (5, (5, 2)), (None, (4, 1))}
+    assert embed.embed_once(df, make, path, "m 1/a", dim=2).count() == 6 and calls.value == 4
+    embed.embed_once(df, make, path, "other", dim=2)
+    assert calls.value == 8
+
+
 def predictions(spark, rows):
     schema = ("patient_id long, text string, true_label string, true_has_cancer double, true_has_diabetes double,"
               "initial_classification string, final_classification string, pred_has_cancer double, pred_has_diabetes double,"
