@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from notewright import fixed_values as fv
 from notewright.functions.labels import label_at
+from notewright.operators import newton
+from notewright.operators.newton import LinearModel
 from notewright.schema import EMBEDDING, LABEL, SCHEME, LabelScheme
 from notewright.session import cut_lineage
 
@@ -33,7 +35,7 @@ def class_weights(df: DataFrame, label_col: str = LABEL) -> DataFrame:
 class FittedClassifier:
     """A fitted model with the values its classes stand for, in class order."""
 
-    model: Model
+    model: Model | LinearModel
     classes: tuple
 
     def probabilities(self, order: Sequence) -> Column:
@@ -46,6 +48,11 @@ class FittedClassifier:
     def transform(self, df: DataFrame, order: Sequence, name: str, vector: str = EMBEDDING) -> DataFrame:
         """Add the probability array as column ``name``."""
         kept = df.columns
+        if isinstance(self.model, LinearModel):
+            scored = df.withColumn("probability", self.model.probability(F.col(vector).cast("array<double>")))
+            own = F.col("probability")
+            listed = F.array(*[own[self.classes.index(v)] if v in self.classes else F.lit(0.0) for v in order])
+            return scored.select(*[F.col(c) for c in kept if c != name], listed.alias(name))
         scored = self.model.transform(_with_features(df, vector))
         return scored.select(*[F.col(c) for c in kept if c != name], self.probabilities(order).alias(name))
 
@@ -94,11 +101,16 @@ def fit_logistic(
 ) -> FittedClassifier:
     """L2-regularised logistic regression with loss weight ``c`` against half the squared norm.
 
-    Weights sum to the row count, balanced or not, which sets the scale between
-    Spark's mean loss and the penalty. ``written`` says that the rows come from a
-    written table.
+    Fitted by Newton steps (``newton.py``) as long as the Hessian is within its bound, else by
+    Spark ML's solver, which reaches the same optimum less exactly. Weights sum to the row count,
+    balanced or not, which sets the scale between the solver's mean loss and the penalty.
+    ``written`` says that the rows come from a written table.
     """
     rows, classes, total = _training_rows(df, target, order, vector, balanced, written)
+    entries = rows.select(F.size(vector_to_array("features"))).first()[0]
+    if newton.cells(len(classes), entries) <= newton.CELLS:
+        table = rows.select(vector_to_array("features").alias("features"), F.col("label").cast("int").alias("label"), "weight")
+        return FittedClassifier(newton.fit(table, len(classes), entries, 1.0 / c, max_iter), classes)
     estimator = LogisticRegression(
         family="binomial" if len(classes) == 2 else "multinomial",
         featuresCol="features", labelCol="label", weightCol="weight",

@@ -21,7 +21,7 @@ from notewright.plans.oracle import LABELLED_NOTES, order_key, pick, quoted, sof
 from notewright.plans.oracle import neighbours as neighbours_sql
 from notewright.plans.registry import register, rounded
 from notewright.schema import EMBEDDING, ID, LABEL, SOURCE, TEXT
-from notewright.session import scratch_path
+from notewright.session import cut_lineage, scratch_path
 from notewright.sources import results
 
 # --- pseudo-labels -----------------------------------------------------------------
@@ -321,6 +321,80 @@ def label_model_scores_unbalanced(spark: SparkSession, folder: str) -> DataFrame
     return _label_scores(train.score_labels(everything, train.fit_label_model(labelled, balanced=False), "lr"), "lr")
 
 
+_NEWTON_STEPS = 12
+
+
+def _two_entry_newton() -> str:
+    """Newton steps from zero for two entries and an intercept, each a system of three by Cramer's rule."""
+    names = ("u", "v", "o")
+    parts = [f"""{LABELLED_NOTES}, seen AS (SELECT *, embedding[1] AS u, embedding[2] AS v, 1.0::DOUBLE AS o FROM labelled WHERE embedding IS NOT NULL),
+  weighed AS (SELECT *, count(*) OVER () / (2.0::DOUBLE * count(*) OVER (PARTITION BY has_cancer)) AS w FROM seen),
+  b0 AS (SELECT 0.0::DOUBLE AS bu, 0.0::DOUBLE AS bv, 0.0::DOUBLE AS bo)"""]
+    for k in range(_NEWTON_STEPS):
+        free = {"u": 1.0, "v": 1.0, "o": 0.0}
+        gradient = ", ".join(f"sum(w * (p - has_cancer) * {x}) + {free[x]} * any_value(b{x}) AS g{x}" for x in names)
+        bend = ", ".join(f"sum(w * p * (1 - p) * {x} * {y}) + {free[x] if x == y else 0.0} AS h{x}{y}"
+                         for i, x in enumerate(names) for y in names[i:])
+
+        def det(c: dict[str, tuple[str, str, str]]) -> str:
+            (a1, a2, a3), (b1, b2, b3), (c1, c2, c3) = c["u"], c["v"], c["o"]
+            return f"({a1} * ({b2} * {c3} - {c2} * {b3}) - {b1} * ({a2} * {c3} - {c2} * {a3}) + {c1} * ({a2} * {b3} - {b2} * {a3}))"
+
+        columns = {"u": ("huu", "huv", "huo"), "v": ("huv", "hvv", "hvo"), "o": ("huo", "hvo", "hoo")}
+        moves = ", ".join(f"b{x} - {det(columns | {x: ('gu', 'gv', 'go')})} / {det(columns)} AS b{x}" for x in names)
+        parts.append(f"""b{k + 1} AS MATERIALIZED (SELECT {moves} FROM (SELECT {gradient}, {bend}, any_value(bu) AS bu, any_value(bv) AS bv, any_value(bo) AS bo
+    FROM (SELECT weighed.*, bu, bv, bo, 1 / (1 + exp(-(bu * u + bv * v + bo))) AS p FROM weighed, b{k})))""")
+    return ", ".join(parts)
+
+
+@register(f"""WITH {_two_entry_newton()} SELECT patient_identifier,
+  round(1 / (1 + exp(-(bu * embedding[1] + bv * embedding[2] + bo))), 6) AS p_a FROM notes, b{_NEWTON_STEPS} WHERE embedding IS NOT NULL""")
+def flag_model_of_two_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """The balanced flag model on the first two entries of the vectors, next to Newton steps in SQL."""
+    labelled, everything = (df.withColumn(EMBEDDING, F.slice(EMBEDDING, 1, 2)) for df in _vectors(spark, folder))
+    model = train.fit_logistic(labelled, "has_cancer", (0.0, 1.0))
+    scored = model.transform(everything, (0.0, 1.0), "p")
+    return rounded(scored.select(ID, F.col("p")[1].alias("p_a")))
+
+
+def _optimality(spark: SparkSession, folder: str, balanced: bool) -> DataFrame:
+    """The gradient of the penalised loss per class and entry (the intercept last), from the scores of the labelled rows."""
+    labelled, _ = _vectors(spark, folder)
+    labelled = cut_lineage(labelled.select(ID, LABEL, EMBEDDING))
+    fitted = train.fit_label_model(labelled, balanced=balanced, written=True)
+    coefficients = fitted.model.coefficientMatrix.toArray()
+    scored = train.score_labels(labelled, fitted, "lr")
+    counts = {r[LABEL]: r["n"] for r in labelled.groupBy(LABEL).agg(F.count("*").alias("n")).collect()}
+    rows, classes = sum(counts.values()), len(counts)
+    weight = F.lit(1.0)
+    for label, n in counts.items() if balanced else ():
+        weight = F.when(F.col(LABEL) == label, rows / (classes * n)).otherwise(weight)
+    entries = F.concat(F.transform(EMBEDDING, lambda x: x.cast("double")), F.array(F.lit(1.0)))
+    errors = [F.struct(F.lit(label).alias("label"), (F.col("lr_probs")[fv.LABELS.index(label)] - (F.col(LABEL) == label).cast("double")).alias("e"))
+              for label in fitted.classes]
+    each = scored.select(weight.alias("w"), entries.alias("x"), F.explode(F.array(*errors)).alias("c"))
+    sums = each.select("w", "c", F.posexplode("x").alias("entry", "x")).groupBy(F.col("c.label").alias("label"), "entry").agg(
+        F.sum(F.col("w") * F.col("c.e") * F.col("x")).alias("s"))
+    own = F.coalesce(*[F.when(F.col("label") == label, F.array(*[F.lit(float(v)) for v in [*coefficients[i], 0.0]]))
+                       for i, label in enumerate(fitted.classes)])
+    return rounded(sums.select("label", "entry", (F.col("s") + F.get(own, F.col("entry")) / fv.LOGISTIC["C"]).alias("gradient")), 4)
+
+
+_ZERO_GRADIENT = f"""WITH {LABELLED_NOTES}, seen AS (SELECT combined_label, len(embedding) AS d FROM labelled WHERE embedding IS NOT NULL)
+  SELECT label, CAST(entry AS INTEGER) AS entry, 0.0::DOUBLE AS gradient FROM (SELECT DISTINCT combined_label AS label FROM seen),
+  (SELECT unnest(range(max(d) + 1)) AS entry FROM seen)"""
+
+
+@register(_ZERO_GRADIENT)
+def label_model_gradient_balanced(spark: SparkSession, folder: str) -> DataFrame:
+    return _optimality(spark, folder, True)
+
+
+@register(_ZERO_GRADIENT)
+def label_model_gradient_unbalanced(spark: SparkSession, folder: str) -> DataFrame:
+    return _optimality(spark, folder, False)
+
+
 @register()
 def forest_scores(spark: SparkSession, folder: str) -> DataFrame:
     labelled, everything = _vectors(spark, folder)

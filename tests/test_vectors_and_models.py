@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from notewright import fixed_values as fv
 from notewright.functions.rules import DIABETES_RULES
 from notewright.operators import embed, expand, fuse, neighbours, pivots, route, score, space, spread, tfidf, train, weak
+from notewright.operators import newton as newton_module
 from notewright.operators.select import with_label
 
 N, C, D, B = fv.LABELS
@@ -409,3 +410,42 @@ def test_labels_spread_to_copies(spark):
         "combined_label", F.when(F.col("patient_identifier") == 0, C).when(F.col("patient_identifier") == 3, D))
     got = {r.patient_identifier: r.spread_label for r in spread.spread_labels(df, k=2, rounds=6).collect()}
     assert got == {0: C, 1: C, 2: C, 3: D, 4: D, 5: D}
+
+
+@pytest.mark.parametrize("classes", [2, 4])
+def test_newton_sums_are_derivatives(classes):
+    rng = np.random.default_rng(11)
+    rows, label, share = rng.normal(size=(30, 3)), rng.integers(0, classes, 30), rng.random(30) + 0.5
+    weights = rng.normal(size=(1 if classes == 2 else classes, 3))
+
+    def at(w):
+        return newton_module._penalised(newton_module._sums(rows, label, share, w), w, 0.7)
+
+    _, gradient, hessian = at(weights)
+    for i in range(weights.size):
+        step = np.zeros(weights.size)
+        step[i] = 1e-6
+        up, down = at(weights + step.reshape(weights.shape)), at(weights - step.reshape(weights.shape))
+        assert (up[0] - down[0]) / 2e-6 == pytest.approx(gradient[i], abs=1e-5)
+        assert np.allclose((up[1] - down[1]) / 2e-6, hessian[i], atol=1e-5)
+
+
+def test_newton_reaches_the_solver_beyond_its_bound(spark, monkeypatch):
+    df, _, _ = training_table(spark, 200)
+    near = train.fit_label_model(df)
+    monkeypatch.setattr(newton_module, "CELLS", 10)
+    far = train.fit_label_model(df)
+    assert isinstance(near.model, newton_module.LinearModel) and not isinstance(far.model, newton_module.LinearModel)
+    a, b = (np.array([r.lr_probs for r in train.score_labels(df, m, "lr").orderBy("patient_identifier").collect()]) for m in (near, far))
+    assert np.allclose(a, b, atol=1e-3)
+
+
+def test_separable_rows_settle_and_steps_are_bounded(spark):
+    df = spark.createDataFrame([(i, [float(i - 10)], float(i >= 10)) for i in range(20)], "id int, embedding array<float>, y double")
+    fitted = train.fit_logistic(df, "y", (0.0, 1.0))
+    assert fitted.model.steps < 30
+    with pytest.raises(ValueError):
+        train.fit_logistic(df, "y", (0.0, 1.0), max_iter=2)
+    scored = fitted.transform(df.withColumn("embedding", F.when(F.col("id") != 3, F.col("embedding"))), (1.0, 0.0), "p")
+    rows = {r["id"]: r["p"] for r in scored.collect()}
+    assert rows[3] == [None, None] and rows[19][0] > 0.9 and rows[0][1] > 0.9
