@@ -66,6 +66,40 @@ def score_batches(
     return df.mapInArrow(run, schema)
 
 
+def ask_all(
+    df: DataFrame,
+    make_model: Callable[[], Responder],
+    prompt: str = "prompt",
+    response: str = "response",
+    batch: int = fv.EMBEDDING_BATCH,
+    attempts: int = 1,
+    in_flight: int | None = None,
+) -> DataFrame:
+    """``score_batches`` in up to ``attempts`` passes, with the number of each row's last pass as ``attempt``.
+
+    The answers of a pass are written before the next one begins, which asks again only for the
+    rows that failed; no answer is asked for twice. Each task makes one call after another, and no
+    more than ``in_flight`` tasks ask, so no more calls than that are under way at a time. A row
+    that fails in every pass keeps its last error.
+    """
+    if attempts < 1:
+        raise ValueError("a row needs at least one attempt")
+    pending, done = df, None
+    for attempt in range(1, attempts + 1):
+        if in_flight is not None:
+            # A shuffle, so that reading the rows and building prompts keeps its own parallelism.
+            pending = pending.repartition(in_flight)
+        asked = cut_lineage(score_batches(pending, make_model, prompt, response, batch).withColumn("attempt", F.lit(attempt)))
+        failed = asked.filter(F.col("error").isNotNull())
+        again = attempt < attempts and not failed.isEmpty()
+        settled = asked.filter(F.col("error").isNull()) if again else asked
+        done = settled if done is None else done.unionByName(settled)
+        if not again:
+            return done
+        pending = failed.drop(response, "error", "attempt")
+    return done
+
+
 @dataclass(frozen=True)
 class Prompts:
     """Templates of the first and the final question, with ``{field}`` places."""
@@ -84,12 +118,18 @@ def retrieve_classify_decide(
     scheme: LabelScheme = SCHEME,
     vector: str = EMBEDDING,
     null_as_wrong: bool = False,
+    attempts: int = 1,
+    in_flight: int | None = None,
+    prompt_chars: int | None = fv.PROMPT_TEXT_CHARS,
 ) -> tuple[DataFrame, DataFrame]:
     """Retrieve similar cases, ask for a first answer, then for a final one, for all queries at once.
 
     Returns the prediction table and the failed rows with the step and error
     that stopped them; each query is in exactly one of the two. Answers are
-    written down before they are parsed, so no retry asks a model twice.
+    written down before they are parsed, so no retry asks a model twice. Failed
+    calls are made again in up to ``attempts`` passes, ``in_flight`` at a time
+    (``ask_all``). The final prompt holds the first ``prompt_chars`` characters
+    of a note, or all of it.
     """
     cases = gather_cases(similarity_search(queries, store, k, scheme, vector=vector), scheme)
     notes = queries.select(F.col(ID).alias("query_id"), TEXT, scheme.flag_a, scheme.flag_b)
@@ -98,7 +138,7 @@ def retrieve_classify_decide(
         retrieval_context(F.coalesce("cases", F.array().cast(cases.schema["cases"].dataType))).alias("context"),
         render_prompt(prompts.first, {"patient_text": F.col(TEXT)}).alias("prompt"),
     )
-    first = cut_lineage(score_batches(asked, make_first).drop("prompt"))
+    first = ask_all(asked, make_first, attempts=attempts, in_flight=in_flight).drop("prompt", "attempt")
     answered = first.select(
         "query_id", TEXT, "true_a", "true_b", "context", "error",
         *[c.alias(f"first_{i}") for i, c in enumerate(parse_first_answer(F.col("response")))],
@@ -114,9 +154,9 @@ def retrieve_classify_decide(
         "initial_has_diabetes": F.col("initial_has_diabetes"),
         "initial_confidence": F.col("initial_confidence"),
         "initial_reasoning": F.coalesce("initial_reasoning", F.lit(fv.MISSING_REASONING)),
-        "patient_text": prompt_text(F.col(TEXT)),
+        "patient_text": F.col(TEXT) if prompt_chars is None else prompt_text(F.col(TEXT), prompt_chars),
     })
-    second = cut_lineage(score_batches(good.withColumn("prompt", final_prompt), make_final).drop("prompt"))
+    second = ask_all(good.withColumn("prompt", final_prompt), make_final, attempts=attempts, in_flight=in_flight).drop("prompt", "attempt")
     decided = second.select("*", *parse_final_answer(F.col("response")))
     done = F.col("error").isNull() & ~F.col("parse_error")
 

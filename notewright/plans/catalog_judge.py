@@ -267,18 +267,18 @@ def confidence_by_class(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _STRONG = f"""SELECT patient_id, baseline_prediction, llm_prediction FROM aligned
-  WHERE NOT {_SAME} AND baseline_confidence > 0.75 AND llm_confidence > 0.75"""
+  WHERE NOT {_SAME} AND baseline_confidence > 0.68 AND llm_confidence > 0.68"""
 
 
 @register(f"WITH {ALIGNED} {_STRONG}")
 def high_confidence_disagreements(spark: SparkSession, folder: str) -> DataFrame:
-    df = compare.high_confidence_disagreements(aligned_predictions(spark, folder), 0.75)
+    df = compare.high_confidence_disagreements(aligned_predictions(spark, folder), 0.68)
     return df.select("patient_id", "baseline_prediction", "llm_prediction")
 
 
 @register(f"WITH {ALIGNED} {_STRONG} ORDER BY patient_id LIMIT 10")
 def first_high_confidence_disagreements(spark: SparkSession, folder: str) -> DataFrame:
-    df = compare.high_confidence_disagreements(aligned_predictions(spark, folder), 0.75)
+    df = compare.high_confidence_disagreements(aligned_predictions(spark, folder), 0.68)
     return compare.first_cases(df.select("patient_id", "baseline_prediction", "llm_prediction"))
 
 
@@ -287,7 +287,7 @@ def first_high_confidence_disagreements(spark: SparkSession, folder: str) -> Dat
   UNION ALL SELECT 'high_confidence_disagreements', count(*), count(DISTINCT patient_id) FROM strong HAVING count(*) > 0""")
 def comparison_sinks(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "comparison")
-    names = results.save_comparison(aligned_predictions(spark, folder), path, 0.75)
+    names = results.save_comparison(aligned_predictions(spark, folder), path, 0.68)
     out = None
     for name in names:
         part = spark.read.parquet(f"{path}/{name}").agg(

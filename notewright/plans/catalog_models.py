@@ -13,6 +13,7 @@ from notewright.functions.labels import label_at
 from notewright.functions.rules import CANCER_RULES, DIABETES_RULES, rule_votes
 from notewright.operators import expand, fuse, neighbours, profile, route, select, tfidf, train, weak
 from notewright.plans import runs
+from notewright.plans.catalog_split import stratified
 from notewright.plans.driver_tables import clinical, documents, notes
 from notewright.plans.fixtures import QUESTIONS, SCORED, cases_and_questions, flag_label, scored_notes
 from notewright.plans.oracle import clinical as clinical_sql
@@ -492,6 +493,28 @@ def failed_answers(spark: SparkSession, folder: str) -> DataFrame:
     return runs.retrieval_run(spark, folder)[1]
 
 
+_VALIDATED = runs.retrieval_sql(f"""{LABELLED_NOTES}, {stratified('labelled', 'val', fv.VALIDATION_FRACTION, 'validation', 'train')},
+  store AS (SELECT * FROM val WHERE part_val = 'train' AND embedding IS NOT NULL),
+  asked AS (SELECT * FROM val WHERE part_val = 'validation' AND embedding IS NOT NULL)""")
+
+
+@register(_VALIDATED + " SELECT * FROM decided")
+def validated_answers(spark: SparkSession, folder: str) -> DataFrame:
+    predictions, _ = runs.validation_run(spark, folder)
+    return rounded(predictions.withColumn("text_md5", F.md5(TEXT)).drop(TEXT))
+
+
+@register(_VALIDATED + """ SELECT count(*) AS n, count(*) FILTER (correct = 1) AS n_correct, round(avg(correct), 6) AS accuracy,
+  round(avg(correct_cancer), 6) AS accuracy_a, round(avg(correct_diabetes), 6) AS accuracy_b, (SELECT count(*) FROM failed) AS n_failed FROM decided""")
+def validation_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    predictions, failed = runs.validation_run(spark, folder)
+    sums = predictions.agg(
+        F.count("*").alias("n"), F.count_if("correct").alias("n_correct"),
+        *[F.avg(F.col(c).cast("int")).alias(n) for c, n in (("correct", "accuracy"), ("correct_cancer", "accuracy_a"), ("correct_diabetes", "accuracy_b"))],
+    )
+    return rounded(sums.withColumn("n_failed", F.lit(failed.count()).cast("long")))
+
+
 @register(_DECIDED + """ SELECT 'test' AS dataset, patient_id, final_classification FROM decided WHERE patient_id IN (SELECT patient_identifier FROM notes WHERE test_set = 1)
   UNION ALL SELECT 'validation', patient_id, final_classification FROM decided WHERE patient_id NOT IN (SELECT patient_identifier FROM notes WHERE test_set = 1)""")
 def retrieval_prediction_tables(spark: SparkSession, folder: str) -> DataFrame:

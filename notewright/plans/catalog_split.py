@@ -24,7 +24,7 @@ def _by_fraction(source: str) -> str:
       count(*) OVER (PARTITION BY combined_label) AS n FROM {source}))"""
 
 
-def _stratified(source: str, name: str, fraction: float, held: str, kept: str) -> str:
+def stratified(source: str, name: str, fraction: float, held: str, kept: str) -> str:
     return f"""{name} AS (SELECT s.* EXCLUDE (r), CASE WHEN r <= quota THEN '{held}' ELSE '{kept}' END AS part_{name}
     FROM (SELECT *, row_number() OVER (PARTITION BY combined_label ORDER BY {order_key('patient_identifier')}, patient_identifier) AS r FROM {source}) s
     JOIN (SELECT combined_label, base + CASE WHEN row_number() OVER (ORDER BY remainder DESC, combined_label) <= wanted - sum(base) OVER () THEN 1 ELSE 0 END AS quota
@@ -35,7 +35,7 @@ def _stratified(source: str, name: str, fraction: float, held: str, kept: str) -
     USING (combined_label))"""
 
 
-_FOUR = f"""{LABELLED_NOTES}, {_stratified('labelled', 'val', fv.VALIDATION_FRACTION, 'validation', 'train')},
+_FOUR = f"""{LABELLED_NOTES}, {stratified('labelled', 'val', fv.VALIDATION_FRACTION, 'validation', 'train')},
   four AS (SELECT n.patient_identifier, CASE WHEN n.test_set = 1 THEN 'test' ELSE coalesce(part_val, 'unlabelled') END AS split
     FROM notes n LEFT JOIN val v ON v.patient_identifier = n.patient_identifier)"""
 
@@ -53,7 +53,7 @@ def split_by_fraction_per_label(spark: SparkSession, folder: str) -> DataFrame:
     return split.split_by_fraction_per_label(_labelled(spark, folder)).select(ID, LABEL, split.SPLIT)
 
 
-@register(f"""WITH {LABELLED_NOTES}, {_stratified('labelled', 'val', fv.VALIDATION_FRACTION, 'validation', 'train')}
+@register(f"""WITH {LABELLED_NOTES}, {stratified('labelled', 'val', fv.VALIDATION_FRACTION, 'validation', 'train')}
   SELECT patient_identifier, combined_label, part_val AS split FROM val""")
 def split_stratified_total(spark: SparkSession, folder: str) -> DataFrame:
     return split.split_stratified_total(_labelled(spark, folder)).select(ID, LABEL, split.SPLIT)
@@ -73,9 +73,9 @@ def class_distribution_by_split(spark: SparkSession, folder: str) -> DataFrame:
     return class_distribution(split.four_way_split(_all(spark, folder)), by=[split.SPLIT])
 
 
-@register(f"""WITH {LABELLED_NOTES}, {_stratified('labelled', 'tested', 0.2, 'test', 'rest')},
+@register(f"""WITH {LABELLED_NOTES}, {stratified('labelled', 'tested', 0.2, 'test', 'rest')},
   remaining AS (SELECT * EXCLUDE (part_tested) FROM tested WHERE part_tested = 'rest'),
-  {_stratified('remaining', 'val', 0.25, 'validation', 'train')}
+  {stratified('remaining', 'val', 0.25, 'validation', 'train')}
   SELECT patient_identifier, combined_label, 'test' AS split FROM tested WHERE part_tested = 'test'
   UNION ALL SELECT patient_identifier, combined_label, part_val FROM val""")
 def ratio_split(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,7 +12,7 @@ from notewright.operators import expand, metrics, route, score, select, split, t
 from notewright.plans.driver_tables import notes
 from notewright.plans.fixtures import QUESTIONS, cases_and_questions, word_flags
 from notewright.plans.oracle import label, neighbours
-from notewright.schema import EMBEDDING, LABEL, SCHEME, LabelScheme
+from notewright.schema import EMBEDDING, LABEL, SCHEME, TEXT, LabelScheme
 from notewright.session import cut_lineage
 
 
@@ -81,7 +81,7 @@ def first_responder():
         text = prompt.split("\n", 1)[1]
         a, b = "ertion" in text, "anea" in text
         name = "Both" if a and b else "Cancer Only" if a else "Diabetes Only" if b else "Neither"
-        flag_b = "yes" if "apache" in text else f"{float(b)}"
+        flag_b = "yes" if "License" in text else f"{float(b)}"
         sure = 0.9 if a != b else 0.5
         return (
             f"Classification: {name}\nHas Cancer: {float(a)}\nHas Diabetes: {flag_b}\n"
@@ -118,13 +118,21 @@ def retrieval_run(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     return score.retrieve_classify_decide(asked, store, PROMPTS, first_responder, final_responder)
 
 
-def retrieval_sql() -> str:
-    """CTEs ``decided`` and ``failed``: what the stand-in models make of the given tables."""
+def validation_run(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The retrieval run over the labelled notes held out, with the other labelled ones as the store: truths are known."""
+    df = select.with_label(select.labelled(notes(spark, folder, features={TEXT: F.col("text")}, vectors=True)))
+    parts = cut_lineage(split.split_stratified_total(df))
+    train_rows, held_out = (parts.filter(F.col(split.SPLIT) == part).filter(F.col(EMBEDDING).isNotNull()) for part in (split.TRAIN, split.VALIDATION))
+    return score.retrieve_classify_decide(held_out, train_rows, PROMPTS, first_responder, final_responder)
+
+
+def retrieval_sql(questions: str = QUESTIONS) -> str:
+    """CTEs ``decided`` and ``failed``: what the stand-in models make of ``store`` and ``asked``."""
     counts = ", ".join(f"count(*) FILTER (s.combined_label = '{x}') AS n{i}" for i, x in enumerate(fv.LABELS))
     arms = " ".join(f"WHEN n{i} = greatest(n0, n1, n2, n3) THEN '{x}'" for i, x in enumerate(fv.LABELS))
-    return f"""WITH {QUESTIONS}, {neighbours('asked', 'store', fv.TOP_K)},
+    return f"""WITH {questions}, {neighbours('asked', 'store', fv.TOP_K)},
   tally AS (SELECT query_id, count(*) AS n, {counts} FROM hits JOIN store s ON s.patient_identifier = neighbour_id GROUP BY query_id),
-  seen AS (SELECT a.*, contains(text, 'ertion') AS ka, contains(text, 'anea') AS kb, contains(text, 'apache') AS broken FROM asked a),
+  seen AS (SELECT a.*, contains(text, 'ertion') AS ka, contains(text, 'anea') AS kb, contains(text, 'License') AS broken FROM asked a),
   firsts AS (SELECT *, {label('CAST(ka AS INTEGER)', 'CAST(kb AS INTEGER)')} AS initial, CASE WHEN ka <> kb THEN 0.9 ELSE 0.5 END AS sure FROM seen),
   failed AS (SELECT patient_identifier AS patient_id FROM firsts WHERE broken),
   finals AS (SELECT f.*, CASE WHEN sure < 0.6 THEN (CASE {arms} END) ELSE initial END AS final,

@@ -267,3 +267,47 @@ def test_routing_run(spark, folder):
 def test_keywords_on_given_words(spark):
     df = spark.createDataFrame([("on glyburide",)], "text string")
     assert tuple(df.select(cancer_keyword(F.col("text")), diabetes_keyword(F.col("text"))).first()) == (False, True)
+
+
+def test_failed_calls_are_made_again_and_calls_in_flight_are_bounded(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def make():
+        import os
+        import time
+        import uuid
+
+        def answer(prompts):
+            call, begun = uuid.uuid4().hex, time.time()
+            time.sleep(0.05)
+            with open(f"{folder}/{call}", "w") as f:
+                f.write(f"{begun} {time.time()}")
+            for p in prompts:
+                if p.startswith("later"):
+                    seen = f"{folder}/seen-{p}"
+                    if not os.path.exists(seen):
+                        if len(prompts) == 1:
+                            open(seen, "w").close()
+                        raise RuntimeError("busy")
+                if p == "never":
+                    raise RuntimeError("no")
+            return [p.upper() for p in prompts]
+        return answer
+
+    prompts = [f"p{i}" for i in range(40)] + ["later1", "later2", "never"]
+    df = spark.createDataFrame(list(enumerate(prompts)), "id int, prompt string").repartition(12)
+    rows = {r["prompt"]: r for r in score.ask_all(df, make, batch=4, attempts=3, in_flight=2).collect()}
+    assert len(rows) == 43
+    assert all(rows[p]["response"] == p.upper() and rows[p]["attempt"] == 1 for p in prompts[:40])
+    assert {rows[p]["attempt"] for p in ("later1", "later2")} == {2} and rows["later1"]["response"] == "LATER1"
+    assert (rows["never"]["attempt"], rows["never"]["response"], rows["never"]["error"]) == (3, None, "RuntimeError: no")
+    spans = [tuple(map(float, (tmp_path / n).read_text().split())) for n in [x.name for x in tmp_path.iterdir()] if not n.startswith("seen")]
+    most = max(sum(a <= begun < b for a, b in spans) for begun, _ in spans)
+    assert 1 <= most <= 2
+    with pytest.raises(ValueError):
+        score.ask_all(df, make, attempts=0)
+
+
+def test_validation_answers_have_truths(spark, folder):
+    answered, _ = runs.validation_run(spark, folder)
+    assert answered.count() > 0 and answered.filter("correct IS NULL OR true_label IS NULL").count() == 0
