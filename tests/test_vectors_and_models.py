@@ -449,3 +449,30 @@ def test_separable_rows_settle_and_steps_are_bounded(spark):
     scored = fitted.transform(df.withColumn("embedding", F.when(F.col("id") != 3, F.col("embedding"))), (1.0, 0.0), "p")
     rows = {r["id"]: r["p"] for r in scored.collect()}
     assert rows[3] == [None, None] and rows[19][0] > 0.9 and rows[0][1] > 0.9
+
+
+def test_precisions_in_closed_form(spark):
+    df, truth = vote_table(spark, n=4000)
+    votes = np.array([r["votes"] for r in df.collect()])
+    signed = np.where(votes == 1, 1.0, np.where(votes == 0, -1.0, 0.0))
+
+    def agreement(i, j):
+        both = (votes[:, i] != -1) & (votes[:, j] != -1)
+        return (signed[both, i] * signed[both, j]).mean()
+
+    got = {r["rule"]: r for r in weak.moment_precisions(df, 4).collect()}
+    for i, right in enumerate((0.9, 0.8, 0.6, 0.85)):
+        rest = [j for j in range(4) if j != i]
+        edges = [min(0.98, abs(agreement(i, j) * agreement(i, k) / agreement(j, k)) ** 0.5) for j in rest for k in rest if j < k]
+        assert got[i]["n_triples"] == 3
+        assert got[i]["precision"] == pytest.approx((1 + np.median(edges)) / 2, abs=1e-6)
+        assert abs(got[i]["precision"] - right) < 0.08
+    started = weak.label_model(df, 4, from_moments=True).orderBy("id").collect()
+    probs = np.array([r.probability for r in started])[:-1]
+    assert ((probs > 0.5) == truth)[np.abs(probs - 0.5) > 0.1].mean() > 0.8
+
+
+def test_rules_that_never_meet_keep_the_first_precision(spark):
+    df = spark.createDataFrame([([1, -1, -1],), ([-1, 0, -1],), ([-1, -1, 1],)], "votes array<tinyint>")
+    assert {(r["n_triples"], r["precision"]) for r in weak.moment_precisions(df, 3).collect()} == {(0, 0.7)}
+    assert weak.agreement_moments(df.limit(0), 3).count() == 0
