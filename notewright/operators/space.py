@@ -7,7 +7,7 @@ from pyspark.ml.feature import PCA, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseMatrix
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notewright.functions.text import preview
@@ -83,3 +83,8 @@ def project_2d(
         *columns, (place[0] * turn[0]).alias("pc1"), (place[1] * turn[1]).alias("pc2")
     )
     return projected, [float(v) for v in model.explainedVariance]
+
+
+def variance_table(spark: SparkSession, shares: list[float]) -> DataFrame:
+    """Share of the variance per main axis, numbered from 1: what ``project_2d`` explains, as a table."""
+    return spark.createDataFrame(list(enumerate(shares, start=1)), "axis int, share double")

@@ -177,6 +177,39 @@ def projection_2d(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(projected)
 
 
+_TWO_AXES = f"""WITH {LABELLED_NOTES}, seen AS (SELECT patient_identifier, combined_label, embedding[1] AS x, embedding[2] AS y FROM labelled WHERE embedding IS NOT NULL),
+  moments AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, var_samp(y) AS c, covar_samp(x, y) AS b FROM seen),
+  eigen AS (SELECT *, (a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b) AS l1, (a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b) AS l2 FROM moments),
+  turned AS (SELECT *, atan2(l1 - a, b) AS t FROM eigen),
+  axes AS (SELECT *, CASE WHEN abs(cos(t)) >= abs(sin(t)) THEN sign(cos(t)) ELSE sign(sin(t)) END AS s1,
+    CASE WHEN abs(sin(t)) >= abs(cos(t)) THEN -sign(sin(t)) ELSE sign(cos(t)) END AS s2 FROM turned)"""
+
+
+def _two_entries(spark: SparkSession, folder: str) -> tuple[DataFrame, list[float]]:
+    return space.project_2d(_labelled_vectors(spark, folder).withColumn(EMBEDDING, F.slice(EMBEDDING, 1, 2)))
+
+
+@register(_TWO_AXES + """ SELECT patient_identifier, combined_label, round(((x - mx) * cos(t) + (y - my) * sin(t)) * s1, 5) AS pc1,
+  round((-(x - mx) * sin(t) + (y - my) * cos(t)) * s2, 5) AS pc2 FROM seen, axes""")
+def projection_of_two_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """The main axes of the first two entries, next to the eigenvectors of a matrix of two in closed form."""
+    return rounded(_two_entries(spark, folder)[0], 5)
+
+
+@register(_TWO_AXES + """ SELECT 1 AS axis, round(l1 / (l1 + l2), 6) AS share FROM eigen UNION ALL SELECT 2, round(l2 / (l1 + l2), 6) FROM eigen""")
+def projection_variance_of_two_entries(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(space.variance_table(spark, _two_entries(spark, folder)[1]))
+
+
+@register(f"""WITH {LABELLED_NOTES}, entries AS (SELECT unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM labelled WHERE embedding IS NOT NULL)
+  SELECT sum(s) > 0 AS varies, 2 AS n_axes FROM (SELECT var_samp(v) AS s FROM entries GROUP BY pos)""")
+def projection_variance_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the shares of the two main axes of whole vectors are ordered parts of one."""
+    shares = space.variance_table(spark, space.project_2d(_labelled_vectors(spark, folder))[1])
+    first, second = (F.max(F.when(F.col("axis") == i, F.col("share"))) for i in (1, 2))
+    return rounded(shares.agg(((first >= second) & (second > 0) & (first + second <= 1)).alias("varies"), F.count("*").cast("int").alias("n_axes")))
+
+
 _EDGES = f"""{LABELLED_NOTES}, nodes AS (SELECT n.*, l.combined_label FROM notes n LEFT JOIN labelled l
     ON l.patient_identifier = n.patient_identifier WHERE n.embedding IS NOT NULL),
   ranked AS (SELECT query_id, neighbour_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, neighbour_id) AS place

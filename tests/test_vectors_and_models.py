@@ -476,3 +476,40 @@ def test_rules_that_never_meet_keep_the_first_precision(spark):
     df = spark.createDataFrame([([1, -1, -1],), ([-1, 0, -1],), ([-1, -1, 1],)], "votes array<tinyint>")
     assert {(r["n_triples"], r["precision"]) for r in weak.moment_precisions(df, 3).collect()} == {(0, 0.7)}
     assert weak.agreement_moments(df.limit(0), 3).count() == 0
+
+
+def test_a_spread_round_moves_no_edges(spark):
+    edges = spark.createDataFrame([(i, (i * 7 + j) % 50) for i in range(50) for j in range(1, 4)], "query_id long, neighbour_id long")
+    start = spark.createDataFrame([(i, float(i % 5 == 0)) for i in range(50)], "id long, f0 double")
+    names = [spread._bucketed(df, key, 4) for df, key in ((edges, "neighbour_id"), (start, "id"))]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        table = spark.table(names[1])
+        plan = spread.spread_round(spark.table(names[0]), table, table, ["f0"])
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning") == 1 and "hashpartitioning(query_id" in text
+        two = spread.spread_round(spark.table(names[0]), table, plan, ["f0"])._jdf.queryExecution().executedPlan().toString()
+        assert two.count("Exchange hashpartitioning") == 2
+        means = {i: [] for i in range(50)}
+        for r in edges.collect():
+            means[r["query_id"]].append(float(r["neighbour_id"] % 5 == 0))
+        for r in plan.collect():
+            assert r["f0"] == pytest.approx(0.2 * np.mean(means[r["id"]]) + 0.8 * (r["id"] % 5 == 0))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        for name in names:
+            spark.sql(f"DROP TABLE {name}")
+
+
+def test_spreading_stops_when_nothing_changes(spark):
+    rng = np.random.default_rng(4)
+    df = vectors(spark, rng.normal(size=(40, 3))).withColumn("combined_label", F.when(F.col("patient_identifier") < 9, F.lit(N)))
+    few, many = (
+        {r["patient_identifier"]: r["probabilities"] for r in spread.spread_labels(df, rounds=30, tolerance=t).collect()} for t in (1e-9, None)
+    )
+    assert few.keys() == many.keys()
+    assert all((few[i] is None) == (many[i] is None) and (few[i] is None or np.allclose(few[i], many[i], atol=1e-6)) for i in few)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("spread_")]
