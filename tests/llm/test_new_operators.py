@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from notewright.llm import markov, resample, spectrum, whitening
+from notewright.llm import html_text, markov, resample, spectrum, whitening
 from tests.llm.test_corpus import DOCS, ODD
 
 SMALL = "/root/testdata/sf0.001"
@@ -283,3 +283,56 @@ def test_texts_are_sliced_between_them(monkeypatch, docs, spark):
     parts = list(resample._slices(table, 0))
     assert len(parts) > 5 and sum(p.num_rows for p in parts) == table.num_rows
     assert len(whole) == docs.count()
+
+
+# Main text of ordinary HTML
+
+
+@pytest.mark.parametrize("page,expected", [
+    ("<p>One</p><!-- old <script src=x> --><p>Two</p>", ["One", "Two"]),
+    ("<p>One</p><script>if (a < b) x = '<!--';</script><p>Two</p>", ["One", "Two"]),
+    ("<p>One <svg/> two</p><p>Three</p>", ["One two", "Three"]),
+    ("<p>One <svg viewBox='0 0'><text>no</text></svg> two</p>", ["One two"]),
+    ("<p>One <img src=a> two</p>", ["One two"]),
+    ("<p><label>One</label> <nobr>two</nobr> <x-mark>three</x-mark></p>", ["One two three"]),
+    ("<p>One <span class='ad'>buy</span> two</p>", ["One two"]),
+    ("<p>One</p><div class='ad'>buy</div><p>two</p>", ["One", "two"]),
+    ("<div>One<nav><li>Menu</li></nav>two</div>", ["One", "two"]),
+    ("<article>Post</article><article class='comment'>Reader</article><article class='ad'>Buy</article>", ["Post"]),
+    ("<div class='entry'><p>Post.</p></div><section id='comments'><article class='comment'>A much longer comment of a reader.</article></section>", ["Post."]),
+    ("<main><p>Post</p><script>x</script><p>end</p></main><p>other</p>", ["Post", "end"]),
+    ("<p>a<br>b</p>", ["a", "b"]),
+    ("", []), ("<!--", []), ("<script>x", []), ("a <b>c", ["a c"]),
+])
+def test_main_text_of_ordinary_html(page, expected):
+    found = html_text.blocks(page)
+    main = [t for _, t, inside in found if inside]
+    assert (main or [t for _, t, _ in found]) == expected
+
+
+def test_generated_pages_give_back_their_article():
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(40)]
+
+    def sentence():
+        return " ".join(rng.choice(words, rng.integers(1, 9)))
+
+    inline = ["{}", "<b>{}</b>", "<a href='/x?a=1&amp;b=2'>{}</a>", "<x-y>{}</x-y>", "<label>{}</label>", "{} <img src=i>", "<!-- <p>no</p> -->{}",
+              "<span class=\"ad\">no</span> {}", "{} <svg/>", "<script>no</script> {}"]
+    furniture = ["<nav><ul><li>no<li>no</ul></nav>", "<aside>no</aside>", "<div class='share'>no</div>", "<footer>no</footer>", "<style>no</style>",
+                 "<form><input value=no>no</form>", "<article class='comment'><p>no</p></article>", "<template><p>no</p></template>"]
+    for _ in range(300):
+        blocks, page = [], ["<html><head><title>no</title></head><body>"]
+        page.append(str(rng.choice(furniture)))
+        page.append("<article class='post'>")
+        for _ in range(rng.integers(1, 6)):
+            parts = [sentence() for _ in range(rng.integers(1, 4))]
+            blocks.append(" ".join(parts))
+            name, closed = rng.choice(["p", "div", "h2", "li", "blockquote"]), rng.random() < 0.7
+            body = " \n ".join(str(rng.choice(inline)).format(t) for t in parts)
+            page.append(f"<{name}>{body}" + (f"</{name}>" if closed or name not in ("p", "li") else ""))
+            if rng.random() < 0.3:
+                page.append(str(rng.choice(furniture[:6])))
+        page.append("</article>" + str(rng.choice(furniture)) + "</body></html>")
+        found = html_text.blocks("".join(page))
+        assert [t for _, t, inside in found if inside] == blocks, "".join(page)
