@@ -5,6 +5,9 @@ template is looked up by its rarest word; at each posting of that word its key p
 there whole, and the other words of the template must stand at their relative places. Where
 the key phrase names the licence, a word of licensing near it does as well.
 
+A key phrase that goes on to name another licence, or has a negated word of licensing before it,
+gives no label; base phrases always do.
+
 Null and empty texts have no words and no labels; rows are judged one by one.
 """
 
@@ -32,7 +35,20 @@ class Template:
     key: str
     base: bool = False
     named: bool = False
+    # Words that, standing right behind the key phrase, name another licence.
+    unless: tuple[str, ...] = ()
+
 
+# How the names of further licences go on.
+_FURTHER = ("noncommercial", "non", "noderivatives", "noderivs", "no", "sharealike", "share")
+# Identifiers of licences as they stand behind "SPDX-License-Identifier:", in words.
+SPDX = (
+    ("agpl", "agpl"), ("apache-2", "apache 2 0"), ("bsd", "bsd 2 clause"), ("bsd", "bsd 3 clause"), ("cc-by", "cc by 4 0"), ("cc-by-sa", "cc by sa"),
+    ("gpl", "gpl"), ("isc", "isc"), ("lgpl", "lgpl"), ("mit", "mit"), ("mpl-2", "mpl 2 0"), ("unlicense", "unlicense"),
+)
+# Words that turn a notice round if they stand just before its licensing word.
+NEGATIONS = ("not", "never", "cannot")
+_TURNED = ("be", "been", "under", "covered", "subject", "distributed")
 
 # The phrases that decide the base labels come first.
 TEMPLATES = (
@@ -47,12 +63,25 @@ TEMPLATES = (
     Template("bsd", "redistribution and use in source and binary forms with or without modification", "source and binary forms"),
     Template("mpl-2", "subject to the terms of the mozilla public license", "mozilla public license", named=True),
     Template("mpl-2", "this source code form is subject to the terms of the mozilla public license", "mozilla public license"),
-    Template("cc-by", "licensed under a creative commons attribution", "creative commons attribution", named=True),
+    Template("cc-by", "licensed under a creative commons attribution", "creative commons attribution", named=True, unless=_FURTHER),
+    Template("cc-by-nc", "creative commons attribution noncommercial", "creative commons attribution noncommercial", unless=_FURTHER),
+    Template("cc-by-sa", "creative commons attribution sharealike", "creative commons attribution sharealike"),
+    Template("cc-by-nd", "creative commons attribution noderivatives", "creative commons attribution noderivatives"),
+    Template("cc-by-nc-sa", "attribution noncommercial sharealike", "attribution noncommercial sharealike"),
+    Template("cc-by-nc-nd", "attribution noncommercial noderivatives", "attribution noncommercial noderivatives"),
+    Template("lgpl", "licensed under the gnu lesser general public license", "gnu lesser general public license", named=True),
+    Template("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license"),
+    Template("agpl", "licensed under the gnu affero general public license", "gnu affero general public license", named=True),
+    Template("agpl", "under the terms of the gnu affero general public license", "gnu affero general public license"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+             "with or without fee is hereby granted"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
     Template("apache-2", "licensed under the apache license 2 0", "apache license 2 0", named=True),
     Template("mit", "licensed under the mit license", "mit license", named=True),
     Template("mit", "the above copyright notice and this permission notice shall be included in all copies", "this permission notice shall be included"),
     Template("bsd", "neither the name of the copyright holder nor the names of its contributors", "nor the names of its contributors"),
     Template("bsd", "redistributions of source code must retain the above copyright notice", "redistributions of source code must retain"),
+    *[Template(label, f"spdx license identifier {name}", f"spdx license identifier {name}") for label, name in SPDX],
 )
 
 
@@ -84,9 +113,20 @@ def _matches(w: Column, postings: Column, template: Template, rare: int) -> Colu
         low = F.greatest(first - REACH, F.lit(0))
         return F.exists(F.slice(w, low + 1, first + len(key) + REACH - low), lambda x: x.isin(*LICENSING))
 
+    def turned(p: Column) -> Column:
+        """Whether a negation with a licensing word behind it stands just before or in the phrase."""
+        low = F.greatest(p - rare + min(-4, begin - REACH - 2), F.lit(0))
+        before = F.slice(w, low + 1, p - rare + begin - low + 1)
+        pairs = F.transform(before, lambda x, i: x.isin(*NEGATIONS) & F.coalesce(F.get(before, i + 1).isin(*LICENSING, *_TURNED), F.lit(False)))
+        return F.exists(pairs, lambda x: x)
+
     whole = F.filter(postings, lambda p: reduce(
         lambda a, b: a & b, [F.get(w, p) == parts[rare], *[at(p, i) for i in range(begin, begin + len(key))]]
     ))
+    if template.unless:
+        whole = F.filter(whole, lambda p: ~F.coalesce(F.get(w, p - rare + begin + len(key)).isin(*template.unless), F.lit(False)))
+    if not template.base:
+        whole = F.filter(whole, lambda p: ~turned(p))
     share = F.transform(whole, lambda p: F.struct(
         (p - rare).cast("long").alias("start"),
         (reduce(lambda a, b: a + b, [at(p, i).cast("int") for i in range(len(parts))]) / F.lit(len(parts))).alias("share"),

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from notewright.llm import html_text, markov, resample, spectrum, whitening
+from notewright.llm import html_text, licences, markov, resample, spectrum, whitening
 from tests.llm.test_corpus import DOCS, ODD
 
 SMALL = "/root/testdata/sf0.001"
@@ -336,3 +336,31 @@ def test_generated_pages_give_back_their_article():
         page.append("</article>" + str(rng.choice(furniture)) + "</body></html>")
         found = html_text.blocks("".join(page))
         assert [t for _, t, inside in found if inside] == blocks, "".join(page)
+
+
+# Licences
+
+
+LICENCE_TEXTS = [
+    ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0", "cc-by-nc-nd"),
+    ("Licensed under a Creative Commons Attribution ShareAlike licence", "cc-by-sa"),
+    ("Licensed under a Creative Commons Attribution 4.0 licence", "cc-by"),
+    ("Licensed under Creative Commons Attribution-NonCommercial 4.0", "cc-by-nc"),
+    ("This code is not licensed under the GNU General Public License", ""),
+    ("It may not be distributed under the terms of the GNU General Public License as published by", ""),
+    ("This is not advice. Licensed under the GNU General Public License version 3", "gpl"),
+    ("you can redistribute it under the terms of the GNU Lesser General Public License as published by", "lgpl"),
+    ("under the terms of the GNU Affero General Public License as published by", "agpl"),
+    ("under the terms of the GNU General Public License as published by", "gpl"),
+    ("# SPDX-License-Identifier: Apache-2.0", "apache-2"), ("# SPDX-License-Identifier: MIT", "mit"), ("// SPDX-License-Identifier: BSD-3-Clause", "bsd"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("not under the MIT License", "mit"),
+    ("the share of the gnu in the commons", ""), ("", ""), (None, ""),
+]
+
+
+def test_licence_notices(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LICENCE_TEXTS)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licences.digest(licences.scan(df)).collect()}
+    assert {LICENCE_TEXTS[i][0]: label for i, label in got.items()} == dict(LICENCE_TEXTS)
