@@ -333,4 +333,4 @@ def test_pipeline(spark, docs):
 
 
 def test_registered(spark):
-    assert [n.split("_")[0] for n in catalog.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in catalog.QUERIES] == [f"op{i}" for i in range(1, 14)]
