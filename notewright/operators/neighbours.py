@@ -169,7 +169,7 @@ def _indexed_search(
         )
         return pa.Table.from_batches([found])
 
-    return pivots.search(asked, pivots.build(known, rows, dim, k), dim, k, block_rows, hits, keyed)
+    return pivots.search(asked, pivots.build(known, rows, dim, k, block_rows), dim, k, block_rows, hits, keyed)
 
 
 def similarity_search(

@@ -8,8 +8,10 @@ which gives a score to beat; then only those clusters are met whose bound can st
 All other clusters are never compared, and no hit is lost: bounds allow for rounding, so that
 rows tied with the k-th score are met too.
 
-Clusters meet their queries in tasks of a bounded number of rows on either side, so neither
-copies of one vector nor a cluster that many queries want can overload a task.
+Clusters are packed into blocks of a bounded number of rows, and a query travels once to each block
+that holds clusters it has to meet, so it never travels more often than there are blocks. Blocks
+meet their queries in tasks of a bounded number of rows on either side, so neither copies of one
+vector nor a cluster that many queries want can overload a task.
 """
 
 from __future__ import annotations
@@ -51,6 +53,9 @@ class Index:
     least: np.ndarray
     widest: np.ndarray
     sizes: np.ndarray
+    # The block of each cluster, and how many parts each block is cut into.
+    block: np.ndarray
+    parts: np.ndarray
 
 
 def unit_rows(vectors: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -81,7 +86,19 @@ def _spread_out(sample: np.ndarray, number: int) -> np.ndarray:
     return sample[chosen]
 
 
-def build(known: DataFrame, rows: int, dim: int, k: int, most: int = MAX_PIVOTS) -> Index:
+def _packed(sizes: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbouring clusters put together up to ``block_rows`` rows; a larger one is a block of several parts."""
+    block, parts, held = np.zeros(len(sizes), dtype=np.int32), [], block_rows
+    for cluster, size in enumerate(sizes.tolist()):
+        if held + size > block_rows:
+            parts.append(max(1, -(-size // block_rows)))
+            held = 0
+        held += size
+        block[cluster] = len(parts) - 1
+    return block, np.array(parts, dtype=np.int64)
+
+
+def build(known: DataFrame, rows: int, dim: int, k: int, block_rows: int, most: int = MAX_PIVOTS) -> Index:
     """The index of ``known`` (``neighbour_id``, ``v``), which has ``rows`` rows of ``dim`` entries."""
     number = max(1, min(most, math.isqrt(rows)))
     chosen = known.orderBy(F.xxhash64(F.col("neighbour_id").cast("string")), "neighbour_id").limit(SAMPLE * number).select("v").toArrow()
@@ -113,7 +130,7 @@ def build(known: DataFrame, rows: int, dim: int, k: int, most: int = MAX_PIVOTS)
         at = row["cluster"]
         least[at], widest[at], sizes[at] = row["least"], row["widest"], row["n"]
     sizes[-1] = zeros.count()
-    return Index(placed.unionByName(zeros).drop("angle"), pivots, least, widest, sizes)
+    return Index(placed.unionByName(zeros).drop("angle"), pivots, least, widest, sizes, *_packed(sizes, block_rows))
 
 
 def bounds(units: np.ndarray, pivots: np.ndarray, least: np.ndarray, widest: np.ndarray) -> np.ndarray:
@@ -135,11 +152,11 @@ def _first_clusters(score: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
 
 
 def _probes(asked: DataFrame, index: Index, dim: int, k: int, beat: bool) -> DataFrame:
-    """A row per query row and cluster to meet: the first ones, or with ``beat`` those that can still reach the score ``least``."""
-    shared = asked.sparkSession.sparkContext.broadcast((index.pivots, index.least, index.widest, index.sizes))
+    """A row per query row and block with the ``clusters`` to meet there: the first ones, or with ``beat`` those that can still reach ``least``."""
+    shared = asked.sparkSession.sparkContext.broadcast((index.pivots, index.least, index.widest, index.sizes, index.block))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, least_angle, widest, sizes = shared.value
+        pivots, least_angle, widest, sizes, block = shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(start, _ROWS)
@@ -149,16 +166,25 @@ def _probes(asked: DataFrame, index: Index, dim: int, k: int, beat: bool) -> Dat
                     least = part.column("least").fill_null(-2.0).to_numpy(zero_copy_only=False)
                     met = (score >= least[:, None] - MARGIN) & (sizes > 0) & ~met
                 row, cluster = np.nonzero(met)
-                found = part.select(["row", "query_id", "v"]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(cluster.astype(np.int32)), *found.columns], names=["cluster", "row", "query_id", "v"])
+                # Clusters of a block are neighbours, so a query's clusters in a block stand together.
+                new = np.ones(len(row), dtype=bool)
+                new[1:] = (row[1:] != row[:-1]) | (block[cluster[1:]] != block[cluster[:-1]])
+                first = np.flatnonzero(new)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(cluster.astype(np.int32)))
+                found = part.select(["row", "query_id", "v"]).take(pa.array(row[first]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block[cluster[first]], pa.int32()), lists, *found.columns], names=["block", "clusters", "row", "query_id", "v"]
+                )
 
     fields = {f.name: f for f in asked.schema.fields}
-    schema = T.StructType([T.StructField("cluster", T.IntegerType()), *[fields[n] for n in ("row", "query_id", "v")]])
+    schema = T.StructType([
+        T.StructField("block", T.IntegerType()), T.StructField("clusters", T.ArrayType(T.IntegerType())), *[fields[n] for n in ("row", "query_id", "v")]
+    ])
     return cut_lineage(asked.mapInArrow(choose, schema))
 
 
-def _per_cluster(values: Sequence[int]) -> Column:
-    return F.get(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col("cluster"))
+def _listed(values: Sequence[int], at: str) -> Column:
+    return F.get(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col(at))
 
 
 def _every(parts: Column) -> Column:
@@ -166,25 +192,36 @@ def _every(parts: Column) -> Column:
 
 
 def _meet(probes: DataFrame, index: Index, block_rows: int, hits, schema: T.StructType) -> DataFrame:
-    """The best k of each probe's cluster; clusters and their probes meet in blocks of about ``block_rows`` rows."""
-    wanted = np.zeros(len(index.sizes), dtype=np.int64)
-    # One row a cluster.
-    for row in probes.groupBy("cluster").agg(F.count("*").alias("n")).collect():
-        wanted[row["cluster"]] = row["n"]
-    store_parts, query_parts = -(-index.sizes // block_rows), -(-wanted // block_rows)
-    # The input partition is hashed too, so that rows repeating one id spread over blocks.
-    right = index.rows.filter(_per_cluster(wanted) > 0).withColumn(
-        "sb", F.pmod(F.xxhash64("neighbour_id", F.spark_partition_id()), _per_cluster(store_parts))
-    ).withColumn("qb", _every(_per_cluster(query_parts)))
-    left = probes.withColumn("qb", F.pmod(F.xxhash64("row"), _per_cluster(query_parts))).withColumn("sb", _every(_per_cluster(store_parts)))
-    tasks = int((store_parts * query_parts).sum())
+    """The best k of each cluster that a probe meets; blocks and their probes meet in tasks of about ``block_rows`` rows a side."""
+    wanted = np.zeros(len(index.parts), dtype=np.int64)
+    # One row a block.
+    for row in probes.groupBy("block").agg(F.count("*").alias("n")).collect():
+        wanted[row["block"]] = row["n"]
+    query_parts = -(-wanted // block_rows)
+    placed = index.rows.withColumn("block", _listed(index.block, "cluster").cast("int"))
+    # The input partition is hashed too, so that rows repeating one id spread over parts.
+    right = placed.filter(_listed(wanted, "block") > 0).withColumn(
+        "sb", F.pmod(F.xxhash64("neighbour_id", F.spark_partition_id()), _listed(index.parts, "block"))
+    ).withColumn("qb", _every(_listed(query_parts, "block")))
+    left = probes.withColumn("qb", F.pmod(F.xxhash64("row"), _listed(query_parts, "block"))).withColumn("sb", _every(_listed(index.parts, "block")))
+    tasks = int((index.parts * query_parts).sum())
     spark = probes.sparkSession
     parts = max(1, min(tasks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)))
-    keys = ["cluster", "qb", "sb"]
+    keys = ["block", "qb", "sb"]
     left, right = (side.repartition(parts, *keys) for side in (left, right))
 
     def meet(queries: pa.Table, store: pa.Table) -> pa.Table:
-        return hits(queries, store.take(pc.sort_indices(store, sort_keys=[("neighbour_id", "ascending")])))
+        store = store.take(pc.sort_indices(store, sort_keys=[("neighbour_id", "ascending")]))
+        found = [hits(queries.slice(0, 0), store.slice(0, 0))]
+        if len(queries) and len(store):
+            held = store.column("cluster").to_numpy()
+            lists = queries.column("clusters").combine_chunks()
+            asked, owner = lists.flatten().to_numpy(zero_copy_only=False), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+            for cluster in np.unique(held).tolist():
+                who = owner[asked == cluster]
+                if len(who):
+                    found.append(hits(queries.take(pa.array(who)), store.filter(pa.array(held == cluster))))
+        return pa.concat_tables(found)
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema)
 

@@ -66,7 +66,7 @@ def test_slices_change_nothing(monkeypatch, k, slice_size):
 
 def _index(known, k, most=1024):
     rows = known.selectExpr("patient_identifier AS neighbour_id", "embedding AS v")
-    return pivots.build(rows, rows.count(), len(rows.first()["v"]), k, most)
+    return pivots.build(rows, rows.count(), len(rows.first()["v"]), k, 50, most)
 
 
 @pytest.mark.parametrize("k", [1, 4, 300])
@@ -94,16 +94,24 @@ def test_pivot_search_skips_far_clusters(spark):
     known = vectors(spark, store).selectExpr("patient_identifier AS neighbour_id", "embedding AS v")
     schema = neighbours.top_k_cosine(vectors(spark, queries), vectors(spark, store), 5).schema
     found, probes = neighbours._indexed_search(asked, known, 1200, 24, 5, 400, schema)
-    index = pivots.build(known, 1200, 24, 5)
+    index = pivots.build(known, 1200, 24, 5, 400)
     every = 24 * int((index.sizes > 0).sum())
-    assert probes.count() < every / 3
-    compared = sum(int(index.sizes[r["cluster"]]) for r in probes.collect())
+    met = probes.select(F.explode("clusters").alias("cluster")).collect()
+    assert len(met) < every / 3
+    # A query goes to a block once in each of the two rounds.
+    assert probes.groupBy("row", "block").count().agg(F.max("count")).first()[0] <= 2
+    compared = sum(int(index.sizes[r["cluster"]]) for r in met)
     assert compared < 24 * 1200 / 4
     best = {r["query_id"]: r["m"] for r in found.groupBy("query_id").agg(F.max("cosine").alias("m")).collect()}
     unit = [m / np.linalg.norm(m, axis=1, keepdims=True) for m in (queries.astype(np.float32).astype(float), store.astype(np.float32).astype(float))]
     assert np.allclose([best[i] for i in range(24)], (unit[0] @ unit[1].T).max(axis=1), atol=1e-9)
 
 
+def test_clusters_are_packed_into_blocks():
+    block, parts = pivots._packed(np.array([3, 0, 4, 9, 25, 1, 2, 0]), 10)
+    assert block.tolist() == [0, 0, 0, 1, 2, 3, 3, 3] and parts.tolist() == [1, 1, 3, 1]
+
+
 def test_no_member_beats_its_bound(spark):
     rng = np.random.default_rng(3)
     store = np.vstack([rng.normal(size=(200, 5)), np.zeros((3, 5)), np.eye(5), -np.eye(5)])
