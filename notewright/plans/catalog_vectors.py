@@ -15,7 +15,7 @@ from notewright.plans.fixtures import QUESTIONS, cases_and_questions
 from notewright.plans.oracle import LABELLED_NOTES, neighbours as neighbours_sql
 from notewright.plans.registry import register, rounded
 from notewright.schema import EMBEDDING, ID, LABEL, TEXT
-from notewright.session import scratch_path
+from notewright.session import cut_lineage, scratch_path
 from notewright.sources import vector_store
 
 _HITS = f"{QUESTIONS}, {neighbours_sql('asked', 'store', fv.TOP_K)}"
@@ -85,9 +85,9 @@ _REVISED = "CASE WHEN patient_identifier % 7 = 0 THEN text || chr(10) || 'revise
 def stored_vector_search(spark: SparkSession, folder: str) -> DataFrame:
     """A store of cases is built, some cases are replaced and some added, and embedded questions search what is stored."""
     path = scratch_path(spark, "case-store")
-    first = embed.embed_text(_labelled_texts(spark, folder), _length_embedder, dim=3)
+    texts = cut_lineage(_labelled_texts(spark, folder))
+    first = embed.embed_text(texts, _length_embedder, dim=3)
     vector_store.build_case_store(vector_store.case_columns(first), path)
-    texts = _labelled_texts(spark, folder)
     revised = texts.filter(F.col(ID) % 7 == 0).withColumn(TEXT, F.concat(TEXT, F.lit("\nrevised eeee")))
     added = texts.filter(F.col(ID) % 5 == 0).withColumns({ID: F.col(ID) + 1_000_000_000, TEXT: F.concat(F.lit("new case "), TEXT)})
     changed = embed.embed_text(revised.unionByName(added), _length_embedder, dim=3)
