@@ -36,7 +36,7 @@ from notewright.session import cut_lineage
 WINDOW = 35
 BLOCK = 12
 FILTER_BITS = 1 << 27
-SLICE_WORDS = 1 << 20
+SLICE_WORDS = 1 << 18
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
 _WORD = re.compile(WORD)
