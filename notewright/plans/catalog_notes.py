@@ -52,15 +52,27 @@ def _md5(name: str = TEXT):
 
 # --- sources -----------------------------------------------------------------
 
-@register(f"""WITH {NOTES} SELECT patient_identifier, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS n_chars,
-  has_cancer, has_diabetes, test_set FROM notes""")
-def notes_csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+_CSV_ROWS = f"""WITH {NOTES} SELECT patient_identifier, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS n_chars,
+  has_cancer, has_diabetes, test_set FROM notes"""
+
+
+def _csv_round_trip(spark: SparkSession, folder: str, split: bool) -> DataFrame:
     path = scratch_path(spark, "notes-csv")
     write_notes_csv(notes(spark, folder), path)
-    df = load_notes(spark, path)
+    df = load_notes(spark, path, split=split)
     return df.select(ID, _md5(), F.length(TEXT).alias("n_chars"), "has_cancer", "has_diabetes", TEST_SET)
 
 
+@register(_CSV_ROWS)
+def notes_csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return _csv_round_trip(spark, folder, split=False)
+
+
+@register(_CSV_ROWS)
+def notes_csv_split_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return _csv_round_trip(spark, folder, split=True)
+
+
 _VECTOR_ROWS = """SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos,
   round(CAST(unnest(embedding) AS DOUBLE), 6) AS value FROM embeddings"""
 

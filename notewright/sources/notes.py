@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from notewright import fixed_values as fv
 from notewright.functions.labels import clean_flag
 from notewright.schema import EMBEDDING, ID, SCHEME, TEST_SET, TEXT, LabelScheme
+from notewright.sources.csv_records import read_split_csv
 
 # Quoted cells may span lines, and a quote inside them is doubled.
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
@@ -19,17 +20,17 @@ CSV_WRITE_OPTIONS = {
 
 
 def load_notes(
-    spark: SparkSession, path: str, scheme: LabelScheme = SCHEME, embeddings: str = "embeddings"
+    spark: SparkSession, path: str, scheme: LabelScheme = SCHEME, embeddings: str = "embeddings", split: bool = False
 ) -> DataFrame:
     """A CSV note table with typed columns.
 
     All cells are read as text and cast by column name, so no type is guessed
     and columns may come in any order. Missing text becomes ``''``; NaN flags
     become NULL; an ``embeddings`` column of ``[f, f, ...]`` text becomes an
-    array. Multi-line CSV files cannot be split, so store large tables as
-    Parquet after this first read.
+    array. A file is read in one task, or with ``split`` in one for each byte
+    range; the rows are the same where quotes are balanced.
     """
-    raw = spark.read.options(**CSV_OPTIONS).csv(path)
+    raw = read_split_csv(spark, path, CSV_OPTIONS) if split else spark.read.options(**CSV_OPTIONS).csv(path)
     missing = raw[TEXT].isNull() | raw[TEXT].isin(*fv.MISSING_STRINGS)
     casts = {
         ID: raw[ID].try_cast("bigint"),

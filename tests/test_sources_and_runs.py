@@ -43,6 +43,37 @@ def test_csv_keeps_awkward_text(spark, tmp_path):
     assert [r.text for r in back] == texts
 
 
+@pytest.mark.parametrize("size", ["64", "1000000"])
+def test_split_csv_equals_the_whole_reader(spark, tmp_path, size):
+    texts = ['a"b', "c\\", "d\r\ne", " lead", "", 'x\\"y', "a,b\n\n", '"', "\n".join(f'line "{i}", of many' for i in range(40)), None, "é" * 90]
+    df = spark.createDataFrame([(i, t, 1.0, None, 0) for i, t in enumerate(texts * 3)],
+                               "patient_identifier long, text string, has_cancer double, has_diabetes double, test_set int")
+    write_notes_csv(df.repartition(2), str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        parts = spark.read.text(str(tmp_path / "t"), lineSep="\n").rdd.getNumPartitions()
+        back = load_notes(spark, str(tmp_path / "t"), split=True).orderBy("patient_identifier").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert parts > 20 or size != "64"
+    assert back == load_notes(spark, str(tmp_path / "t")).orderBy("patient_identifier").collect()
+    assert [r.text for r in back] == [t or "" for t in texts * 3]
+
+
+def test_split_csv_of_hand_written_files(spark, tmp_path):
+    (tmp_path / "n.csv").write_text(
+        "\ufeff" + HEADER + '1,"say ""hi""\nthere, ok",1.0,,0,"[0.5, -1, 2e-3]"\n\n2,,nan,0,1,\n3,NA,0.0,1,0.0,"[1,2,3]"', encoding="utf-8")
+    (tmp_path / "m.csv").write_text(HEADER + "4,x,1,0,0,\r\n", newline="", encoding="utf-8")
+    rows = {r.patient_identifier: r for r in load_notes(spark, str(tmp_path), split=True).collect()}
+    assert sorted(rows) == [1, 2, 3, 4] and rows[1].text == 'say "hi"\nthere, ok' and rows[1].has_diabetes is None
+    assert rows[1].embedding == pytest.approx([0.5, -1, 0.002]) and rows[3].text == "" and rows[4].text == "x"
+    assert rows[2].text == "" and rows[2].has_cancer is None and rows[2].embedding is None
+    (tmp_path / "only").mkdir()
+    (tmp_path / "only" / "h.csv").write_text(HEADER)
+    assert load_notes(spark, str(tmp_path / "only"), split=True).count() == 0
+
+
 def test_notes_as_parquet_folders(spark, folder, tmp_path):
     df = notes(spark, folder)
     write_notes(df, str(tmp_path / "notes"))
