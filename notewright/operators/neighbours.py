@@ -9,7 +9,7 @@ that may hold one of its neighbours.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from notewright.session import cut_lineage
 # A store whose vectors take up to this many bytes is broadcast.
 BROADCAST_BYTES = 64 << 20
 # Beyond that, clusters and the queries that meet them are cut into blocks of at most
-# about this size; two of them must fit a task.
+# about this size; two of them must fit a task. Smaller blocks travel and meet in bundles (``pivots.TASK_BYTES``).
 BLOCK_BYTES = 512 << 20
 # Cosines are compared at nine decimals, so ranks do not depend on the block layout.
 _SCALE = 1_000_000_000
@@ -38,6 +38,8 @@ _PLACE_BITS = 30
 _ROWS = 256
 _COLUMNS = 1024
 _LAST_PLACE = (1 << _PLACE_BITS) - 1
+# Below every key: the place of a hit that there is none for.
+_NONE = -(1 << 62)
 
 
 def _best(queries: np.ndarray, store: np.ndarray, k: int) -> np.ndarray:
@@ -81,18 +83,31 @@ def _merge(top: np.ndarray, row: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return together[order][starts[:, None] + np.arange(keep)]
 
 
-def _hits(query_ids: list[pa.Array], queries: np.ndarray, store_ids: pa.Array, store: np.ndarray, k: int, names: list[str]) -> pa.RecordBatch:
-    """The k best store rows of each query: columns that name the query, then neighbour_id, cosine and rank."""
-    best = _best(queries, store, k)
-    size, keep = best.shape
-    keys = best.ravel()
-    each = pa.array(np.repeat(np.arange(size), keep))
+def _best_of_pairs(queries: np.ndarray, store: np.ndarray, k: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """As ``_best``, but a query meets only the store rows paired with it; ``_NONE`` where there are fewer than k.
+
+    A pair names places of queries and, in rising order, of store rows; no two pairs share both.
+    """
+    best = np.full((len(queries), min(k, len(store))), _NONE, dtype=np.int64)
+    for who, rows in pairs:
+        if len(who):
+            keys = _best(queries[who], store[rows], k)
+            keys = (keys >> _PLACE_BITS << _PLACE_BITS) | (_LAST_PLACE - rows[_LAST_PLACE - (keys & _LAST_PLACE)])
+            best[who] = -np.sort(-np.concatenate([best[who], keys], axis=1), axis=1)[:, :best.shape[1]]
+    return best
+
+
+def _hits(query_ids: list[pa.Array], best: np.ndarray, store_ids: pa.Array, names: list[str]) -> pa.RecordBatch:
+    """Keys of the best store rows of each query as rows: columns that name the query, then neighbour_id, cosine and rank."""
+    row, rank = np.nonzero(best != _NONE)
+    keys = best[row, rank]
+    each = pa.array(row)
     return pa.record_batch(
         [
             *[ids.take(each) for ids in query_ids],
             store_ids.take(pa.array(_LAST_PLACE - (keys & _LAST_PLACE))),
             pa.array((keys >> _PLACE_BITS) / _SCALE),
-            pa.array(np.tile(np.arange(1, keep + 1, dtype=np.int32), size)),
+            pa.array((rank + 1).astype(np.int32)),
         ],
         names=[*names, "neighbour_id", "cosine", "rank"],
     )
@@ -139,7 +154,7 @@ def top_k_cosine(
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, units = shared.value
             for batch in batches:
-                yield _hits([batch.column(0)], unit_rows(batch.column(1), dim), ids, units, k, ["query_id"])
+                yield _hits([batch.column(0)], _best(unit_rows(batch.column(1), dim), units, k), ids, ["query_id"])
 
         # Each query has met the whole store here, so its ranks are final.
         return asked.mapInArrow(scan, schema)
@@ -161,12 +176,10 @@ def _indexed_search(
     asked = cut_lineage(asked.withColumn("row", F.monotonically_increasing_id()))
     keyed = T.StructType([T.StructField("row", T.LongType()), *schema.fields])
 
-    def hits(probes: pa.Table, store: pa.Table) -> pa.Table:
+    def hits(probes: pa.Table, store: pa.Table, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
         names = ["row", "query_id"]
-        found = _hits(
-            [probes.column(n).combine_chunks() for n in names], unit_rows(probes.column("v"), dim),
-            store.column("neighbour_id").combine_chunks(), unit_rows(store.column("v"), dim), k, names,
-        )
+        best = _best_of_pairs(unit_rows(probes.column("v"), dim), unit_rows(store.column("v"), dim), k, pairs)
+        found = _hits([probes.column(n).combine_chunks() for n in names], best, store.column("neighbour_id").combine_chunks(), names)
         return pa.Table.from_batches([found])
 
     return pivots.search(asked, pivots.build(known, rows, dim, k, block_rows), dim, k, block_rows, hits, keyed)

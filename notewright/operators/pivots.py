@@ -11,7 +11,10 @@ rows tied with the k-th score are met too.
 Clusters are packed into blocks of a bounded number of rows, and a query travels once to each block
 that holds clusters it has to meet, so it never travels more often than there are blocks. Blocks
 meet their queries in tasks of a bounded number of rows on either side, so neither copies of one
-vector nor a cluster that many queries want can overload a task.
+vector nor a cluster that many queries want can overload a task. Where blocks are asked to be small,
+as many of them travel together as leave enough tasks for the cores and fit one: what is shuffled is
+the number of such bundles times the rows, not a row for each pair of small blocks. A task keeps the
+k best rows of a query over all clusters that it meets there.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +41,10 @@ RINGS = 8
 MARGIN = 1e-7
 # Queries compared with all pivots at once.
 _ROWS = 1024
+# Vectors of one side that a task may take, if larger blocks are not asked for.
+TASK_BYTES = 64 << 20
+# Either side is cut into so many bundles, or more where the cores need more tasks.
+SPLITS = 8
 
 
 @dataclass(frozen=True)
@@ -53,7 +60,7 @@ class Index:
     least: np.ndarray
     widest: np.ndarray
     sizes: np.ndarray
-    # The block of each cluster, and how many parts each block is cut into.
+    # The block of each cluster, small blocks bundled, and how many parts each block is cut into.
     block: np.ndarray
     parts: np.ndarray
 
@@ -98,6 +105,12 @@ def _packed(sizes: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]
     return block, np.array(parts, dtype=np.int64)
 
 
+def _bundle_rows(spark: SparkSession, rows: int, dim: int, block_rows: int) -> int:
+    """How many rows of one side travel together: a block's, or those of more blocks as long as they fit a task and leave enough tasks."""
+    splits = max(SPLITS, math.isqrt(4 * spark.sparkContext.defaultParallelism))
+    return max(block_rows, min(TASK_BYTES // (8 * dim), -(-rows // splits)), 1)
+
+
 def build(known: DataFrame, rows: int, dim: int, k: int, block_rows: int, most: int = MAX_PIVOTS) -> Index:
     """The index of ``known`` (``neighbour_id``, ``v``), which has ``rows`` rows of ``dim`` entries."""
     number = max(1, min(most, math.isqrt(rows)))
@@ -130,7 +143,8 @@ def build(known: DataFrame, rows: int, dim: int, k: int, block_rows: int, most:
         at = row["cluster"]
         least[at], widest[at], sizes[at] = row["least"], row["widest"], row["n"]
     sizes[-1] = zeros.count()
-    return Index(placed.unionByName(zeros).drop("angle"), pivots, least, widest, sizes, *_packed(sizes, block_rows))
+    bundle = _bundle_rows(known.sparkSession, rows, dim, block_rows)
+    return Index(placed.unionByName(zeros).drop("angle"), pivots, least, widest, sizes, *_packed(sizes, bundle))
 
 
 def bounds(units: np.ndarray, pivots: np.ndarray, least: np.ndarray, widest: np.ndarray) -> np.ndarray:
@@ -152,11 +166,16 @@ def _first_clusters(score: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
 
 
 def _probes(asked: DataFrame, index: Index, dim: int, k: int, beat: bool) -> DataFrame:
-    """A row per query row and block with the ``clusters`` to meet there: the first ones, or with ``beat`` those that can still reach ``least``."""
+    """A row per query row and block to meet there: the first ones, or with ``beat`` those that can still reach ``least``.
+
+    ``met`` holds the clusters of the block to meet as bits, from the block's first cluster on.
+    """
     shared = asked.sparkSession.sparkContext.broadcast((index.pivots, index.least, index.widest, index.sizes, index.block))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots, least_angle, widest, sizes, block = shared.value
+        # Clusters of a block are neighbours.
+        ends = np.searchsorted(block, np.arange(block[-1] + 2))
         for batch in batches:
             for start in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(start, _ROWS)
@@ -165,24 +184,44 @@ def _probes(asked: DataFrame, index: Index, dim: int, k: int, beat: bool) -> Dat
                 if beat:
                     least = part.column("least").fill_null(-2.0).to_numpy(zero_copy_only=False)
                     met = (score >= least[:, None] - MARGIN) & (sizes > 0) & ~met
-                row, cluster = np.nonzero(met)
-                # Clusters of a block are neighbours, so a query's clusters in a block stand together.
-                new = np.ones(len(row), dtype=bool)
-                new[1:] = (row[1:] != row[:-1]) | (block[cluster[1:]] != block[cluster[:-1]])
-                first = np.flatnonzero(new)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(cluster.astype(np.int32)))
-                found = part.select(["row", "query_id", "v"]).take(pa.array(row[first]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(block[cluster[first]], pa.int32()), lists, *found.columns], names=["block", "clusters", "row", "query_id", "v"]
-                )
+                for at, (left, right) in enumerate(zip(ends[:-1], ends[1:])):
+                    who = np.flatnonzero(met[:, left:right].any(axis=1))
+                    if not len(who):
+                        continue
+                    bits = np.packbits(met[who, left:right], axis=1)
+                    found = part.select(["row", "query_id", "v"]).take(pa.array(who))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(who), at, dtype=np.int32)), pa.array([b.tobytes() for b in bits], pa.binary()), *found.columns],
+                        names=["block", "met", "row", "query_id", "v"],
+                    )
 
     fields = {f.name: f for f in asked.schema.fields}
-    schema = T.StructType([
-        T.StructField("block", T.IntegerType()), T.StructField("clusters", T.ArrayType(T.IntegerType())), *[fields[n] for n in ("row", "query_id", "v")]
-    ])
+    schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("met", T.BinaryType()), *[fields[n] for n in ("row", "query_id", "v")]])
     return cut_lineage(asked.mapInArrow(choose, schema))
 
 
+def _bits(met: pa.ChunkedArray) -> np.ndarray:
+    """The bytes of ``met`` as a matrix with a row per query."""
+    return np.frombuffer(b"".join(met.to_pylist()), dtype=np.uint8).reshape(len(met), -1)
+
+
+def _with_clusters(probes: DataFrame, index: Index) -> DataFrame:
+    """Probes as ``block``, ``row`` and the list of ``clusters`` met."""
+    block = index.block
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for at, bits in zip(batch.column("block").to_pylist(), batch.column("met").to_pylist()):
+                left, right = np.searchsorted(block, (at, at + 1))
+                found.append((left + np.flatnonzero(np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=right - left))).tolist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("block"), batch.column("row"), pa.array(found, pa.list_(pa.int32()))], names=["block", "row", "clusters"]
+            )
+
+    return probes.select("block", "row", "met").mapInArrow(listed, "block int, row long, clusters array<int>")
+
+
 def _listed(values: Sequence[int], at: str) -> Column:
     return F.get(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col(at))
 
@@ -191,13 +230,14 @@ def _every(parts: Column) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
 
 
-def _meet(probes: DataFrame, index: Index, block_rows: int, hits, schema: T.StructType) -> DataFrame:
-    """The best k of each cluster that a probe meets; blocks and their probes meet in tasks of about ``block_rows`` rows a side."""
+def _meet(probes: DataFrame, index: Index, dim: int, block_rows: int, hits, schema: T.StructType) -> DataFrame:
+    """The best k of each block part that a probe meets; blocks and their probes meet in tasks of a bounded number of rows a side."""
     wanted = np.zeros(len(index.parts), dtype=np.int64)
     # One row a block.
     for row in probes.groupBy("block").agg(F.count("*").alias("n")).collect():
         wanted[row["block"]] = row["n"]
-    query_parts = -(-wanted // block_rows)
+    spark = probes.sparkSession
+    query_parts = -(-wanted // _bundle_rows(spark, int(wanted.max()), dim, block_rows))
     placed = index.rows.withColumn("block", _listed(index.block, "cluster").cast("int"))
     # The input partition is hashed too, so that rows repeating one id spread over parts.
     right = placed.filter(_listed(wanted, "block") > 0).withColumn(
@@ -205,23 +245,22 @@ def _meet(probes: DataFrame, index: Index, block_rows: int, hits, schema: T.Stru
     ).withColumn("qb", _every(_listed(query_parts, "block")))
     left = probes.withColumn("qb", F.pmod(F.xxhash64("row"), _listed(query_parts, "block"))).withColumn("sb", _every(_listed(index.parts, "block")))
     tasks = int((index.parts * query_parts).sum())
-    spark = probes.sparkSession
     parts = max(1, min(tasks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)))
     keys = ["block", "qb", "sb"]
     left, right = (side.repartition(parts, *keys) for side in (left, right))
+    block = index.block
 
     def meet(queries: pa.Table, store: pa.Table) -> pa.Table:
         store = store.take(pc.sort_indices(store, sort_keys=[("neighbour_id", "ascending")]))
-        found = [hits(queries.slice(0, 0), store.slice(0, 0))]
-        if len(queries) and len(store):
-            held = store.column("cluster").to_numpy()
-            lists = queries.column("clusters").combine_chunks()
-            asked, owner = lists.flatten().to_numpy(zero_copy_only=False), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-            for cluster in np.unique(held).tolist():
-                who = owner[asked == cluster]
-                if len(who):
-                    found.append(hits(queries.take(pa.array(who)), store.filter(pa.array(held == cluster))))
-        return pa.concat_tables(found)
+        if not len(queries) or not len(store):
+            return hits(queries.slice(0, 0), store.slice(0, 0), [])
+        held = store.column("cluster").to_numpy() - np.searchsorted(block, queries.column("block")[0].as_py())
+        met = _bits(queries.column("met"))
+        order = np.argsort(held, kind="stable")
+        clusters, starts = np.unique(held[order], return_index=True)
+        # Per cluster, the places of its queries and of its rows.
+        pairs = ((np.flatnonzero(met[:, c >> 3] & (128 >> (c & 7))), rows) for c, rows in zip(clusters.tolist(), np.split(order, starts[1:])))
+        return hits(queries, store, pairs)
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema)
 
@@ -229,14 +268,15 @@ def _meet(probes: DataFrame, index: Index, block_rows: int, hits, schema: T.Stru
 def search(asked: DataFrame, index: Index, dim: int, k: int, block_rows: int, hits, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Candidate hits of every row of ``asked`` (``row``, ``query_id``, ``v``), and the probes made.
 
-    ``hits`` compares a table of probes with a table of store rows and gives rows of ``schema``
-    with the k best of each probe: ``row``, ``cosine`` and what else the caller needs.
+    ``hits`` compares a table of probes with a table of store rows, in pairs of places on either side,
+    and gives rows of ``schema`` with the k best of each probe: ``row``, ``cosine`` and what else the
+    caller needs.
     """
     first = _probes(asked, index, dim, k, beat=False)
-    found = cut_lineage(_meet(first, index, block_rows, hits, schema))
+    found = cut_lineage(_meet(first, index, dim, block_rows, hits, schema))
     by_score = Window.partitionBy("row").orderBy(F.desc("cosine"))
     kth = found.withColumn("place", F.row_number().over(by_score)).filter(F.col("place") == k)
     kth = kth.select("row", F.col("cosine").alias("least"))
     second = _probes(asked.join(kth, "row", "left"), index, dim, k, beat=True)
-    more = _meet(second, index, block_rows, hits, schema)
-    return found.unionByName(more), first.unionByName(second)
+    more = _meet(second, index, dim, block_rows, hits, schema)
+    return found.unionByName(more), _with_clusters(first.unionByName(second), index)

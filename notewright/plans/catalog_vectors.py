@@ -113,7 +113,7 @@ def similarity_search(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(f"WITH {_HITS} SELECT query_id, neighbour_id, {_HIT_ROWS}, round(cosine, 6) AS cosine FROM hits")
 def nearest_in_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """The same search with blocks so small that every pair of blocks is a task of its own."""
+    """The same search by the pivot index, with small blocks that travel and meet in bundles."""
     store, asked = cases_and_questions(spark, folder)
     return rounded(neighbours.top_k_cosine(asked, store, broadcast_bytes=0, block_bytes=64 * 1024))
 

@@ -107,6 +107,24 @@ def test_pivot_search_skips_far_clusters(spark):
     assert np.allclose([best[i] for i in range(24)], (unit[0] @ unit[1].T).max(axis=1), atol=1e-9)
 
 
+def test_small_blocks_travel_in_bundles(spark):
+    """With blocks of four rows a query neither travels to every block nor brings k hits from each."""
+    rng = np.random.default_rng(11)
+    store, queries = rng.normal(size=(1200, 16)).astype(np.float32), rng.normal(size=(40, 16)).astype(np.float32)
+    asked = vectors(spark, queries).selectExpr("patient_identifier AS query_id", "embedding AS v")
+    known = vectors(spark, store).selectExpr("patient_identifier AS neighbour_id", "embedding AS v")
+    schema = neighbours.top_k_cosine(vectors(spark, queries), vectors(spark, store), 5).schema
+    found, probes = neighbours._indexed_search(asked, known, 1200, 16, 5, 4, schema)
+    assert probes.groupBy("row").count().agg(F.max("count")).first()[0] <= 60
+    rows = found.collect()
+    assert len(rows) <= 40 * 5 * 60
+    best = {}
+    for r in sorted(rows, key=lambda r: (-r["cosine"], r["neighbour_id"])):
+        best.setdefault(r["query_id"], []).append(r["neighbour_id"])
+    expected = brute_force(dict(enumerate(queries.astype(float))), dict(enumerate(store.astype(float))), 5)
+    assert {i: ids[:5] for i, ids in best.items()} == expected
+
+
 def test_clusters_are_packed_into_blocks():
     block, parts = pivots._packed(np.array([3, 0, 4, 9, 25, 1, 2, 0]), 10)
     assert block.tolist() == [0, 0, 0, 1, 2, 3, 3, 3] and parts.tolist() == [1, 1, 3, 1]
