@@ -243,6 +243,35 @@ def test_pages(spark):
     assert got[1]["n_chars"] == len(got[1]["text"])
 
 
+@pytest.mark.parametrize("fan_in", [256, 2])
+def test_wrapper_is_aligned_step_by_step(spark, monkeypatch, fan_in):
+    """A block is fixed text at its place of the host's wrapper only; optional and repeated tokens are aligned too."""
+    monkeypatch.setattr(html_text, "FAN_IN", fan_in)
+    pages, expected = [], {}
+    for i in range(12):
+        # On one page the slot holds the header's text, on some a notice stands, and answers repeat.
+        slot = "Site name" if i == 5 else f"City {i}"
+        notice = "<div>Old notice</div>" if i % 3 else ""
+        answers = "".join(f"<p>Answer {i} {j}</p><div>Reply</div><div>Share</div>" for j in range(i % 4))
+        html = f"<div>Site name</div>{notice}<p>Text {i}</p><div>{slot}</div><h2>Answers</h2>{answers}<div>All rights kept</div>"
+        pages += [(i, f"http://c.org/{i}", html)] * (1 + i % 2)
+        expected[i] = "\n".join([f"Text {i}", slot, *[f"Answer {i} {j}" for j in range(i % 4)]])
+    # Too few pages for a wrapper, another host, and a page that is only fixed text.
+    pages += [(100 + i, f"http://d.org/{i}", f"<div>Site name</div><p>Text {i}</p>") for i in range(2)]
+    pages += [(200, "http://c.org/only", "<div>Site name</div><h2>Answers</h2><div>All rights kept</div>"), (201, None, "<p>alone")]
+    expected |= {100 + i: f"Site name\nText {i}" for i in range(2)} | {200: "", 201: "alone"}
+    rows = html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in rows} == expected and len(rows) == len(pages)
+
+
+def test_streams_are_folded_and_aligned():
+    assert html_text._folded([1, 0, 2, 0, 2, 0, 2, 3]) == [0, 1, 2, 1, 2, 1, 2, 3]
+    assert html_text._folded([1, 2, 1, 2, 5]) == [0, 1, 0, 1, 2] and html_text._folded([1, 0, 1, 4]) == [0, 1, 2, 3] and html_text._folded([]) == []
+    assert html_text._places([1, 2, 3], [1, 9, 3]) == [0, -1, 2]
+    assert html_text._places([1, 2, 3], [2, 1, 3]) == [1, -1, 2] and html_text._places([1], [7, 1]) == [-1, 0]
+    assert html_text._merged([([1, 2, 3], 5), ([1, 3], 3), ([1, 9, 3], 1), ([8, 1, 2, 3], 1)]) == [1, 2, 3]
+
+
 def test_furniture_keeps_main_text():
     """Furniture ends where HTML ends it, and is none around the main text."""
     def main(page):
