@@ -256,6 +256,11 @@ def test_wrapper_is_aligned_step_by_step(spark, monkeypatch, fan_in):
         html = f"<div>Site name</div>{notice}<p>Text {i}</p><div>{slot}</div><h2>Answers</h2>{answers}<div>All rights kept</div>"
         pages += [(i, f"http://c.org/{i}", html)] * (1 + i % 2)
         expected[i] = "\n".join([f"Text {i}", slot, *[f"Answer {i} {j}" for j in range(i % 4)]])
+    # Fixed text in another order than on most pages of its host.
+    for i in range(300, 308):
+        parts = ["<div>Top</div>", "<div>Contact</div>", "<div>About</div>"]
+        pages.append((i, f"http://e.org/{i}", f"<p>Text {i}</p>".join(parts[::-1] if i > 304 else parts)))
+        expected[i] = f"Text {i}\nText {i}"
     # Too few pages for a wrapper, another host, and a page that is only fixed text.
     pages += [(100 + i, f"http://d.org/{i}", f"<div>Site name</div><p>Text {i}</p>") for i in range(2)]
     pages += [(200, "http://c.org/only", "<div>Site name</div><h2>Answers</h2><div>All rights kept</div>"), (201, None, "<p>alone")]
